@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import fingerprints, language_id, near_dedup, packing, quality_rules, sentence_pieces, sharding, token_counts, url_filters
+from turnlake.llm import fingerprints, language_id, near_dedup, packing, quality_rules, sentence_pieces, sharding, suffix_dedup, token_counts, url_filters
 
 #: The rules of op6, as (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -30,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op4_suffix_dedup, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules)}
 
 
 OP6_SQL = """
