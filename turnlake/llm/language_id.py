@@ -147,13 +147,8 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: ``key``, lang_pred, score; with ``keep`` all columns of ``df`` and these two (replacing columns so named).
-
-    ``und`` with score 0 where the text is null, empty or without a letter, or where
-    the model has no language.  Ties go to the language first in alphabetical order.
-    Repeated rows, null keys and an empty table pass row by row.
-    """
+def with_label(df: DataFrame, model: Model, text: str = "text", out: str = "_label") -> DataFrame:
+    """``df`` with ``out``: a struct of lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -164,9 +159,24 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             _scorers[ident] = Scorer(shared.value)
         return pd.DataFrame([_scorers[ident].predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    if keep:
-        return df.withColumn("_label", label(F.col(text))).withColumns({"lang_pred": F.col("_label.lang_pred"), "score": F.col("_label.score")}).drop("_label")
-    return df.select(key, label(F.col(text)).alias("_label")).select(key, "_label.*")
+    return df.withColumn(out, label(F.col(text)))
+
+
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``key``, lang_pred, score.
+
+    ``und`` with score 0 where the text is null, empty or without a letter, or where
+    the model has no language.  Ties go to the language first in alphabetical order.
+    Repeated rows, null keys and an empty table pass row by row; other columns are
+    ignored.
+    """
+    return with_label(df.select(F.col(key), F.col(text).alias("_text")), model, "_text").select(key, "_label.*")
+
+
+def keep_known(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose language is known with a score of ``least``."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return with_label(df, model, text).where((F.col("_label.lang_pred") != "und") & (F.col("_label.score") >= least)).select(*columns)
 
 
 def held_out(key: str = "doc_id"):

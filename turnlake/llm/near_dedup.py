@@ -167,3 +167,17 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = named.join(least, "root").select("fp", "component_id")
     return rows.join(groups, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, that have the smallest key of their group.
+
+    Of rows that repeat a key one stays; rows without a key can't be named and stay.
+    """
+    groups = near_groups(df, key, text)
+    chosen = groups.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = Scratch(df.sparkSession, "near-dedup").save(chosen, "chosen")
+    kept = df.join(chosen.select(key), key, "left_semi")
+    if chosen.where("_rows > 1").limit(1).count():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(df.where(F.col(key).isNull())).select(*df.columns)

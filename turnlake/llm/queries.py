@@ -50,8 +50,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
-    labelled = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
-    return language_id.predict(labelled, model, keep=True).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.predict(docs, model).withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

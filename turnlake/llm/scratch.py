@@ -7,6 +7,7 @@ default chosen.  Nothing is ever written to a machine-local folder on a cluster.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,27 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+_owner: str | None = None
+_owned: dict[str, list[Scratch]] = {}
+
+
+@contextlib.contextmanager
+def owner(name: str):
+    """Scratch made inside belongs to ``name``, for ``drop_owned``."""
+    global _owner
+    was, _owner = _owner, name
+    try:
+        yield
+    finally:
+        _owner = was
+
+
+def drop_owned(name: str) -> None:
+    """Free what ``name`` owns; only right once all results that read it are written."""
+    for scratch in _owned.pop(name, []):
+        scratch.drop_all()
+
+
 class Scratch:
     """The tables one operator call writes; ``drop`` frees one as soon as it is consumed."""
 
@@ -34,6 +56,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        if _owner:
+            _owned.setdefault(_owner, []).append(self)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads the written table."""
