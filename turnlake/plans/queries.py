@@ -1,11 +1,568 @@
-"""The query registry of the engine."""
+"""The query registry: one query per operator, over the relations derived from the tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from turnlake.config import INACTIVE, BinarizeConfig, PipelineConfig
+from turnlake.functions import vectors
+from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, powerset, selection, smoothing, turns
+from turnlake.plans import backend, oracles, pipeline, relations
+from turnlake.sources import annotations, audio
+from turnlake.streaming import queue
 
-def oracle_sql() -> dict:
-    return {}
+STEP = 1.0
+BUCKET_MS = errors.BUCKET_MS
+ONSET, OFFSET = 0.2, 0.1
+_registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(function):
+    _registry[function.__name__] = function
+    return function
+
+
+# ---- errors and intervals
+
+
+@query
+def der_per_file(spark, sf_dir):
+    rows = errors.components(relations.segments(spark, sf_dir))
+    return rows.withColumn("der", errors.rate())
+
+
+@query
+def der_corpus(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir)
+    files = seg.select("file_id").distinct().withColumn("dataset", F.col("file_id") % 5)
+    return errors.corpus(files, seg, ["dataset"])
+
+
+@query
+def der_mean(spark, sf_dir):
+    return der_per_file(spark, sf_dir).agg(F.round(F.avg("der"), 9).alias("mean_der"), F.count(F.lit(1)).alias("files"))
+
+
+@query
+def elementary_intervals(spark, sf_dir):
+    return intervals.elementary(relations.segments(spark, sf_dir), ["file_id"])
+
+
+@query
+def active_speakers(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir)
+    merged = intervals.union(seg, ["file_id", "side", "speaker"])
+    return intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"], BUCKET_MS).groupBy("file_id", "lo", "hi", "side").agg(F.count(F.lit(1)).alias("speakers"))
+
+
+@query
+def cooccurrence(spark, sf_dir):
+    return errors.cooccurrence(relations.segments(spark, sf_dir))
+
+
+@query
+def speaker_mapping(spark, sf_dir):
+    return errors.best_overlap(errors.cooccurrence(relations.segments(spark, sf_dir)))
+
+
+@query
+def timeline_union(spark, sf_dir):
+    return intervals.union(relations.segments(spark, sf_dir), ["file_id"]).select("file_id", "s_ms", "e_ms")
+
+
+@query
+def timeline_coverage(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir)
+    return intervals.coverage(seg.where("side = 'ref'"), seg.where("side = 'hyp'"), ["file_id"], BUCKET_MS)
+
+
+@query
+def speaker_airtime(spark, sf_dir):
+    return intervals.airtime(relations.segments(spark, sf_dir), ["file_id", "speaker"])
+
+
+@query
+def segment_stats(spark, sf_dir):
+    return intervals.stats(relations.segments(spark, sf_dir), ["file_id", "side"])
+
+
+@query
+def speakers_first_seen(spark, sf_dir):
+    return intervals.first_seen(relations.segments(spark, sf_dir), ["file_id"], "event_id")
+
+
+@query
+def transcript_speakers(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir).withColumnRenamed("event_id", "seg_idx")
+    return intervals.dominant_speaker(relations.transcript(spark, sf_dir), seg, BUCKET_MS)
+
+
+# ---- frames to turns
+
+
+@query
+def hysteresis(spark, sf_dir):
+    return binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET).select("file_id", "speaker", "frame", "on")
+
+
+@query
+def frame_runs(spark, sf_dir):
+    return binarize.find_runs(binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET))
+
+
+@query
+def min_on(spark, sf_dir):
+    return binarize.remove_short_on(binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET), 3).select("file_id", "speaker", "frame", "on")
+
+
+@query
+def min_off(spark, sf_dir):
+    return binarize.fill_short_off(binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET), 3).select("file_id", "speaker", "frame", "on")
+
+
+@query
+def pad_regions(spark, sf_dir):
+    return binarize.pad(binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET), 2, 1).select("file_id", "speaker", "frame", "on")
+
+
+@query
+def binarized(spark, sf_dir):
+    return binarize.binarize(relations.frames(spark, sf_dir), BinarizeConfig(ONSET, OFFSET, 3, 3, 1, 1)).select("file_id", "speaker", "frame", "on")
+
+
+def _turns(spark, sf_dir):
+    return turns.from_frames(relations.frames(spark, sf_dir).withColumn("score", F.col("score") * 4))
+
+
+@query
+def segments_from_frames(spark, sf_dir):
+    return _turns(spark, sf_dir)
+
+
+@query
+def segment_durations(spark, sf_dir):
+    return _turns(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("turns"), F.round(F.sum(turns.duration()), 6).alias("speech"))
+
+
+@query
+def merged_segments(spark, sf_dir):
+    rows = relations.segments(spark, sf_dir).select("file_id", "speaker", F.col("s_ms").alias("start"), F.col("e_ms").alias("end"))
+    return turns.merge(rows, 30_000)
+
+
+@query
+def speaker_labels(spark, sf_dir):
+    return intervals.first_seen(relations.segments(spark, sf_dir), ["file_id"], "event_id").select("file_id", "speaker", turns.label(F.col("idx")).alias("label"))
+
+
+@query
+def make_exclusive(spark, sf_dir):
+    return frames.make_exclusive(relations.frames(spark, sf_dir), "frame", "speaker")
+
+
+# ---- annotation formats
+
+
+def _rttm(spark, sf_dir):
+    s, e = (F.col(c) / 1000 for c in ("s_ms", "e_ms"))
+    return relations.segments(spark, sf_dir).select("event_id", annotations.rttm_line(F.col("file_id").cast("string"), s, e, F.col("speaker")).alias("value"))
+
+
+def _ms(c):
+    return F.round(F.col(c) * 1000).cast("long")
+
+
+@query
+def rttm_roundtrip(spark, sf_dir):
+    return annotations.parse_rttm(_rttm(spark, sf_dir)).select("file_id", "speaker", _ms("start").alias("s_ms"), _ms("end").alias("e_ms"))
+
+
+@query
+def rttm_lines(spark, sf_dir):
+    return _rttm(spark, sf_dir)
+
+
+@query
+def rttm_intervals(spark, sf_dir):
+    short = _rttm(spark, sf_dir).select(F.substring_index("value", " ", 5).alias("value"))
+    return annotations.parse_rttm(short, least=5).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(_ms("end") - _ms("start")).alias("speech"))
+
+
+@query
+def rttm_split(spark, sf_dir):
+    return annotations.split_by_file(_rttm(spark, sf_dir)).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.min("event_id").alias("first_line"))
+
+
+@query
+def json_segments(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir)
+    text = F.to_json(F.struct(F.collect_list(F.struct((F.col("s_ms") / 1000).alias("startTimeSeconds"), (F.col("e_ms") / 1000).alias("endTimeSeconds"), F.col("speaker").alias("speakerId"))).alias("segments")))
+    docs = seg.groupBy("file_id").agg(text.alias("_doc")).withColumn("_d", F.from_json("_doc", annotations.JSON_SCHEMA))
+    return annotations.json_turns(docs.select("file_id", "_d.segments")).select("file_id", "speaker", _ms("start").alias("s_ms"), _ms("end").alias("e_ms"))
+
+
+@query
+def parallel_array_segments(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "s_ms", "e_ms", "speaker"))).alias("x"))
+    take = lambda name: F.transform("x", lambda r: r[name])
+    rows = seg.select("file_id", take("s_ms").alias("timestamps_start"), take("e_ms").alias("timestamps_end"), take("speaker").alias("speakers"))
+    return annotations.array_turns(rows).select("file_id", "speaker", F.col("start").alias("s_ms"), F.col("end").alias("e_ms"))
+
+
+@query
+def textgrid_intervals(spark, sf_dir):
+    seg = relations.segments(spark, sf_dir)
+    block = F.concat(F.lit("xmin = "), F.col("s_ms"), F.lit("\nxmax = "), F.col("e_ms"), F.lit('\ntext = "'), F.when(F.col("event_id") % 7 == 0, "SIL").otherwise(F.col("speaker")), F.lit('"\n'))
+    docs = seg.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(block)), "").alias("content"))
+    rows = annotations.textgrid_turns(annotations.textgrid_intervals(docs))
+    return rows.select("file_id", "speaker", F.col("start").cast("long").alias("s_ms"), F.col("end").cast("long").alias("e_ms"))
+
+
+@query
+def speech_labels(spark, sf_dir):
+    labels = relations.segments(spark, sf_dir).select("file_id", F.when(F.col("event_id") % 3 == 0, "<NOISE>").otherwise(F.col("speaker")).alias("label"))
+    return labels.where(annotations.speech()).groupBy("file_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def transcript_rows(spark, sf_dir):
+    rows = relations.transcript(spark, sf_dir).select(F.concat_ws("\t", "s_ms", "e_ms", F.concat(F.lit("a\t"), F.col("row_idx"))).alias("value"))
+    return annotations.parse_transcript(rows).select(F.col("start").cast("long").alias("s_ms"), F.col("end").cast("long").alias("e_ms"), "text")
+
+
+# ---- powerset, layout, masks, frames
+
+
+@query
+def powerset_map(spark, sf_dir):
+    return powerset.mapping_table(spark, 3, 2)
+
+
+@query
+def powerset_decode(spark, sf_dir):
+    return powerset.decode(relations.logits(spark, sf_dir), 3, 2).select("vec_id", "class_idx", "speaker_idx", F.col("active").cast("int").alias("active"))
+
+
+@query
+def powerset_encode(spark, sf_dir):
+    rows = powerset.decode(relations.logits(spark, sf_dir), 3, 2)
+    sets = rows.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("speaker_idx", "active"))), lambda x: x["active"]).alias("mask"))
+    return powerset.encode(sets, 3, 2).select("vec_id", "class_idx")
+
+
+@query
+def window_enumeration(spark, sf_dir):
+    files = relations.files(spark, sf_dir).select("idx", F.floor("duration").cast("long").alias("n_samples"))
+    return layout.windows(files, 10_000, 4_000).select("idx", "chunk_idx", "start_sample", "is_padded")
+
+
+@query
+def chunk_slices(spark, sf_dir):
+    rows = layout.windows(relations.table(spark, sf_dir, "embeddings").withColumn("n", F.size("embedding")), 24, 7, "n")
+    part = layout.chunk_slice("embedding", F.col("chunk_idx"), 24, 7)
+    padded = layout.padded_slice("embedding", F.col("chunk_idx"), 24, 7)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), 6)
+    return rows.select("vec_id", "chunk_idx", F.size(part).alias("samples"), F.size(padded).alias("padded"), total(part).alias("sum"))
+
+
+@query
+def start_frames(spark, sf_dir):
+    return relations.segmentation(spark, sf_dir).select("chunk_idx").distinct().withColumn("start_frame", layout.start_frame(F.col("chunk_idx"), STEP))
+
+
+@query
+def output_extent(spark, sf_dir):
+    chunks = relations.segmentation(spark, sf_dir).groupBy("file_id").agg((F.max("chunk_idx") + 1).alias("chunks"))
+    return chunks.withColumn("extent", layout.output_extent(F.col("chunks"), STEP))
+
+
+@query
+def frame_times(spark, sf_dir):
+    return relations.frames(spark, sf_dir).select("frame").distinct().withColumn("seconds", layout.frame_time(F.col("frame")))
+
+
+@query
+def clean_masks(spark, sf_dir):
+    return masks.clean_masks(relations.segmentation(spark, sf_dir))
+
+
+@query
+def speaker_weights(spark, sf_dir):
+    return masks.speaker_weights(relations.segmentation(spark, sf_dir), 16_000, 6_000, 5.0)
+
+
+@query
+def training_set(spark, sf_dir):
+    return masks.training_set(relations.segmentation(spark, sf_dir), relations.embeddings(spark, sf_dir), 0.1).select("vec_id", *masks.KEY, "single_activity")
+
+
+def _labels(spark, sf_dir):
+    return relations.embeddings(spark, sf_dir).select(*masks.KEY, (F.col("label") % 3).alias("cluster"))
+
+
+@query
+def mark_inactive(spark, sf_dir):
+    quiet = relations.segmentation(spark, sf_dir).withColumn("active", F.when(F.col("speaker_idx") == F.col("chunk_idx") % 3, 0.0).otherwise(F.col("active")))
+    return masks.mark_inactive(quiet, _labels(spark, sf_dir))
+
+
+@query
+def speaker_count(spark, sf_dir):
+    return frames.speaker_count(relations.segmentation(spark, sf_dir), STEP)
+
+
+@query
+def silent_files(spark, sf_dir):
+    return frames.all_zero(frames.speaker_count(relations.segmentation(spark, sf_dir), STEP))
+
+
+@query
+def cluster_activations(spark, sf_dir):
+    return frames.cluster_activations(relations.segmentation(spark, sf_dir), _labels(spark, sf_dir), STEP)
+
+
+@query
+def frame_topk(spark, sf_dir):
+    seg = relations.segmentation(spark, sf_dir)
+    return frames.top_k(frames.cluster_activations(seg, _labels(spark, sf_dir), STEP), frames.speaker_count(seg, STEP))
+
+
+@query
+def smoothed_topk(spark, sf_dir):
+    seg = relations.segmentation(spark, sf_dir)
+    counts = frames.speaker_count(seg, STEP)
+    return smoothing.smoothed_top_k(frames.cluster_activations(seg, _labels(spark, sf_dir), STEP, counts), counts)
+
+
+# ---- vectors and kernels
+
+
+@query
+def l2_normalize(spark, sf_dir):
+    unit = relations.embeddings(spark, sf_dir).withColumn("n", vectors.norm("embedding")).select("vec_id", F.posexplode(vectors.l2_normalize("embedding", F.col("n"))).alias("dim", "x"))
+    return unit.select("vec_id", "dim", F.round("x", 6).alias("x"))
+
+
+@query
+def cosine_matrix(spark, sf_dir):
+    return _pairs(spark, sf_dir, vectors.cosine, "similarity")
+
+
+@query
+def pairwise_distance(spark, sf_dir):
+    return _pairs(spark, sf_dir, vectors.euclidean, "distance")
+
+
+def _pairs(spark, sf_dir, function, name):
+    rows = relations.embeddings(spark, sf_dir)
+    a, b = (rows.select("file_id", F.col("vec_id").alias(i), F.col("embedding").alias(v)) for i, v in (("i", "a"), ("j", "b")))
+    return a.join(b, "file_id").where("i < j").select("i", "j", F.round(function("a", "b"), 6).alias(name))
+
+
+@query
+def finite_filter(spark, sf_dir):
+    spoilt = relations.embeddings(spark, sf_dir).withColumn("embedding", F.when(F.col("vec_id") % 5 == 0, F.concat("embedding", F.array(F.lit(float("nan")).cast("float")))).otherwise(F.col("embedding")))
+    return spoilt.where(vectors.all_finite("embedding")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def logsumexp(spark, sf_dir):
+    wide = F.transform("logits", lambda x: x.cast("double") * 5)
+    return relations.logits(spark, sf_dir).select("vec_id", F.round(vectors.logsumexp(wide), 6).alias("value"))
+
+
+@query
+def rounded_ties(spark, sf_dir):
+    return relations.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 2).alias("half")).distinct().withColumn("rounded", vectors.round_ties_even(F.col("half")))
+
+
+@query
+def weighted_centroids(spark, sf_dir):
+    rows = relations.embeddings(spark, sf_dir).withColumn("w", (F.col("vec_id") % 7) / 7.0).select("file_id", "label", "w", F.posexplode("embedding").alias("dim", "x"))
+    return rows.groupBy("file_id", "label", "dim").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1e-8)), 6).alias("x"))
+
+
+@query
+def chunk_assignment(spark, sf_dir):
+    """Each chunk's local speakers to the centroids of three labels of its recording."""
+    rows = relations.embeddings(spark, sf_dir)
+    dims = rows.select("file_id", (F.col("label") % 3).alias("c"), F.posexplode("embedding").alias("dim", "x")).groupBy("file_id", "c", "dim").agg(F.avg("x").alias("x"))
+    centre = dims.groupBy("file_id", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("centroid"))
+    scored = rows.join(centre, "file_id").select("file_id", "chunk_idx", "speaker_idx", "c", (1 + vectors.cosine("embedding", "centroid")).alias("score"))
+    lists = scored.groupBy("file_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("speaker_idx", "c", "score"))).alias("s"))
+
+    @F.pandas_udf("array<struct<speaker_idx:int,cluster:int>>")
+    def assign(cells: pd.Series) -> pd.Series:
+        out = []
+        for chunk in cells:
+            local = sorted({int(x["speaker_idx"]) for x in chunk})
+            m = np.full((max(local) + 1, 3), -np.inf)
+            for x in chunk:
+                m[x["speaker_idx"], x["c"]] = x["score"]
+            found = kernels.assign_chunk(m, local)
+            out.append([{"speaker_idx": s, "cluster": found.get(s, INACTIVE)} for s in local])
+        return pd.Series(out)
+
+    return lists.select("file_id", "chunk_idx", F.explode(assign("s")).alias("a")).select("file_id", "chunk_idx", "a.*")
+
+
+def _per_file(rows: DataFrame, function, schema: str) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id").reset_index(drop=True)
+        return function(group, np.stack(group["embedding"].to_list()).astype("float32"))
+
+    return rows.groupBy("file_id").applyInPandas(run, schema)
+
+
+def _ahc(group, x):
+    return group[["file_id", "vec_id"]].assign(cluster=kernels.cluster_rows(x, 1.0))
+
+
+def _plda(group, x):
+    return group[["file_id", "vec_id"]].assign(features=list(kernels.Plda.synthetic(x.shape[1], 16).features(x)))
+
+
+def _vbx(group, x):
+    plda = kernels.Plda.synthetic(x.shape[1], 16)
+    gamma, _ = kernels.vbx(plda.features(x), plda.phi, kernels.initial_responsibilities(kernels.cluster_rows(x, 1.0)))
+    return group[["file_id", "vec_id"]].assign(speaker=gamma.argmax(axis=1), responsibility=gamma.max(axis=1).astype("float64"))
+
+
+@query
+def ahc_labels(spark, sf_dir):
+    return _per_file(relations.embeddings(spark, sf_dir), _ahc, "file_id long, vec_id long, cluster int")
+
+
+@query
+def plda_features(spark, sf_dir):
+    return _per_file(relations.embeddings(spark, sf_dir), _plda, "file_id long, vec_id long, features array<float>")
+
+
+@query
+def vbx_posteriors(spark, sf_dir):
+    return _per_file(relations.embeddings(spark, sf_dir), _vbx, "file_id long, vec_id long, speaker int, responsibility double")
+
+
+def _artifacts(spark, sf_dir):
+    return pipeline.Artifacts(relations.segmentation(spark, sf_dir), relations.embeddings(spark, sf_dir).select(*masks.KEY, "embedding"))
+
+
+@query
+def cluster_file(spark, sf_dir):
+    return pipeline.cluster_recordings(_artifacts(spark, sf_dir), kernels.Plda.synthetic(64, 16), PipelineConfig(ahc_threshold=1.0))
+
+
+@query
+def post_inference(spark, sf_dir):
+    return pipeline.post_inference(_artifacts(spark, sf_dir), kernels.Plda.synthetic(64, 16), PipelineConfig(ahc_threshold=1.0, binarize=BinarizeConfig(min_on=3, min_off=3))).segments
+
+
+# ---- selection, audio, models, reports, stream
+
+
+@query
+def budgeted_selection(spark, sf_dir):
+    return selection.budgeted(relations.files(spark, sf_dir), 500, 1_000_000.0)
+
+
+def _paths(spark, sf_dir):
+    audio_files = relations.table(spark, sf_dir, "customer").select(F.format_string("/data/wav/rec%d.wav", F.col("c_custkey")).alias("path"))
+    return audio_files, relations.table(spark, sf_dir, "orders").select(F.format_string("/data/rttm/rec%d.rttm", F.col("o_orderkey")).alias("path"))
+
+
+@query
+def paired_files(spark, sf_dir):
+    return selection.paired(*_paths(spark, sf_dir))
+
+
+@query
+def missing_files(spark, sf_dir):
+    return selection.missing(*_paths(spark, sf_dir))
+
+
+def _wavs(spark, sf_dir):
+    """Embeddings as sixteen-fold repeated PCM files."""
+
+    @F.pandas_udf("binary")
+    def write(rows: pd.Series) -> pd.Series:
+        return pd.Series([audio.encode_wav(np.tile(np.asarray(x), 16)) for x in rows])
+
+    return relations.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), write("embedding").alias("content"))
+
+
+@query
+def wav_scan(spark, sf_dir):
+    rows = audio.decode(_wavs(spark, sf_dir))
+    return rows.select("file_id", F.size("samples").alias("samples"), "sample_rate", "duration")
+
+
+@query
+def filter_banks(spark, sf_dir):
+    return audio.features(audio.decode(_wavs(spark, sf_dir)).select("file_id", "samples")).select("file_id", F.size("fbank").alias("frames"), F.size(F.get("fbank", 0)).alias("bins"))
+
+
+@query
+def statistics_pooling(spark, sf_dir):
+    rows = relations.embeddings(spark, sf_dir).withColumn("w", F.when(F.col("vec_id") % 3 > 0, 1.0).otherwise(0.0)).select("file_id", "w", F.posexplode("embedding").alias("dim", "x"))
+    total, squares = F.sum("w"), F.sum(F.col("w") * F.col("w"))
+    sums = rows.groupBy("file_id", "dim").agg(total.alias("n"), squares.alias("q"), F.sum(F.col("w") * F.col("x")).alias("s"), F.sum(F.col("w") * F.col("x").cast("double") * F.col("x").cast("double")).alias("ss"))
+    mean, n, q = F.col("s") / F.col("n"), F.col("n"), F.col("q")
+    spread = (F.col("ss") - n * mean * mean) / (n - q / n + 1e-8)
+    return sums.select("file_id", "dim", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(spread, F.lit(1e-10))), 5).alias("std"))
+
+
+@query
+def model_pipeline(spark, sf_dir):
+    """Windows, stub models, clustering and turns of short recordings, end to end."""
+    rows = audio.decode(_wavs(spark, sf_dir)).select("file_id", "samples")
+    config = PipelineConfig(step=256 / 16_000, ahc_threshold=1.0)
+    return pipeline.Pipeline(backend.StubBackend, kernels.Plda.synthetic(16, 8), config, window=512, frames_per_window=20).run(rows).segments
+
+
+@query
+def bench_summary(spark, sf_dir):
+    """Mean and least time and real-time factor by kind of event."""
+    e = relations.table(spark, sf_dir, "events")
+    sums = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_s"), F.min("value").alias("min_s"), F.count(F.lit(1)).alias("runs"), F.sum("value").alias("_t"))
+    return sums.select("event_type", "mean_s", "min_s", "runs", F.round(F.try_divide(F.col("runs") * 600.0, F.col("_t")), 6).alias("rtfx"))
+
+
+@query
+def queue_microbatch(spark, sf_dir):
+    schema = relations.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return queue.drain(spark, stream, lambda df: relations.segments_of(df)).groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.col("e_ms") - F.col("s_ms")).alias("speech"))
+
+
+@query
+def queue_fallback(spark, sf_dir):
+    """Jobs run one by one; those that fail keep their error."""
+    rows = relations.segments(spark, sf_dir)
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        if group["file_id"].iloc[0] % 7 == 3:
+            raise ValueError("bad recording")
+        return pd.DataFrame({"speech": [int((group["e_ms"] - group["s_ms"]).sum())]})
+
+    return queue.isolated(rows, "file_id", work, "speech long")
+
+
+@query
+def window_steps(spark, sf_dir):
+    """Chunks of each recording by its speaker with the most turns; a keyed top-1."""
+    seg = relations.segments(spark, sf_dir).groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    return seg.withColumn("_r", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("n"), "speaker"))).where("_r = 1").drop("_r")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_registry)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.SQL)
