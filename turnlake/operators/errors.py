@@ -44,20 +44,26 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, r) for r, j in pairs) if turned else sorted(pairs)
 
 
+def cells(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
+    """Elementary intervals in which anyone is active: file_id, dt, refs and hyps (the speakers of each side).
+
+    One range join and one aggregate, from which all figures of a file follow.  A
+    speaker that overlaps itself counts once.
+    """
+    merged = intervals.union(segments, ["file_id", "side", "speaker"])
+    on = intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"], width)
+    side = lambda name: F.collect_list(F.when(F.col("side") == name, F.col("speaker")))
+    return on.groupBy("file_id", "lo", "hi").agg(side("ref").alias("refs"), side("hyp").alias("hyps")).withColumn("dt", F.col("hi") - F.col("lo"))
+
+
 def cooccurrence(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
     """Per file and pair of a reference and a hypothesis speaker: how long both are active."""
-    cells, ref, hyp = _sides(segments, width)
-    on = ["file_id", "lo", "hi"]
-    pairs = ref.select(*on, F.col("speaker").alias("ref_speaker")).join(hyp.select(*on, F.col("speaker").alias("hyp_speaker")), on)
-    return pairs.groupBy("file_id", "ref_speaker", "hyp_speaker").agg(F.sum(F.col("hi") - F.col("lo")).alias("overlap"))
+    return _pairs(cells(segments, width))
 
 
-def _sides(segments: DataFrame, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # a speaker that overlaps itself counts once
-    merged = intervals.union(segments, ["file_id", "side", "speaker"])
-    cells = intervals.elementary(merged, ["file_id"])
-    on = intervals.active(cells, merged, ["file_id"], width)
-    return cells, on.where("side = 'ref'"), on.where("side = 'hyp'")
+def _pairs(rows: DataFrame) -> DataFrame:
+    pairs = rows.select("file_id", "dt", "hyps", F.explode("refs").alias("ref_speaker")).select("file_id", "dt", "ref_speaker", F.explode("hyps").alias("hyp_speaker"))
+    return pairs.groupBy("file_id", "ref_speaker", "hyp_speaker").agg(F.sum("dt").alias("overlap"))
 
 
 def best_overlap(pairs: DataFrame) -> DataFrame:
@@ -90,16 +96,14 @@ def components(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
     A file without reference has its hypothesis durations as false alarm, overlaps of a
     speaker with itself counted twice, and a total of 0.
     """
-    cells, ref, hyp = _sides(segments, width)
-    on = ["file_id", "lo", "hi"]
-    count = lambda side, name: side.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
-    cells = cells.join(count(ref, "r"), on, "left").join(count(hyp, "h"), on, "left").na.fill(0, ["r", "h"]).withColumn("dt", F.col("hi") - F.col("lo"))
+    rows = cells(segments, width)
+    r, h = F.size("refs"), F.size("hyps")
     total = lambda x: F.sum(x * F.col("dt"))
-    sums = cells.groupBy("file_id").agg(
-        total(F.col("r")).alias("total"), total(F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("missed"), total(F.greatest(F.lit(0), F.col("h") - F.col("r"))).alias("false_alarm"), total(F.least("r", "h")).alias("both")
+    sums = rows.groupBy("file_id").agg(
+        total(r).alias("total"), total(F.greatest(F.lit(0), r - h)).alias("missed"), total(F.greatest(F.lit(0), h - r)).alias("false_alarm"), total(F.least(r, h)).alias("both")
     )
     raw = segments.groupBy("file_id").agg(F.count_if(F.col("side") == "ref").alias("_refs"), F.sum(F.when(F.col("side") == "hyp", F.col("e_ms") - F.col("s_ms"))).alias("_raw"))
-    out = raw.join(sums, "file_id", "left").join(best_overlap(cooccurrence(segments, width)), "file_id", "left").na.fill(0, ["total", "missed", "false_alarm", "both", "matched", "_raw"])
+    out = raw.join(sums, "file_id", "left").join(best_overlap(_pairs(rows)), "file_id", "left").na.fill(0, ["total", "missed", "false_alarm", "both", "matched", "_raw"])
     alone = F.col("_refs") == 0
     return out.select(
         "file_id", "missed", F.when(alone, F.col("_raw")).otherwise(F.col("false_alarm")).alias("false_alarm"), (F.col("both") - F.col("matched")).alias("confusion"), "total",

@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from turnlake.config import FRAMES_PER_WINDOW, LOCAL_SPEAKERS, MAX_OVERLAP, SAMPLE_RATE, WINDOW_SECONDS, PipelineConfig
 from turnlake.operators import binarize, frames, kernels, layout, masks, powerset, smoothing, turns
 from turnlake.plans import backend as seam
 from turnlake.sources.annotations import exact_rttm_lines
+from turnlake.streaming import queue
 
 
 @dataclass
@@ -36,6 +38,10 @@ class Result:
     def rttm(self) -> DataFrame:
         return exact_rttm_lines(self.segments)
 
+    def exclusive(self) -> DataFrame:
+        """The discrete diarization with one speaker a frame at most."""
+        return frames.make_exclusive(self.discrete, score="active")
+
 
 def cluster_recordings(artifacts: Artifacts, plda: kernels.Plda, config: PipelineConfig) -> DataFrame:
     """Clusters of every (file_id, chunk_idx, speaker_idx): one kernel per recording, which must fit a worker."""
@@ -102,3 +108,7 @@ class Pipeline:
 
     #: many recordings are just more rows
     run_batch = run
+
+    def run_stream(self, audio: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
+        """Turns of the recordings of a stream, micro-batch by micro-batch, below ``out``."""
+        return queue.start(audio, lambda batch: self.run(batch).segments, out, available_now=available_now)
