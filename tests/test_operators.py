@@ -423,3 +423,18 @@ def test_failures_stay_with_their_job(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, -1), (3, 5)], "job int, x long")
     got = {r.job: (r.x, r.error) for r in queue.isolated(rows, "job", work, "x long").collect()}
     assert got == {1: (3, None), 2: (None, "ValueError: negative"), 3: (5, None)}
+
+
+def test_assignment_equals_search_of_all_choices():
+    from itertools import combinations, permutations
+
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n, clusters = int(rnd.integers(1, 4)), int(rnd.integers(1, 6))
+        scores = rnd.choice([0, 0.1, 0.25, 0.5, 1, 2], size=(n, clusters)).astype("float32")
+        active = sorted(rnd.choice(n, size=int(rnd.integers(1, n + 1)), replace=False).tolist())
+        size = min(len(active), clusters)
+        every = [dict(zip(chosen, picks)) for chosen in combinations(active, size) for picks in permutations(range(clusters), size)]
+        rank = lambda pairs: (-sum((scores[s, c] for s, c in pairs.items()), np.float32(0)), [pairs.get(s, -1) for s in active])
+        assert kernels.assign_chunk(scores, active) == min(every, key=rank)
+    assert len(kernels.assign_chunk(rnd.random((3, 2000)).astype("float32"), [0, 1, 2])) == 3

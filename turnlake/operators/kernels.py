@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations, permutations
+from itertools import combinations, product
 
 import numpy as np
 
@@ -171,13 +171,17 @@ def assign_chunk(scores: np.ndarray, active: list[int]) -> dict[int, int]:
     """Best one-to-one choice of clusters for the active local speakers.
 
     Of equal choices the first in order of the speakers' clusters wins, where a speaker
-    that is left out comes before any cluster.
+    that is left out comes before any cluster.  A speaker only needs as many of its best
+    clusters as speakers are placed: the others can't take them all.
     """
     clusters = scores.shape[1]
     size = min(len(active), clusters)
     best, found = (-np.inf, ()), {}
+    tops = {s: np.argsort(-scores[s], kind="stable")[:size].tolist() for s in active}
     for chosen in combinations(active, size):
-        for picks in permutations(range(clusters), size):
+        for picks in product(*[tops[s] for s in chosen]):
+            if len(set(picks)) < size:
+                continue
             total, pairs = np.float32(0), dict(zip(chosen, picks))
             for s, c in pairs.items():
                 total = np.float32(total + scores[s, c])
