@@ -12,6 +12,7 @@ and small stars.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,8 +117,8 @@ def signatures(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*each)).alias("sig"), "fp")
 
 
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
-    """Node and root (the least node of its component) of every node in the links u < v."""
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Node and root (the least node of its component) of every node in the links u < v; rounds go on until nothing changes."""
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,7 +127,7 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> Data
         return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"))
 
     edges, was = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         sides = both(edges)
         star = sides.join(least(sides), sides["u"] == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = scratch.save(star, f"large-{turn}")
