@@ -230,3 +230,8 @@ def test_backoff_prefers_words_then_longer_grams():
     unseen = model.word_scores("alphq")
     known = [model.grams[0][g] for g in ("_alph",)]
     assert np.allclose(unseen, sum(known) / len(known))
+
+
+def test_numbers_are_no_letters():
+    scorer = language_id.Scorer(language_id.train({"aa": {"alpha": 5}}))
+    assert [scorer.predict(t)[0] for t in ("² ½ ٣ 12", "Ⅳ ①", "\u0301", "é")] == ["und", "und", "und", "aa"]

@@ -36,31 +36,49 @@ TABLE_ENTRIES = 400_000
 TABLE_CHUNK = 48
 
 words_of = re.compile(r"[^\W\d_]+").findall
-has_letter = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (category L)."""
+    return any(map(str.isalpha, text))
+
+
+@dataclass
+class Table:
+    """Log frequencies by language: the row of each key, and the rows."""
+
+    row: dict[str, int]
+    logs: np.ndarray
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.logs[self.row[key]]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    words: Table
+    grams: list[Table] = field(default_factory=list)
 
     def word_scores(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+        if (known := self.words.row.get(word)) is not None:
+            return self.words.logs[known]
         padded = f"_{word}_"
         for order, table in zip(ORDERS, self.grams):
-            found = [v for i in range(len(padded) - order + 1) if (v := table.get(padded[i : i + order])) is not None]
+            found = [at for i in range(len(padded) - order + 1) if (at := table.row.get(padded[i : i + order])) is not None]
             if found:
-                return sum(found) / len(found)
+                return table.logs[found].mean(axis=0)
         return np.zeros(len(self.languages), "float32")
 
 
-def _log_table(counts: dict[str, dict[str, float]], languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Log frequency of each key by language, for the ``most`` commonest keys of every language."""
-    totals = {la: sum(counts[la].values()) for la in languages}
+def _log_table(counts: dict[str, dict[str, float]], languages: list[str], most: int) -> Table:
+    """The ``most`` commonest keys of every language; of equally common ones the first in order."""
     keys = sorted({k for la in languages for k, _ in sorted(counts[la].items(), key=lambda kv: (-kv[1], kv[0]))[:most]})
-    return {k: np.array([math.log((counts[la].get(k, 0) + SMOOTHING) / (totals[la] + SMOOTHING * len(keys))) for la in languages], "float32") for k in keys}
+    logs = np.zeros((len(keys), len(languages)), "float32")
+    for i, la in enumerate(languages):
+        n = np.fromiter((counts[la].get(k, 0) for k in keys), "float64", len(keys))
+        logs[:, i] = np.log((n + SMOOTHING) / (sum(counts[la].values()) + SMOOTHING * len(keys))) if keys else 0
+    return Table({k: i for i, k in enumerate(keys)}, logs)
 
 
 def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
