@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import operator
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,12 +274,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             )
 
     def sort(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-        by = defaultdict(list)
-        for batch in batches:
-            for b, chunk, names, again in zip(batch["bucket"], batch["chunk"], batch["names"], batch["again"]):
-                by[b].append((chunk, names, again))
-        for b in sorted(by):
-            yield pd.DataFrame([(b, *r) for r in _bucket_sort(by.pop(b), width)], columns=["bucket", "chunk", "tied", "chosen"])
+        rows = (row for batch in batches for row in zip(batch["bucket"], batch["chunk"], batch["names"], batch["again"]))
+        for b, parts in itertools.groupby(rows, key=operator.itemgetter(0)):
+            yield pd.DataFrame([(b, *r) for r in _bucket_sort([p[1:] for p in parts], width)], columns=["bucket", "chunk", "tied", "chosen"])
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, c, bits in chunks_of(batches, len(STEPS)):
@@ -298,7 +296,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         for n in range(len(STEPS)):
             sent = with_replies(replies, ["lens", "body"]).mapInPandas(functools.partial(send, n=n), "bucket int, chunk long, names binary, again binary")
             spark.conf.set(setting, "64")
-            back = sent.repartition(min(buckets, 8192), "bucket").mapInPandas(functools.partial(sort, width=4 if n == 0 else 8), "bucket int, chunk long, tied binary, chosen binary")
+            back = sent.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket").mapInPandas(functools.partial(sort, width=4 if n == 0 else 8), "bucket int, chunk long, tied binary, chosen binary")
             replies.append(scratch.save(back, f"bits-{n}"))
             spark.conf.set(setting, "4")
         done = with_replies(replies, ["lens", "body", "keys"]).mapInPandas(finish, "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
