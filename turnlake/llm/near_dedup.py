@@ -35,18 +35,21 @@ DIRECT = 4096
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash of the shingles of lower-cased (A-Z) words; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of lower-cased (A-Z) words, in order; fewer words are one shingle, and no words none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     body = b" ".join(words)
+    h = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(body, SEED)
+        return np.array([h(body, SEED)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), "int64", len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    h = xxhash.xxh64_intdigest
-    found = np.array([h(body[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+    return np.array([h(body[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned SimHash of the shingles; 0 without words."""
+    found = shingle_hashes(text, shingle)
     bits = np.zeros(64, "int64")
     for lo in range(0, len(found), 1 << 16):
         part = found[lo : lo + (1 << 16)]
@@ -117,7 +120,7 @@ def signatures(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*each)).alias("sig"), "fp")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, prefix: str = "") -> DataFrame:
     """Node and root (the least node of its component) of every node in the links u < v; rounds go on until nothing changes."""
 
     def both(e: DataFrame) -> DataFrame:
@@ -130,12 +133,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     for turn in itertools.count():
         sides = both(edges)
         star = sides.join(least(sides), sides["u"] == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        star = scratch.save(star, f"large-{turn}")
+        star = scratch.save(star, f"{prefix}large-{turn}")
         low = least(star)
         small = star.join(low, star["u"] == low["n"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = scratch.save(small, f"small-{turn}")
-        scratch.drop(f"large-{turn}", f"small-{turn - 1}")
+        edges = scratch.save(small, f"{prefix}small-{turn}")
+        scratch.drop(f"{prefix}large-{turn}", f"{prefix}small-{turn - 1}")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == was:
             break
@@ -168,17 +171,3 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = named.join(least, "root").select("fp", "component_id")
     return rows.join(groups, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that have the smallest key of their group.
-
-    Of rows that repeat a key one stays; rows without a key can't be named and stay.
-    """
-    groups = near_groups(df, key, text)
-    chosen = groups.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = Scratch(df.sparkSession, "near-dedup").save(chosen, "chosen")
-    kept = df.join(chosen.select(key), key, "left_semi")
-    if chosen.where("_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(key).isNull())).select(*df.columns)
