@@ -1,20 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules reject documents with too few words or too many repeated ones.  Beyond
-them, each rule of ``RULES`` has a ladder of cutoffs fixed in advance.  On labelled
-documents (quality 1: good) every cutoff is tested in every stratum: an exact
-binomial bound must show, at a level divided by all tests made (Bonferroni), that
-the rule rejects at most ``risk / number of rules`` of good documents.  The tightest
-cutoff that passes is used; a stratum without enough labels gets none, so its
-documents only face the base rules.  By the union bound a good document is falsely
-rejected with probability ``risk`` at most, in all strata at once with confidence
-1 - ``delta``.
+them, each rule of ``RULES`` has a ladder of cutoffs fixed in advance, and the rules
+are tightened together, step by step, along a path.  A fifth of the labelled good
+documents (quality 1) of all strata, and the labelled others, choose the path: the
+step that loses fewest good ones comes first, of those the one that catches most of
+the others.  On the rest of the good documents of a stratum the path is tested in
+fixed sequence: an exact binomial bound must show, at level ``delta`` / number of
+strata, that all rules together reject at most ``risk`` of good documents; the first
+step that fails ends the path.  The documents that test a path have no part in
+choosing it, so a stratum's only test at stake is that of the first step beyond
+``risk``.  A good document is falsely rejected with probability ``risk`` at most, in
+all strata at once with confidence 1 - ``delta``.  A stratum without enough labels
+(217 for four strata, if none is rejected) only faces the base rules.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ from turnlake.llm.scratch import Scratch
 RISK = 0.02
 DELTA = 0.05
 MAX_STRATA = 64
+#: One good labelled document in so many helps to choose the path and tests nothing.
+CHOOSING = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -109,23 +116,65 @@ def passes(rejected: int, n: int, risk: float, level: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(level)
 
 
+def tightening_path(own: np.ndarray, good: np.ndarray, junk: np.ndarray) -> list[int]:
+    """Rules in the order in which they are tightened by a step.
+
+    Each array has a row per kind of document: for each rule the first place in its
+    ladder that rejects it, then how many there are.  ``own`` are good documents of the
+    stratum, that count again beside ``good``.
+    """
+    at, steps = np.zeros(len(RULES), "int64"), []
+    lengths = [len(ladder) for _, _, _, ladder in RULES.values()]
+
+    def rejected(kinds: np.ndarray, to: np.ndarray) -> int:
+        return int(kinds[(kinds[:, :-1] < to).any(axis=1), -1].sum())
+
+    while len(steps) < sum(lengths):
+        options = []
+        for r, length in enumerate(lengths):
+            if at[r] < length:
+                to = at.copy()
+                to[r] += 1
+                options.append((rejected(own, to) + rejected(good, to), -rejected(junk, to), to[r] / length, r))
+        steps.append(min(options)[-1])
+        at[steps[-1]] += 1
+    return steps
+
+
+def certified(steps: list[int], kinds: np.ndarray, risk: float, level: float) -> list[int]:
+    """How many steps of each rule pass, tested in the order of ``steps`` up to the first that fails."""
+    at, n = np.zeros(len(RULES), "int64"), int(kinds[:, -1].sum())
+    for r in steps:
+        at[r] += 1
+        if not passes(int(kinds[(kinds[:, :-1] < at).any(axis=1), -1].sum()), n, risk, level):
+            at[r] -= 1
+            break
+    return at.tolist()
+
+
 def fit_cutoffs(rows: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Certified cutoffs: rule -> stratum -> cutoff, from the features of labelled good documents.
+    """Certified cutoffs: rule -> stratum -> cutoff, from the features of labelled documents.
 
     ``labels`` has ``key`` and quality; a document with several labels is good if all
-    are 1.  One small row per stratum, at most ``MAX_STRATA`` of them, is collected.
+    are 1.  At most ``MAX_STRATA`` strata are tested.  Collected are counts by the
+    places in the ladders that reject a document, a bounded number a stratum.
     """
-    good = labels.groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("q")).where("q = 1")
-    held = rows.where(~F.col("base_failed") & F.col("_stratum").isNotNull()).join(good, "_id")
-    tests = [(rule, i, c) for rule, (_, _, _, ladder) in RULES.items() for i, c in enumerate(ladder)]
-    counts = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(_beyond(rule, c)).alias(f"{rule}_{i}") for rule, i, c in tests])
-    strata = counts.orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()
-    level = delta / max(1, len(tests) * len(strata))
+    label = labels.groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("q")).where("q is not null")
+    held = rows.where(~F.col("base_failed") & F.col("_stratum").isNotNull()).join(label, "_id")
+    # 0: tests the path, 1: helps to choose it, 2: not good
+    use = F.when(F.col("q") != 1, 2).when(F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(CHOOSING)) == 0, 1).otherwise(0)
+    held = held.select("_stratum", use.alias("use"), *[sum((F.when(_beyond(r, c), 0).otherwise(1) for c in RULES[r][3]), F.lit(0)).alias(r) for r in RULES])
+    names = [r[0] for r in held.where("use = 0").groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()]
+    kinds: dict[tuple, list] = {}
+    for r in held.where(F.col("_stratum").isin(names)).groupBy("_stratum", "use", *RULES).agg(F.count(F.lit(1)).alias("n")).collect():
+        kinds.setdefault((r["_stratum"], r["use"]), []).append([*(r[rule] for rule in RULES), r["n"]])
+    table = lambda use, of: np.array([k for name in of for k in kinds.get((name, use), [])], "int64").reshape(-1, len(RULES) + 1)
+    good, junk = table(1, names), table(2, names)
     out: dict[str, dict[str, float]] = {rule: {} for rule in RULES}
-    for r in strata:
-        for rule, i, c in tests:
-            if passes(r[f"{rule}_{i}"], r["n"], risk / len(RULES), level):
-                out[rule][r["_stratum"]] = c
+    for name in names:
+        for rule, at in zip(RULES, certified(tightening_path(table(1, [name]), good, junk), table(0, [name]), risk, delta / len(names))):
+            if at:
+                out[rule][name] = RULES[rule][3][at - 1]
     return out
 
 
