@@ -19,6 +19,17 @@ def test_small_strata_get_cutoffs(spark):
     assert sum(not kept[r[0]] for r in data if r[0] < 100_000) <= 0.02 * 1600
 
 
+def test_no_stratum_and_the_rest_are_strata(spark, monkeypatch):
+    docs, labels, data = labelled(spark, 400, 30, ["en", None])
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert not any(kept[r[0]] for r in data if r[0] >= 100_000)
+    monkeypatch.setattr(quality_rules, "MAX_STRATA", 2)
+    docs, labels, data = labelled(spark, 200, 30, ["en", "en", None, None, "de", "fr"])  # de and fr: too few alone, enough together
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert not any(kept[r[0]] for r in data if r[0] >= 100_000)
+    assert sum(not kept[r[0]] for r in data if r[0] < 100_000) <= 0.02 * 1200
+
+
 def test_paths_falsely_pass_no_more_often_than_stated():
     rnd = np.random.default_rng(4)
     lengths = [len(ladder) for _, _, _, ladder in quality_rules.RULES.values()]

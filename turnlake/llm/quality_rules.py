@@ -12,7 +12,9 @@ step that fails ends the path.  The documents that test a path have no part in
 choosing it, so a stratum's only test at stake is that of the first step beyond
 ``risk``.  A good document is falsely rejected with probability ``risk`` at most, in
 all strata at once with confidence 1 - ``delta``.  A stratum without enough labels
-(217 for four strata, if none is rejected) only faces the base rules.
+(217 for four strata, if none is rejected) only faces the base rules.  Documents
+without a stratum are a stratum of their own; all strata but the ``MAX_STRATA`` with
+most labels are one rest stratum, tested like the others.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from turnlake.llm.scratch import Scratch
 RISK = 0.02
 DELTA = 0.05
 MAX_STRATA = 64
+#: Stands for all strata but those of their own.
+REST = object()
 #: One good labelled document in so many helps to choose the path and tests nothing.
 CHOOSING = 5
 MIN_WORDS = 10
@@ -152,46 +156,59 @@ def certified(steps: list[int], kinds: np.ndarray, risk: float, level: float) ->
     return at.tolist()
 
 
-def fit_cutoffs(rows: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Certified cutoffs: rule -> stratum -> cutoff, from the features of labelled documents.
+def _within(own: list[str | None], name: str | None) -> F.Column:
+    """Whether a row is of stratum ``name``, null or ``REST``: all but ``own``."""
+    column = F.col("_stratum")
+    if name is not REST:
+        return column.eqNullSafe(F.lit(name))
+    return ~(column.isNull() if None in own else F.lit(False)) & ~F.coalesce(column.isin([x for x in own if x is not None]), F.lit(False))
+
+
+def fit_cutoffs(rows: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> tuple[list, dict[str, dict]]:
+    """Strata of their own, and certified cutoffs: rule -> stratum -> cutoff, from the features of labelled documents.
 
     ``labels`` has ``key`` and quality; a document with several labels is good if all
-    are 1.  At most ``MAX_STRATA`` strata are tested.  Collected are counts by the
-    places in the ladders that reject a document, a bounded number a stratum.
+    are 1.  Beyond ``MAX_STRATA`` strata (null is one) the others are tested together as
+    ``REST``.  Collected are counts by the places in the ladders that reject a document,
+    a bounded number a stratum.
     """
     label = labels.groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("q")).where("q is not null")
-    held = rows.where(~F.col("base_failed") & F.col("_stratum").isNotNull()).join(label, "_id")
+    held = rows.where(~F.col("base_failed")).join(label, "_id")
     # 0: tests the path, 1: helps to choose it, 2: not good
     use = F.when(F.col("q") != 1, 2).when(F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(CHOOSING)) == 0, 1).otherwise(0)
     held = held.select("_stratum", use.alias("use"), *[sum((F.when(_beyond(r, c), 0).otherwise(1) for c in RULES[r][3]), F.lit(0)).alias(r) for r in RULES])
-    names = [r[0] for r in held.where("use = 0").groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA).collect()]
+    most = held.where("use = 0").groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA + 1).collect()
+    own = [r[0] for r in most[:MAX_STRATA]]
+    names = [*own, REST] if len(most) > MAX_STRATA else own
+    nth = F.coalesce(*[F.when(_within(own, name), i) for i, name in enumerate(names)], F.lit(-1))
     kinds: dict[tuple, list] = {}
-    for r in held.where(F.col("_stratum").isin(names)).groupBy("_stratum", "use", *RULES).agg(F.count(F.lit(1)).alias("n")).collect():
-        kinds.setdefault((r["_stratum"], r["use"]), []).append([*(r[rule] for rule in RULES), r["n"]])
+    for r in held.withColumn("nth", nth).where("nth >= 0").groupBy("nth", "use", *RULES).agg(F.count(F.lit(1)).alias("n")).collect():
+        kinds.setdefault((names[r["nth"]], r["use"]), []).append([*(r[rule] for rule in RULES), r["n"]])
     table = lambda use, of: np.array([k for name in of for k in kinds.get((name, use), [])], "int64").reshape(-1, len(RULES) + 1)
     good, junk = table(1, names), table(2, names)
-    out: dict[str, dict[str, float]] = {rule: {} for rule in RULES}
+    out: dict[str, dict] = {rule: {} for rule in RULES}
     for name in names:
         for rule, at in zip(RULES, certified(tightening_path(table(1, [name]), good, junk), table(0, [name]), risk, delta / len(names))):
             if at:
                 out[rule][name] = RULES[rule][3][at - 1]
-    return out
+    return own, out
 
 
 def _judged(df: DataFrame, labels: DataFrame, key: str, text: str, stratum: str, risk: float, delta: float, carry: bool) -> DataFrame:
     rows = Scratch(df.sparkSession, "quality").save(features(df, key, text, stratum, carry), "features")
     rejected = F.lit(False)
-    for rule, by in fit_cutoffs(rows, labels, key, risk, delta).items():
-        for name, cutoff in sorted(by.items()):
-            rejected = rejected | ((F.col("_stratum") == name) & _beyond(rule, cutoff))
+    own, cutoffs = fit_cutoffs(rows, labels, key, risk, delta)
+    for rule, by in cutoffs.items():
+        for name, cutoff in by.items():
+            rejected = rejected | (_within(own, name) & _beyond(rule, cutoff))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False)))
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Per row: ``key``, the five features, base_failed and kept.
 
-    Repeated rows and null keys are rows of their own; a null stratum or one without
-    a certified cutoff only faces the base rules; empty tables give empty results;
+    Repeated rows and null keys are rows of their own; a stratum without a certified
+    cutoff only faces the base rules; empty tables give empty results;
     other columns are ignored.  The features, narrow rows, are written once; texts
     are read once and never shuffled.
     """
