@@ -5,21 +5,29 @@ that covers it starts at two positions.  So suffixes need to be sorted only to t
 depth, and positions whose order no repeat can touch needn't be sorted at all.
 
 1. Cover samples.  Positions whose place modulo v lies in a difference cover D
-   (about 9 % of them at v = 133) are ranked by the ``length - v + 1`` bytes from
+   (about 9 % of them at v = 133) are sorted by the ``length - v + 1`` bytes from
    there.  For any two positions i, j some d < v puts both i + d and j + d into the
    cover, so if their strings are equal, these two samples are equal too.  A suffix
-   none of whose samples is tied is unique and is settled.
-2. Long ties.  Tied samples are ranked again by ``length + v`` bytes.  Samples that
+   none of whose samples ties is unique and is settled.  A tied sample is sorted with
+   v // 2 bytes more behind it, and with as many ahead of it: a repeated string that
+   holds it reaches as far on one of the two sides.
+2. Long ties.  Samples still tied are sorted again by ``length + v`` bytes.  Those that
    still tie settle all v + 1 suffixes whose strings lie inside: they repeat.  One
    sample of each tie, the representative, stands for the others from here on.
 3. The suffixes left (and those of representatives) are sorted bucket by bucket.
+4. Every tie that 2 and 3 rely on is compared byte for byte with its representative.
+   Neighbouring ties with one offset are one run of text, cut at the representative's
+   cells of ``CELL`` bytes, so that equal claims, however many, are one row.  Ties on
+   a cell where some byte differs are void: long ones leave their suffixes to step 3,
+   those of step 3 are settled by grouping the strings themselves.
 
 Each sort runs over buckets of the key space, one at a time, in memory bounded by
-the bucket and not by the corpus.  Names of strings are 64-bit polynomial hashes, so
-suffixes stand in the order of names, not of the alphabet; equal strings are
-neighbours all the same.  Texts stay where they are, in chunks of some MB in a
-table bucketed by chunk: a chunk sends each bucket its distinct names, so a string
-that is everywhere costs one name per chunk, and gets bits back in the same order.
+the bucket and not by the corpus.  Strings travel under 64-bit names, so suffixes
+stand in the order of names, not of the alphabet; equal strings are neighbours all
+the same, and step 4 makes sure that neighbours are equal.  Texts stay where they
+are, in chunks in a table bucketed by chunk: a chunk sends each bucket its distinct
+names, so a string that is everywhere costs one name per chunk.  Chunks and buckets
+both grow with the square root of the corpus, so rows grow in proportion to it.
 """
 
 from __future__ import annotations
@@ -27,22 +35,31 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import math
 import operator
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake.llm.scratch import Scratch
 
 LENGTH = 200
-CHUNK_BYTES = 1 << 21
-#: Bytes of text for each bucket of a sort, and for each stored partition of chunks.
-BUCKET_TEXT = 8 << 20
+#: Text of a chunk and of a bucket of a sort at ``SCALE_TEXT`` bytes of corpus; both grow with its square root, to the second figure.
+SCALE_TEXT = 100_000_000
+CHUNK_BYTES = (1 << 20, 24 << 20)
+BUCKET_TEXT = (4 << 20, 512 << 20)
+#: Text of a stored partition of chunks at least, and the most partitions that a bucketed table should have.
 PART_TEXT = 8 << 20
+MAX_PARTS = 50_000
+#: Bytes of the cells that claims of equality are cut at.
+CELL = 256
+#: Bytes of rows that travel to a Python worker at once, so that few chunks are in memory.
+BATCH_BYTES = "8m"
 
 # Perfect difference covers, by their modulus.
 COVERS = {
@@ -58,6 +75,13 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
 
 
+def sizes(total: int) -> tuple[int, int, int]:
+    """Bytes of a chunk, number of buckets and of stored partitions for ``total`` bytes of text."""
+    grown = math.sqrt(max(1.0, total / SCALE_TEXT))
+    chunk, bucket = (min(most, int(least * grown)) for least, most in (CHUNK_BYTES, BUCKET_TEXT))
+    return chunk, max(1, -(-total // bucket)), min(MAX_PARTS, max(1, -(-total // max(PART_TEXT, 2 * chunk))))
+
+
 def cover_for(length: int) -> tuple[int, np.ndarray]:
     """The largest cover that leaves samples a third of ``length`` at least."""
     v = max((v for v in COVERS if 3 * (length - v + 1) >= length), default=3)
@@ -84,12 +108,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Chunk:
     """Texts of some documents side by side, with names of any of their strings."""
 
-    def __init__(self, body: bytes, lens: np.ndarray, length: int):
+    def __init__(self, body: bytes, lens: np.ndarray, length: int, ident: int = 0, name_bits: int = 64):
         self.text = np.frombuffer(body, "u1")
+        self.body, self.ident = body, ident
         self.n = len(self.text)
         self.ends = np.cumsum(lens)
         self.length = length
         self.v, self.cover = cover_for(length)
+        self.short, self.long, self.half = length - self.v + 1, length + self.v, self.v // 2
+        self.keep = np.uint64((1 << 64) - (1 << (64 - name_bits)))
         size = 1 << max(10, int(self.n - 1).bit_length()) if self.n else 1 << 10
         self.up, self.down = _powers(size)
         self.sums = np.zeros(self.n + 1, "uint64")
@@ -100,11 +127,12 @@ class Chunk:
         return at + size <= self.ends[np.searchsorted(self.ends, at, "right")] if len(at) else np.zeros(0, bool)
 
     def names(self, at: np.ndarray, size: int) -> np.ndarray:
-        return _mix((self.sums[at + size] - self.sums[at]) * self.down[at])
+        return _mix((self.sums[at + size] - self.sums[at]) * self.down[at]) & self.keep
 
+    @functools.cached_property
     def samples(self) -> np.ndarray:
         at = np.flatnonzero(np.resize(self.cover, self.n)) if self.n else np.zeros(0, "int64")
-        return at[self.inside(at, self.length - self.v + 1)]
+        return at[self.inside(at, self.short)]
 
     def spread(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
         """Flags of all positions from ``before`` ahead of one in ``at`` to ``after`` behind it."""
@@ -114,199 +142,397 @@ class Chunk:
         return np.cumsum(step[:-1]) > 0
 
 
-# The positions whose names each sort gets, from the bits of the sorts before: (positions, bytes of a name's string).
+class Ties:
+    """What a sort found of a chunk's strings: which tie, and where their representatives stand."""
+
+    def __init__(self, at: np.ndarray, size: int):
+        n = len(at)
+        self.at, self.size = at, size
+        self.tied, self.chosen = np.zeros(n, bool), np.zeros(n, bool)
+        self.chunk, self.place = np.zeros(n, "int64"), np.zeros(n, "int64")
+
+
+# The positions whose names each sort gets, from the ties of the sorts before: (positions, bytes of a name's string).
+
 
+def _first(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    return c.samples, c.short
 
-def _first(c: Chunk, bits: list) -> tuple[np.ndarray, int]:
-    return c.samples(), c.length - c.v + 1
 
+def _second(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    tied, wide = c.samples[ties[0].tied], c.short + c.half
+    flags = np.zeros(c.n, bool)
+    flags[tied] = True
+    flags[tied[tied >= c.half] - c.half] = True
+    at = np.flatnonzero(flags)
+    return at[c.inside(at, wide)], wide
 
-def _second(c: Chunk, bits: list) -> tuple[np.ndarray, int]:
-    at = c.samples()[bits[0][0]]
-    return at[c.inside(at, c.length + c.v)], c.length + c.v
 
+def _third(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    at = c.samples[ties[0].tied]
+    at = at[_flags(c, ties[1])[at]]
+    return at[c.inside(at, c.long)], c.long
 
-def _third(c: Chunk, bits: list) -> tuple[np.ndarray, int]:
-    tied = c.samples()[bits[0][0]]
-    long, _ = _second(c, bits)
-    left = c.spread(tied, c.v - 1, 0) & ~c.spread(long[bits[1][0]], 0, c.v) | c.spread(long[bits[1][1]], 0, c.v)
+
+def _fourth(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    tied, wide, long = c.samples[ties[0].tied], _flags(c, ties[1]), ties[2]
+    left = c.spread(tied[wide[tied]], c.half, 0)
+    ahead = tied[tied >= c.half]
+    left |= c.spread(ahead[wide[ahead - c.half]] - c.half, c.v - 1 - c.half, 0)
+    left &= ~c.spread(long.at[long.tied], 0, c.v) | c.spread(long.at[long.chosen], 0, c.v)
     at = np.flatnonzero(left)
     return at[c.inside(at, c.length)], c.length
 
 
-def starts(c: Chunk, bits: list) -> np.ndarray:
+def _flags(c: Chunk, ties: Ties) -> np.ndarray:
+    out = np.zeros(c.n, bool)
+    out[ties.at[ties.tied]] = True
+    return out
+
+
+def starts(c: Chunk, ties: list[Ties]) -> np.ndarray:
     """Flags of the positions at which a repeated string starts."""
-    long, _ = _second(c, bits)
-    at, _ = _third(c, bits)
-    out = c.spread(long[bits[1][0]], 0, c.v)
-    out[at[bits[2][0]]] = True
+    out = c.spread(ties[LONG].at[ties[LONG].tied], 0, c.v)
+    out[ties[LAST].at[ties[LAST].tied]] = True
     return out
 
 
-STEPS = (_first, _second, _third)
+STEPS = (_first, _second, _third, _fourth)
+#: The first sorts are filters, whose names may be short; the others settle ties.
+LONG, LAST = 2, 3
 
 
-def _sorted_names(c: Chunk, bits: list, buckets: int) -> tuple:
-    """What a step sends: sorted distinct names, their bucket edges, whether each occurs again here; and how to read the reply."""
-    at, size = STEPS[len(bits)](c, bits)
+def _sorted_names(c: Chunk, at: np.ndarray, size: int, buckets: int) -> tuple:
+    """Sorted distinct names, whether each occurs again here, where first, their bucket edges; and how to read the reply."""
     names = c.names(at, size)
     order = np.argsort(names, kind="stable")
     ranked = names[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
-    which = np.cumsum(new) - 1
     distinct = ranked[new]
     again = np.diff(np.r_[np.flatnonzero(new), len(ranked)]) > 1
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype="uint64"))
-    return distinct, again, edges, order, which, new, len(at)
+    return distinct, again, at[order[new]], edges, order, np.cumsum(new) - 1
 
 
-def _read(reply: list, sent: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Bits by position of a step: tied, and tied and representative (its first position here)."""
-    distinct, _, edges, order, which, new, n = sent
-    tied, chosen = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-    for r in reply if reply is not None else ():
+def _read(c: Chunk, reply: list, at: np.ndarray, size: int, buckets: int, bad: list | None) -> Ties:
+    """The ties of a step by position; those that touch a bad cell of their representative are void."""
+    distinct, _, _, edges, order, which = _sorted_names(c, at, size, buckets)
+    ties = Ties(at, size)
+    tied, chunk, place = np.zeros(len(distinct), bool), np.zeros(len(distinct), "int64"), np.zeros(len(distinct), "int64")
+    for r in reply or ():
         a, b = edges[r["bucket"]], edges[r["bucket"] + 1]
         tied[a:b] = np.unpackbits(np.frombuffer(r["tied"], "u1"), count=b - a).astype(bool)
-        chosen[a:b] = np.unpackbits(np.frombuffer(r["chosen"], "u1"), count=b - a).astype(bool)
-    by_position, first = np.zeros(n, bool), np.zeros(n, bool)
-    by_position[order] = tied[which]
-    first[order] = chosen[which] & new
-    return by_position, first
-
-
-def _bits(c: Chunk, replies: list, buckets: int) -> list:
-    bits: list = []
-    for reply in replies:
-        bits.append(_read(reply, _sorted_names(c, bits, buckets)))
-    return bits
-
-
-def _bucket_sort(parts: list[tuple[int, bytes, bytes]], width: int) -> list[tuple[int, bytes, bytes]]:
-    """Sort one bucket's names of all chunks; (chunk, tied bits, representative bits) for each."""
+        if r["chunks"]:
+            k = a + np.flatnonzero(tied[a:b])
+            chunk[k], place[k] = np.frombuffer(r["chunks"], "<i8"), np.frombuffer(r["places"], "<u4")
+    ties.tied[order], ties.chunk[order], ties.place[order] = tied[which], chunk[which], place[which]
+    ties.chosen = ties.tied & (ties.chunk == c.ident) & (ties.place == at)
+    if bad:
+        cells: dict[int, list] = {}
+        for x in bad:
+            cells.setdefault(x["there"], []).append(x["cell"])
+        for there, found in cells.items():
+            k = np.flatnonzero(ties.tied & (ties.chunk == there))
+            found = np.sort(np.array(found, "int64"))
+            void = np.searchsorted(found, ties.place[k] // CELL) < np.searchsorted(found, (ties.place[k] + size - 1) // CELL, "right")
+            ties.tied[k[void]] = ties.chosen[k[void]] = False
+    return ties
+
+
+def _claims(c: Chunk, ties: Ties) -> Iterator[tuple[int, int, int, bytes]]:
+    """What has to be equal for the ties to hold: (0, own chunk, place, bytes) of the cells of representatives and (1, chunk, place, bytes) of texts that claim to stand there too."""
+    own = np.flatnonzero(ties.chosen)
+    cells: set[int] = set()
+    for a in np.unique(ties.at[own] // CELL).tolist():
+        cells.update(range(a, a + -(-ties.size // CELL) + 1))
+    for g in sorted(cells):
+        if piece := c.body[g * CELL : (g + 1) * CELL]:
+            yield 0, c.ident, g * CELL, piece
+    k = np.flatnonzero(ties.tied & ~ties.chosen)
+    if not len(k):
+        return
+    at, chunk, place = ties.at[k], ties.chunk[k], ties.place[k]
+    new = np.r_[True, (chunk[1:] != chunk[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (at[1:] > at[:-1] + ties.size)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:] - 1, len(k) - 1]
+    for there, a, b, to in zip(chunk[first].tolist(), at[first].tolist(), (at[last] + ties.size).tolist(), place[first].tolist()):
+        if there == c.ident and c.body[a:b] == c.body[to : to + b - a]:
+            continue
+        end = to + b - a
+        while to < end:
+            size = min(end, (to // CELL + 1) * CELL) - to
+            yield 1, there, to, c.body[a : a + size]
+            a, to = a + size, to + size
+
+
+def _bucket_sort(parts: list[tuple], width: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Sort one bucket's names of all chunks; for each (chunk, tied bits, chunks and places of the representatives of the tied)."""
     parts.sort(key=lambda p: p[0])
     names = [np.frombuffer(p[1], f"<u{width}") for p in parts]
-    sizes = [len(x) for x in names]
-    again = np.concatenate([np.unpackbits(np.frombuffer(p[2], "u1"), count=n) for p, n in zip(parts, sizes)]).astype(bool)
+    lengths = [len(x) for x in names]
+    again = np.concatenate([np.unpackbits(np.frombuffer(p[2], "u1"), count=n) for p, n in zip(parts, lengths)]).astype(bool)
     flat = np.concatenate(names)
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     counts = np.diff(np.r_[edges, len(flat)])
     tie = (counts > 1) | np.logical_or.reduceat(again[order], edges)
-    tied, chosen = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    tied = np.zeros(len(flat), bool)
     tied[order] = np.repeat(tie, counts)
-    chosen[order[edges]] = tie  # the first of a stable sort: the lowest chunk
-    cuts = np.cumsum(sizes)[:-1]
-    return [(p[0], np.packbits(t).tobytes(), np.packbits(x).tobytes()) for p, t, x in zip(parts, np.split(tied, cuts), np.split(chosen, cuts))]
+    cuts = np.cumsum(lengths)[:-1]
+    bits = [np.packbits(t).tobytes() for t in np.split(tied, cuts)]
+    if width == 4:
+        return [(p[0], t, b"", b"") for p, t in zip(parts, bits)]
+    # the representative is the first of a stable sort: of the lowest chunk
+    heads = order[edges]
+    chunks, places = np.zeros(len(flat), "<i8"), np.zeros(len(flat), "<u4")
+    chunks[order] = np.repeat(np.repeat([p[0] for p in parts], lengths)[heads], counts)
+    places[order] = np.repeat(np.concatenate([np.frombuffer(p[3], "<u4") for p in parts])[heads], counts)
+    return [(p[0], t, x[y].tobytes(), z[y].tobytes()) for p, t, x, z, y in zip(parts, bits, np.split(chunks, cuts), np.split(places, cuts), np.split(tied, cuts))]
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("again", pa.binary()), ("first", pa.binary())])
+TOUCHED = pa.schema([("chunk", pa.int64()), ("there", pa.int64()), ("cell", pa.int64())])
+STRINGS = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("string", pa.binary())])
+REPLY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("tied", pa.binary()), ("chunks", pa.binary()), ("places", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
-def chunked(df: DataFrame, key_json: str, text: str) -> DataFrame:
-    """Rows side by side in chunks of about ``CHUNK_BYTES``: chunk, keys, lens, body."""
+def chunked(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (k: any, b binary) side by side in chunks of about ``size`` bytes: chunk, keys, lens, body."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, nth, keys, bodies, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, nth, keys, bodies, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": [part << 32 | nth], "keys": [keys], "lens": [[len(b) for b in bodies]], "body": [b"".join(bodies)]})
+        def out() -> pa.RecordBatch:
+            rows = pa.concat_arrays(keys)
+            whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | nth]), whole, pa.array([[len(b) for b in bodies]], pa.list_(pa.int64())), pa.array([b"".join(bodies)], pa.binary())], ["chunk", "keys", "lens", "body"])
 
         for batch in batches:
-            for k, b in zip(batch["k"], batch["b"]):
-                keys.append(k)
-                bodies.append(b or b"")
-                size += len(bodies[-1])
-                if size >= CHUNK_BYTES:
+            begin, k = 0, batch.column(0)
+            for i, b in enumerate(batch.column(1)):
+                bodies.append(b.as_py() or b"")
+                held += len(bodies[-1])
+                if held >= size:
+                    keys.append(k[begin : i + 1])
                     yield out()
-                    nth, keys, bodies, size = nth + 1, [], [], 0
-        if keys:
+                    begin, nth, keys, bodies, held = i + 1, nth + 1, [], [], 0
+            if begin < len(k):
+                keys.append(k[begin:])
+        if bodies:
             yield out()
 
-    return df.select(F.col(key_json).alias("k"), F.col(text).cast("binary").alias("b")).mapInPandas(build, "chunk long, keys array<string>, lens array<long>, body binary")
-
+    kind = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(rows.schema["k"].dataType)), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType())])
+    return rows.select("k", "b").mapInArrow(build, kind)
+
+
+def with_ties(batches: Iterator[pa.RecordBatch], steps: int, length: int, buckets: int, name_bits: int) -> Iterator[tuple]:
+    """Each chunk with access to its row and with its ties of the first ``steps`` sorts."""
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            got = lambda x: batch.column(names.index(x))[i] if x in names else None  # noqa: B023, E731
+            listed = lambda x: v.as_py() if (v := got(x)) is not None else None  # noqa: B023, E731
+            c = Chunk(got("body").as_buffer().to_pybytes(), np.array(got("lens").values), length, got("chunk").as_py(), name_bits)
+            ties: list[Ties] = []
+            for n in range(steps):
+                ties.append(_read(c, listed(f"ties{n}"), *STEPS[n](c, ties), buckets, listed(f"bad{n}")))
+            yield got, listed, c, ties
+
+
+class Repeats:
+    """The passes over a table of chunks that find repeated strings."""
+
+    def __init__(self, scratch: Scratch, name: str, length: int, buckets: int, name_bits: int):
+        self.scratch, self.name, self.buckets = scratch, name, buckets
+        self.chunks = functools.partial(with_ties, length=length, buckets=buckets, name_bits=name_bits)
+        self.replies: dict[str, DataFrame] = {}
+        self.saved: dict[str, str] = {}
+
+    def table(self, *columns: str) -> DataFrame:
+        """The chunks with all replies to them."""
+        out = self.scratch.spark.table(self.name).select("chunk", "lens", "body", *columns)
+        for key, reply in self.replies.items():
+            by = reply.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in reply.columns if c != "chunk"])).alias("_of")).select(F.col("chunk").alias("_to"), F.col("_of").alias(key))
+            out = out.join(by.hint("shuffle_hash"), F.col("chunk") == F.col("_to"), "left").drop("_to")
+        return out
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
+    def sort(self, n: int) -> None:
+        """Send the names of step ``n`` to their buckets, sort these, and keep the replies."""
+        chunks, buckets = self.chunks, self.buckets
+        width = 4 if n < LONG else 8
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, c, ties in chunks(batches, n):
+                distinct, again, first, edges, *_ = _sorted_names(c, *STEPS[n](c, ties), buckets)
+                if n < LONG:
+                    distinct = (distinct >> np.uint64(8)).astype("<u4")
+                out = [
+                    (int(b), c.ident, distinct[x:y].tobytes(), np.packbits(again[x:y]).tobytes(), first[x:y].astype("<u4").tobytes() if n >= LONG else b"")
+                    for b, x, y in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist())
+                    if y > x
+                ]
+                yield _batch(out, SENT)
+
+        def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for batch in batches for row in zip(*[batch.column(i).to_pylist() for i in range(5)]))
+            for b, parts in itertools.groupby(rows, key=operator.itemgetter(0)):
+                yield _batch([(b, *r) for r in _bucket_sort([p[1:] for p in parts], width)], REPLY)
+
+        sent = self.table().mapInArrow(send, "bucket int, chunk long, names binary, again binary, first binary")
+        back = sent.repartition(self.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "bucket int, chunk long, tied binary, chunks binary, places binary")
+        self.keep(f"ties{n}", back)
+
+    def keep(self, key: str, reply: DataFrame) -> None:
+        self.saved[key] = f"{key}-{len(self.scratch.paths)}"
+        self.replies[key] = self.scratch.save(reply, self.saved[key])
+
+    def drop(self, key: str) -> None:
+        self.replies.pop(key)
+        self.scratch.drop(self.saved.pop(key))
+
+    def finish(self, texts: bool, check: tuple[int, ...]) -> DataFrame:
+        """A row per document (step -1), and the claims of the steps ``check``."""
+        kind = self.scratch.spark.table(self.name).schema["keys"].dataType.elementType
+        chunks = self.chunks
+        fields = [("step", T.IntegerType()), ("k", kind), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType())]
+        fields += [("claim", T.BooleanType()), ("chunk", T.LongType()), ("place", T.LongType()), ("piece", T.BinaryType())]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for got, listed, c, ties in chunks(batches, len(STEPS)):
+                begin = starts(c, ties)
+                for x in listed("exact") or ():
+                    begin[x["place"]] = True
+                gone = c.spread(np.flatnonzero(begin), 0, c.length - 1) if c.n else np.zeros(0, bool)
+                rows, at = [], 0
+                for end in c.ends.tolist():
+                    g, body = gone[at:end], c.text[at:end]
+                    kept = body[~g].tobytes()
+                    spans = int(np.count_nonzero(np.diff(g.astype("i1"), prepend=0) == 1))
+                    rows.append((end - at, int(np.count_nonzero(g)), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if texts else None))
+                    at = end
+                keys, n = got("keys").values, len(rows)
+                done = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), keys, *done, pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], [f for f, _ in fields])
+                for step in check:
+                    claims = list(_claims(c, ties[step]))
+                    for lo in range(0, len(claims), 4096):
+                        flag, chunk, place, piece = zip(*claims[lo : lo + 4096])
+                        m = len(flag)
+                        empty = [pa.nulls(m, keys.type), *(pa.nulls(m, x.type) for x in done)]
+                        made = [pa.array([f == 1 for f in flag]), pa.array(chunk, pa.int64()), pa.array(place, pa.int64()), pa.array(piece, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([pa.array([step] * m, pa.int32()), *empty, *made], [f for f, _ in fields])
+
+        return self.table("keys").mapInArrow(run, T.StructType([T.StructField(f, t) for f, t in fields]))
+
+    def bad_cells(self, found: DataFrame) -> DataFrame | None:
+        """Cells (step, chunk, cell) of representatives where some claim isn't true; None without any."""
+        mine = found.where("step >= 0").withColumn("cell", F.expr(f"place div {CELL}"))
+        claims = mine.where("claim").select("step", "chunk", "cell", "place", "piece").distinct()
+        cells = mine.where("not claim").select(F.col("step").alias("_s"), F.col("chunk").alias("_c"), F.col("cell").alias("_g"), F.col("piece").alias("_whole")).distinct()
+        both = claims.join(cells, (F.col("step") == F.col("_s")) & (F.col("chunk") == F.col("_c")) & (F.col("cell") == F.col("_g")), "left")
+        same = F.substring(F.col("_whole"), (F.col("place") % CELL + 1).cast("int"), F.octet_length("piece")).eqNullSafe(F.col("piece"))
+        bad = self.scratch.save(both.where(~same).select("step", "chunk", "cell").distinct(), f"bad-{uuid.uuid4().hex[:6]}")
+        return bad if bad.limit(1).count() else None
+
+    def void(self, step: int, bad: DataFrame) -> None:
+        """Tell every chunk the bad cells of a step that it is to heed.
+
+        Chunks tell which cells their ties touch; only called where a claim has failed.
+        """
+        chunks = self.chunks
+        cells = bad.where(F.col("step") == step).select(F.col("chunk").alias("there"), "cell")
+
+        def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, c, ties in chunks(batches, step + 1):
+                t = ties[step]
+                k = np.flatnonzero(t.tied)
+                spans = np.unique(np.stack([t.chunk[k], t.place[k] // CELL, (t.place[k] + t.size - 1) // CELL], axis=1), axis=0) if len(k) else np.zeros((0, 3), "int64")
+                yield _batch(sorted({(c.ident, there, g) for there, a, b in spans.tolist() for g in range(a, b + 1)}), TOUCHED)
+
+        met = self.table().mapInArrow(touched, "chunk long, there long, cell long")
+        self.keep(f"bad{step}", met.join(cells, ["there", "cell"], "left_semi").select("chunk", "there", "cell"))
+
+    def exact(self) -> None:
+        """Void ties of the last step are settled by grouping the strings themselves."""
+        chunks, buckets = self.chunks, self.buckets
+
+        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, listed, c, ties in chunks(batches, len(STEPS) - 1):
+                at, size = STEPS[-1](c, ties)
+                before = _read(c, listed(f"ties{len(STEPS) - 1}"), at, size, buckets, None)
+                after = _read(c, listed(f"ties{len(STEPS) - 1}"), at, size, buckets, listed(f"bad{len(STEPS) - 1}"))
+                doubt = at[before.tied & ~after.tied]
+                for lo in range(0, len(doubt), 4096):
+                    part = doubt[lo : lo + 4096].tolist()
+                    yield _batch([(c.ident, i, c.body[i : i + size]) for i in part], STRINGS)
+
+        rows = self.scratch.save(self.table().mapInArrow(strings, "chunk long, place long, string binary"), f"strings-{uuid.uuid4().hex[:6]}")
+        again = rows.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+        self.keep("exact", rows.join(again, "string", "left_semi").select("chunk", "place"))
+
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, texts: bool = False, name_bits: int = 64) -> DataFrame:
     """Per row: ``key``, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` all columns of ``df``, the text cut.
 
     Every byte goes that some ``length``-byte string covers which also starts anywhere
     else, in the same document or another, judged on the input.  Strings never cross
     documents.  Null texts are empty (and stay null with ``texts``); repeated rows are
-    documents of their own, so all but short ones lose everything; null keys are
-    allowed; an empty table gives an empty result; other columns are ignored, or kept
-    with ``texts``.  A text cut inside a character loses the rest of that character.
-    A single document must fit a worker, at some 50 bytes a byte.
+    documents of their own, so all but short ones lose everything; null keys and keys of
+    any type are allowed; an empty table gives an empty result; other columns are
+    ignored, or kept as they are with ``texts``, whatever their names and types (those
+    that Arrow can hold).  A text cut inside a character loses the rest of that
+    character.  A single document must fit a worker, at some 50 bytes a byte.  A
+    bucketed table stands in the session's catalog while it runs.  ``name_bits`` below
+    64 makes names coarser and the results no different.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets, parts = max(1, -(-total // BUCKET_TEXT)), min(8192, max(1, -(-total // PART_TEXT)))
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("binary")))).first()[0] or 0
+    size, buckets, parts = sizes(total)
     carried = [c for c in df.columns if c != text] if texts else [key]
-    keyed = df.select(F.to_json(F.struct(*[F.col(c) for c in carried], F.col(text).isNull().alias("__null"))).alias("_json"), F.col(text))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text}`").isNull().alias("none"))
     name = f"turnlake_chunks_{uuid.uuid4().hex}"
-    path = f"{scratch.base}/chunks"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     was = spark.conf.get(setting)
-    chunked(keyed, "_json", text).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
-    scratch.paths["chunks"] = path
-
-    def with_replies(replies: list[DataFrame], columns: list[str]) -> DataFrame:
-        out = spark.table(name).select("chunk", *columns)
-        for i, r in enumerate(replies):
-            by = r.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "tied", "chosen")).alias(f"r{i}"))
-            out = out.join(by.hint("shuffle_hash"), "chunk", "left")
-        return out
-
-    def chunks_of(batches: Iterator[pd.DataFrame], n: int):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                c = Chunk(row.body, np.asarray(row.lens), length)
-                yield row, c, _bits(c, [getattr(row, f"r{i}") for i in range(n)], buckets)
-
-    def send(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-        for row, c, bits in chunks_of(batches, n):
-            distinct, again, edges, *_ = _sorted_names(c, bits, buckets)
-            if n == 0:  # a filter only: its names may be short
-                distinct = distinct.astype("<u4")
-            full = np.flatnonzero(edges[1:] > edges[:-1])
-            yield pd.DataFrame(
-                [(int(b), row.chunk, distinct[edges[b] : edges[b + 1]].tobytes(), np.packbits(again[edges[b] : edges[b + 1]]).tobytes()) for b in full], columns=["bucket", "chunk", "names", "again"]
-            )
-
-    def sort(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in zip(batch["bucket"], batch["chunk"], batch["names"], batch["again"]))
-        for b, parts in itertools.groupby(rows, key=operator.itemgetter(0)):
-            yield pd.DataFrame([(b, *r) for r in _bucket_sort([p[1:] for p in parts], width)], columns=["bucket", "chunk", "tied", "chosen"])
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, c, bits in chunks_of(batches, len(STEPS)):
-            gone = c.spread(np.flatnonzero(starts(c, bits)), 0, length - 1) if c.n else np.zeros(0, bool)
-            out, at = [], 0
-            for k, end in zip(row.keys, c.ends.tolist()):
-                g, body = gone[at:end], c.text[at:end]
-                kept = body[~g].tobytes()
-                spans = int(np.count_nonzero(np.diff(g.astype("i1"), prepend=0) == 1))
-                out.append((k, end - at, int(np.count_nonzero(g)), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if texts else None))
-                at = end
-            yield pd.DataFrame(out, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
     try:
-        spark.conf.set(setting, "4")
-        replies: list[DataFrame] = []
+        spark.conf.set(setting, BATCH_BYTES)
+        scratch.paths["chunks"] = f"{scratch.base}/chunks"
+        stored = chunked(df.select(row.alias("k"), F.col(f"`{text}`").cast("binary").alias("b")), size)
+        stored.write.format("parquet").option("path", scratch.paths["chunks"]).option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name)
+        repeats = Repeats(scratch, name, length, buckets, name_bits)
         for n in range(len(STEPS)):
-            sent = with_replies(replies, ["lens", "body"]).mapInPandas(functools.partial(send, n=n), "bucket int, chunk long, names binary, again binary")
-            spark.conf.set(setting, "64")
-            back = sent.repartition(min(buckets, 8192), "bucket").sortWithinPartitions("bucket").mapInPandas(functools.partial(sort, width=4 if n == 0 else 8), "bucket int, chunk long, tied binary, chosen binary")
-            replies.append(scratch.save(back, f"bits-{n}"))
-            spark.conf.set(setting, "4")
-        done = with_replies(replies, ["lens", "body", "keys"]).mapInPandas(finish, "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-        done = scratch.save(done, "done")
+            repeats.sort(n)
+        check: tuple[int, ...] = (LONG, LAST)
+        while True:
+            scratch.drop(*[x for x in scratch.paths if x.startswith("done")])
+            found = scratch.save(repeats.finish(texts, check), f"done-{len(check)}")
+            bad = repeats.bad_cells(found) if check else None
+            if bad is None:
+                break
+            if LONG in check and bad.where(F.col("step") == LONG).limit(1).count():
+                repeats.void(LONG, bad)
+                repeats.drop(f"ties{LAST}")
+                repeats.sort(LAST)
+                check = (LAST,)
+            else:
+                repeats.void(LAST, bad)
+                repeats.exact()
+                check = ()
     finally:
         spark.conf.set(setting, was)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        scratch.drop("chunks", *[f"bits-{n}" for n in range(len(STEPS))])
-    kind = df.select(*carried).withColumn("__null", F.lit(True)).schema
-    done = done.withColumn("_k", F.from_json("k", kind))
+        scratch.drop(*[x for x in scratch.paths if not x.startswith("done")])
+    done = found.where("step = -1")
     if texts:
-        return done.select(*[F.when(~F.col("_k.__null"), F.col("kept")).alias(c) if c == text else F.col(f"_k.`{c}`").alias(c) for c in df.columns])
-    return done.select(F.col(f"_k.`{key}`").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        at = {c: i for i, c in enumerate(carried)}
+        return done.select(*[F.when(~F.col("k.none"), F.col("kept")).cast(df.schema[c].dataType).alias(c) if c == text else F.col(f"k.c{at[c]}").alias(c) for c in df.columns])
+    return done.select(F.col("k.c0").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
