@@ -49,7 +49,7 @@ def _local(texts, length, size, buckets):
         chunks.append(suffix_dedup.Chunk(b"".join(bodies), np.array([len(b) for b in bodies]), length, nth))
     ties = [[] for _ in chunks]
     for n, step in enumerate(suffix_dedup.STEPS):
-        width = 4 if n < suffix_dedup.LONG else 8
+        width = 8 if n in (suffix_dedup.LONG, suffix_dedup.LAST) else 4
         asked = [step(c, t) for c, t in zip(chunks, ties)]
         sent = [suffix_dedup._sorted_names(c, *a, buckets) for c, a in zip(chunks, asked)]
         replies = [[] for _ in chunks]
@@ -58,7 +58,7 @@ def _local(texts, length, size, buckets):
             for i, (names, again, first, edges, *_) in enumerate(sent):
                 a, z = edges[bucket], edges[bucket + 1]
                 if z > a:
-                    cut = (names[a:z] >> np.uint64(8)).astype("<u4") if n < suffix_dedup.LONG else names[a:z]
+                    cut = (names[a:z] >> np.uint64(8)).astype("<u4") if width == 4 else names[a:z]
                     parts.append((i, cut.tobytes(), np.packbits(again[a:z]).tobytes(), first[a:z].astype("<u4").tobytes()))
             if parts:
                 for i, tied, there, places in suffix_dedup._bucket_sort(parts, width):

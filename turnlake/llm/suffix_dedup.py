@@ -8,13 +8,13 @@ depth, and positions whose order no repeat can touch needn't be sorted at all.
    (about 9 % of them at v = 133) are sorted by the ``length - v + 1`` bytes from
    there.  For any two positions i, j some d < v puts both i + d and j + d into the
    cover, so if their strings are equal, these two samples are equal too.  A suffix
-   none of whose samples ties is unique and is settled.  A tied sample is sorted with
-   v // 2 bytes more behind it, and with as many ahead of it: a repeated string that
-   holds it reaches as far on one of the two sides.
-2. Long ties.  Samples still tied are sorted again by ``length + v`` bytes.  Those that
+   none of whose samples ties is unique and is settled.  Places are counted from
+   points that the text itself chooses, so copies mostly have the same samples.
+2. Long ties.  Tied samples are sorted again by ``length + v`` bytes.  Those that
    still tie settle all v + 1 suffixes whose strings lie inside: they repeat.  One
    sample of each tie, the representative, stands for the others from here on.
-3. The suffixes left (and those of representatives) are sorted bucket by bucket.
+3. The suffixes left (and those of representatives) are sorted bucket by bucket: by
+   short names, which leaves out those that are alone, and the others by whole ones.
 4. Every tie that 2 and 3 rely on is compared byte for byte with its representative.
    Neighbouring ties with one offset are one run of text, cut at the representative's
    cells of ``CELL`` bytes, so that equal claims, however many, are one row.  Ties on
@@ -71,6 +71,9 @@ COVERS = {
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
 
+#: About one position in so many starts the cover anew.
+ANCHOR = 64
+_ODD = np.array([40503, 10139, 29333, 51437], "u2")
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
 
@@ -115,7 +118,7 @@ class Chunk:
         self.ends = np.cumsum(lens)
         self.length = length
         self.v, self.cover = cover_for(length)
-        self.short, self.long, self.half = length - self.v + 1, length + self.v, self.v // 2
+        self.short, self.long = length - self.v + 1, length + self.v
         self.keep = np.uint64((1 << 64) - (1 << (64 - name_bits)))
         size = 1 << max(10, int(self.n - 1).bit_length()) if self.n else 1 << 10
         self.up, self.down = _powers(size)
@@ -131,7 +134,31 @@ class Chunk:
 
     @functools.cached_property
     def samples(self) -> np.ndarray:
-        at = np.flatnonzero(np.resize(self.cover, self.n)) if self.n else np.zeros(0, "int64")
+        """Sorted cover positions.  The cover starts anew at every document and at places that their next four bytes choose.
+
+        So equal texts have equal samples from the first such place on.  The cover still
+        holds for any two equal strings: either their first v positions have such a
+        place, which is a sample in both, or in both they count on without a break.
+        """
+        if not self.n:
+            return np.zeros(0, "int64")
+        chosen = np.zeros(self.n, bool)
+        if self.v + len(_ODD) <= self.length and len(_ODD) <= self.n:  # else the four bytes may reach beyond a string
+            t, h = self.text.astype("u2"), np.zeros(self.n, "u2")
+            for k, odd in enumerate(_ODD):
+                h[: self.n - k] += t[k:] * odd
+            chosen = h < (1 << 16) // ANCHOR
+            for k in range(1, len(_ODD)):  # the bytes must be the document's own
+                chosen[(self.ends - k)[self.ends >= k]] = False
+        begin = np.r_[0, self.ends[:-1]]
+        chosen[begin[begin < self.n]] = True
+        anchors = np.flatnonzero(chosen)
+        gaps = np.diff(np.r_[anchors, self.n])
+        cover = np.flatnonzero(self.cover)
+        cover = (np.arange(int(gaps.max()) // self.v + 1)[:, None] * self.v + cover).ravel()
+        counts = np.searchsorted(cover, gaps)
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(anchors, counts) + cover[nth]
         return at[self.inside(at, self.short)]
 
     def spread(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -160,34 +187,20 @@ def _first(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
 
 
 def _second(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
-    tied, wide = c.samples[ties[0].tied], c.short + c.half
-    flags = np.zeros(c.n, bool)
-    flags[tied] = True
-    flags[tied[tied >= c.half] - c.half] = True
-    at = np.flatnonzero(flags)
-    return at[c.inside(at, wide)], wide
-
-
-def _third(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
     at = c.samples[ties[0].tied]
-    at = at[_flags(c, ties[1])[at]]
     return at[c.inside(at, c.long)], c.long
 
 
-def _fourth(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
-    tied, wide, long = c.samples[ties[0].tied], _flags(c, ties[1]), ties[2]
-    left = c.spread(tied[wide[tied]], c.half, 0)
-    ahead = tied[tied >= c.half]
-    left |= c.spread(ahead[wide[ahead - c.half]] - c.half, c.v - 1 - c.half, 0)
+def _third(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    long = ties[LONG]
+    left = c.spread(c.samples[ties[0].tied], c.v - 1, 0)
     left &= ~c.spread(long.at[long.tied], 0, c.v) | c.spread(long.at[long.chosen], 0, c.v)
     at = np.flatnonzero(left)
     return at[c.inside(at, c.length)], c.length
 
 
-def _flags(c: Chunk, ties: Ties) -> np.ndarray:
-    out = np.zeros(c.n, bool)
-    out[ties.at[ties.tied]] = True
-    return out
+def _fourth(c: Chunk, ties: list[Ties]) -> tuple[np.ndarray, int]:
+    return ties[2].at[ties[2].tied], c.length
 
 
 def starts(c: Chunk, ties: list[Ties]) -> np.ndarray:
@@ -198,8 +211,8 @@ def starts(c: Chunk, ties: list[Ties]) -> np.ndarray:
 
 
 STEPS = (_first, _second, _third, _fourth)
-#: The first sorts are filters, whose names may be short; the others settle ties.
-LONG, LAST = 2, 3
+#: Two sorts settle ties; the other two only leave out what is alone, so their names may be short.
+LONG, LAST = 1, 3
 
 
 def _sorted_names(c: Chunk, at: np.ndarray, size: int, buckets: int) -> tuple:
@@ -368,15 +381,15 @@ class Repeats:
     def sort(self, n: int) -> None:
         """Send the names of step ``n`` to their buckets, sort these, and keep the replies."""
         chunks, buckets = self.chunks, self.buckets
-        width = 4 if n < LONG else 8
+        width = 8 if n in (LONG, LAST) else 4
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, c, ties in chunks(batches, n):
                 distinct, again, first, edges, *_ = _sorted_names(c, *STEPS[n](c, ties), buckets)
-                if n < LONG:
+                if width == 4:
                     distinct = (distinct >> np.uint64(8)).astype("<u4")
                 out = [
-                    (int(b), c.ident, distinct[x:y].tobytes(), np.packbits(again[x:y]).tobytes(), first[x:y].astype("<u4").tobytes() if n >= LONG else b"")
+                    (int(b), c.ident, distinct[x:y].tobytes(), np.packbits(again[x:y]).tobytes(), first[x:y].astype("<u4").tobytes() if width == 8 else b"")
                     for b, x, y in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist())
                     if y > x
                 ]
@@ -520,8 +533,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 break
             if LONG in check and bad.where(F.col("step") == LONG).limit(1).count():
                 repeats.void(LONG, bad)
-                repeats.drop(f"ties{LAST}")
-                repeats.sort(LAST)
+                for n in range(LONG + 1, len(STEPS)):
+                    repeats.drop(f"ties{n}")
+                for n in range(LONG + 1, len(STEPS)):
+                    repeats.sort(n)
                 check = (LAST,)
             else:
                 repeats.void(LAST, bad)
