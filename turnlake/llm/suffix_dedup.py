@@ -162,11 +162,13 @@ class Chunk:
         return at[self.inside(at, self.short)]
 
     def spread(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
-        """Flags of all positions from ``before`` ahead of one in ``at`` to ``after`` behind it."""
-        step = np.zeros(self.n + 1, "int32")
-        np.add.at(step, np.maximum(at - before, 0), 1)
-        np.add.at(step, np.minimum(at + after + 1, self.n), -1)
-        return np.cumsum(step[:-1]) > 0
+        """Flags of all positions from ``before`` ahead of one in sorted ``at`` to ``after`` behind it."""
+        step = np.zeros(self.n + 1, "i1")
+        if len(at):
+            new = np.flatnonzero(at[1:] - at[:-1] > before + after + 1) + 1
+            step[np.maximum(at[np.r_[0, new]] - before, 0)] = 1
+            step[np.minimum(at[np.r_[new - 1, len(at) - 1]] + after + 1, self.n)] -= 1
+        return np.cumsum(step[:-1], dtype="i1").view(bool)
 
 
 class Ties:
@@ -218,14 +220,16 @@ LONG, LAST = 1, 3
 def _sorted_names(c: Chunk, at: np.ndarray, size: int, buckets: int) -> tuple:
     """Sorted distinct names, whether each occurs again here, where first, their bucket edges; and how to read the reply."""
     names = c.names(at, size)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     ranked = names[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
-    distinct = ranked[new]
-    again = np.diff(np.r_[np.flatnonzero(new), len(ranked)]) > 1
+    heads = np.flatnonzero(new)
+    distinct = ranked[heads]
+    again = np.diff(np.r_[heads, len(ranked)]) > 1
+    first = at[np.minimum.reduceat(order, heads)] if len(heads) else at
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype="uint64"))
-    return distinct, again, at[order[new]], edges, order, np.cumsum(new) - 1
+    return distinct, again, first, edges, order, np.cumsum(new, dtype="int32") - 1
 
 
 def _read(c: Chunk, reply: list, at: np.ndarray, size: int, buckets: int, bad: list | None) -> Ties:
@@ -286,7 +290,7 @@ def _bucket_sort(parts: list[tuple], width: int) -> list[tuple[int, bytes, bytes
     lengths = [len(x) for x in names]
     again = np.concatenate([np.unpackbits(np.frombuffer(p[2], "u1"), count=n) for p, n in zip(parts, lengths)]).astype(bool)
     flat = np.concatenate(names)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     ranked = flat[order]
     edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     counts = np.diff(np.r_[edges, len(flat)])
@@ -297,8 +301,7 @@ def _bucket_sort(parts: list[tuple], width: int) -> list[tuple[int, bytes, bytes
     bits = [np.packbits(t).tobytes() for t in np.split(tied, cuts)]
     if width == 4:
         return [(p[0], t, b"", b"") for p, t in zip(parts, bits)]
-    # the representative is the first of a stable sort: of the lowest chunk
-    heads = order[edges]
+    heads = np.minimum.reduceat(order, edges)  # the representative is the first, in the lowest chunk
     chunks, places = np.zeros(len(flat), "<i8"), np.zeros(len(flat), "<u4")
     chunks[order] = np.repeat(np.repeat([p[0] for p in parts], lengths)[heads], counts)
     places[order] = np.repeat(np.concatenate([np.frombuffer(p[3], "<u4") for p in parts])[heads], counts)
