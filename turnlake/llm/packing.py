@@ -17,6 +17,7 @@ import functools
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,18 +31,20 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.ranges import long_array
 from turnlake.llm.scratch import Scratch
-from turnlake.llm.token_counts import SPLIT, byte_symbols, odd
+from turnlake.llm.token_counts import SPLIT, byte_symbols, odd, split_any
 
 CAPACITY = 1024
 END = 2
 ISLANDS = 4
 EPOCHS = 3
-GENERATIONS = 4
+GENERATIONS = 8
 POPULATION = 6
 #: Slices that ranks are counted in, besides one per length.
 SLICES = 4096
 TABLE_ENTRIES = 500_000
 TABLE_CHUNK = 48
+#: White space in a row from which texts are split ahead of the encoder, whose pattern backtracks over such runs on its stack.
+LONG_BLANK = re.compile(r"\s{4096}")
 
 Solution = Counter  # pattern (lengths, longest first) -> bins
 
@@ -60,8 +63,19 @@ class Tokenizer:
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.special = special
         self.ids = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.table: dict[str, bytes | None] = {}
 
+    def _by_pieces(self, text: str) -> bytes:
+        ids: list[int] = []
+        for part in self.parts.split(text) if self.parts else [text]:
+            if part in self.special:
+                ids.append(self.special[part])
+            else:
+                for piece in split_any(part):
+                    ids += self.ids._encode_single_piece(piece)
+        return np.array(ids, "<u4").tobytes()
+
     def _chunk(self, chunk: str) -> bytes | None:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None  # can't be split by itself
@@ -74,6 +88,8 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if len(text) >= 4096 and LONG_BLANK.search(text):
+            return self._by_pieces(text)
         if odd(text) or any(s in text for s in self.special):
             return np.array(self.ids.encode(text, allowed_special="all"), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -121,9 +137,15 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: the best of the bounds that set small pieces aside."""
+    """Bins that any packing needs: the best of the bounds that set small pieces aside, or count the room that only small ones can use."""
     sizes = sorted(counts)
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    total = sum(s * n for s, n in counts.items())
+    best = -(-total // capacity)
+    for k in sizes:  # beside a piece of over capacity - k only pieces below k fit
+        room = sum((capacity - s) * n for s, n in counts.items() if s > capacity - k)
+        small = sum(s * n for s, n in counts.items() if s < k)
+        if 2 * k <= capacity:
+            best = max(best, -(-(total + max(0, room - small)) // capacity))
     for small in [s for s in sizes if 2 * s <= capacity]:
         huge = sum(n for s, n in counts.items() if s > capacity - small)
         half = {s: n for s, n in counts.items() if capacity < 2 * s and s <= capacity - small}
@@ -192,6 +214,42 @@ def cost(solution: Solution, capacity: int) -> tuple:
     return sum(solution.values()), -sum(n * sum(p) ** 2 for p, n in solution.items())
 
 
+def replace_worse(bins: Solution, loose: Counter, capacity: int, rng: random.Random, most: int = 400) -> None:
+    """Dominance: pieces of bins that aren't full change places with larger loose ones, so that bins get fuller and loose pieces smaller.
+
+    One or two pieces of a bin go for one or two loose ones.  ``most`` bins are tried, those with most room first.
+    """
+    open_bins = sorted(((capacity - sum(p), p) for p, n in bins.items() if n and sum(p) < capacity), reverse=True)
+    for room, pattern in open_bins[:most]:
+        if not bins[pattern]:
+            continue
+        sizes = sorted((s for s, n in loose.items() if n), reverse=True)
+        if not sizes:
+            return
+        single = set(sizes)
+        out = [(s,) for s in set(pattern)] + [(a, b) for i, a in enumerate(pattern) for b in pattern[i + 1 :]]
+        best = None
+        for old in out:
+            low, high = sum(old), sum(old) + room
+            for new in ((high,), *((a, high - a) for a in sizes if a < high)):
+                if all(x in single for x in new) and (len(new) == 1 or new[0] != new[1] or loose[new[0]] > 1):
+                    best = (old, new)
+                    break
+            if best:
+                break
+            fits = next((s for s in sizes if s <= high), 0)
+            if fits > low and (best is None or fits - low > best[2]):
+                best = (old, (fits,), fits - low)
+        if best:
+            changed = Counter(pattern)
+            changed.subtract(Counter(best[0]))
+            changed.update(best[1])
+            bins[pattern] -= 1
+            bins[tuple(sorted(changed.elements(), reverse=True))] += 1
+            loose.subtract(Counter(best[1]))
+            loose.update(best[0])
+
+
 def crossover(mother: Solution, father: Solution, counts: dict[int, int], capacity: int, rng: random.Random) -> Solution:
     """Well-filled bins of ``father`` go whole into ``mother``; what they displace is fitted anew."""
     enough = capacity - rng.choice((0, 0, 1, 3))
@@ -207,20 +265,32 @@ def crossover(mother: Solution, father: Solution, counts: dict[int, int], capaci
             child[p] += keep
             for s, k in need.items():
                 supply[s] -= k * keep
-    return best_fit(child, {s: n for s, n in supply.items() if n}, capacity)
+    loose = Counter({s: n for s, n in supply.items() if n})
+    replace_worse(child, loose, capacity, rng)
+    return best_fit(+child, +loose, capacity)
 
 
 def mutate(solution: Solution, capacity: int, rng: random.Random) -> Solution:
-    """Empty the worst bins and some random ones, and fit their pieces in random order of length."""
-    kept, items = Counter(solution), Counter()
-    for p, n in solution.items():
-        out = n if sum(p) < capacity - rng.choice((0, 2, 8, 32)) or rng.random() < 0.05 else 0
-        if out:
-            kept[p] -= out
-            for s in p:
-                items[s] += out
-    order = sorted(items, key=lambda s: -s * rng.uniform(0.9, 1.1))
-    return best_fit(+kept, items, capacity, order)
+    """Empty the worst bins and some random ones, perhaps move small pieces, put larger loose pieces in the place of smaller ones, and fit the rest."""
+    kept, loose, small = Counter(solution), Counter(), Counter()
+    worst = sorted((p for p, n in solution.items() if n), key=sum)[: rng.choice((1, 1, 2, 4, 8))]
+    for p in [*worst, *rng.sample(sorted(solution), min(len(solution), rng.choice((0, 0, 2, 6))))]:
+        if kept[p]:
+            kept[p] -= 1
+            loose.update(p)
+    if rng.random() < 0.5:  # small pieces move to where only they fit
+        below = rng.choice(sorted({s for p in solution for s in p})[:64])
+        for p, n in list(kept.items()):
+            rest = tuple(s for s in p if s >= below)
+            if n and rest and len(rest) < len(p):
+                kept[p] -= n
+                kept[rest] += n
+                for s in p[len(rest) :]:
+                    small[s] += n
+        kept = best_fit(+kept, small, capacity)
+    for _ in range(6):
+        replace_worse(kept, loose, capacity, rng)
+    return best_fit(+kept, +loose, capacity)
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, elites: list[Solution], generations: int = GENERATIONS, size: int = POPULATION) -> Solution:
