@@ -1,10 +1,14 @@
+import datetime
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import pytest
+import xxhash
 from llm.fixtures import SCHEMA, frame, rows
 
 from turnlake.llm import fingerprints, quality_rules, sharding
@@ -52,12 +56,6 @@ def test_certified_cutoffs_reject_few_good_documents(spark):
     assert not any(kept[r[0]] for r in junk)
 
 
-def brute_marks(text):
-    """Selected (rank of hash, position), with the same hashes computed by Spark left out: positions only need order."""
-    words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
-    return words
-
-
 def test_fingerprints_edit_and_match_guarantee(spark):
     got = fingerprints.edited_fingerprints(frame(spark)).collect()
     docs = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -89,19 +87,71 @@ def test_fingerprints_over_many_buckets(spark, n, monkeypatch):
         assert got[a[0]].edited_sha256 == hashlib.sha256((a[1][: len(a[1]) - q] + b[1][:q]).encode()).hexdigest()
 
 
-def test_winnowing_selects_rightmost_minimum(spark):
-    docs = spark.createDataFrame([(r[0], r[1]) for r in rows() if r[0] is not None and r[0] < 1005], "doc_id long, text string")
-    marks = fingerprints.with_marks(docs, "text", "m").selectExpr("doc_id", "text", "m").collect()
-    every = fingerprints.fingerprints(docs).collect()
-    for r, f in zip(sorted(marks, key=lambda r: r.doc_id), sorted(every, key=lambda r: r.doc_id)):
-        n = len(re.findall(r"[^\x20\x09-\x0D]{1,16}", r.text or ""))
-        assert len(f.hashes) == len(f.positions) == len(r.m)
-        if n >= 7:
-            spots = f.positions
-            assert spots == sorted(spots) and spots[0] <= 3 and spots[-1] >= n - 7
-            assert all(b - a <= 4 for a, b in zip(spots, spots[1:]))
-            assert len(set(zip(f.hashes, spots))) == len(spots)
-        assert (n == 0) == (not f.hashes)
+def brute_tokens(text):
+    out = []
+    for word in WORDS.findall(text or ""):
+        out += [word] if len(word) <= fingerprints.WORD else list(word)
+    return out
+
+
+def brute_fingerprint(text):
+    """(hash, position) of the marks, by an independent reading of the docstring: XXH64 chains, windows, rightmost minimum."""
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    pair = lambda a, b: long(b, long(a, 42))
+    one = [xxhash.xxh64_intdigest(t.encode(), 42) for t in brute_tokens(text)]
+    two = [pair(a, b) for a, b in zip(one, one[1:])]
+    grams = [pair(a, b) for a, b in zip(two, two[2:])]
+    if one and len(one) < fingerprints.K:
+        h = 42
+        for x in one:
+            h = long(x, h)
+        grams = [h]
+    found = []
+    for at in range(max(1, len(grams) - fingerprints.WINDOW + 1) if grams else 0):
+        window = [(grams[i] >> 31, i) for i in range(at, min(len(grams), at + fingerprints.WINDOW))]
+        least = min(h for h, _ in window)
+        mark = max(x for x in window if x[0] == least)
+        if mark not in found:
+            found.append(mark)
+    return found
+
+
+def brute_likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_match_brute_force(spark):
+    data = [(r[0], r[1]) for r in rows() if r[0] is not None and (r[0] < 1005 or r[0] == 1007)][:-2]
+    data += [(2000 + i, t) for i, t in enumerate(["漢字" * 300, "x" + "漢字" * 300, "a" * 16, "a" * 17, "same same same same same same same same same", "b" * 40 + " c"])]
+    got = {g.doc_id: g for g in fingerprints.edited_fingerprints(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    plain = {g.doc_id: g for g in fingerprints.fingerprints(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    name = lambda marks: hashlib.md5(",".join(str((h << 30) + (1 << 30) - 1 - i) for h, i in marks).encode()).hexdigest()
+    data = sorted((k, t or "") for k, t in data)
+    for (key, text), (_, following) in zip(data, data[1:] + data[:1]):
+        q = len(text) // 4
+        mine, edited, after = (brute_fingerprint(t) for t in (text, text[: len(text) - q] + following[:q], following))
+        assert list(zip(plain[key].hashes, plain[key].positions)) == mine
+        assert (got[key].fingerprint, got[key].edited_fingerprint) == (name(mine), name(edited))
+        assert got[key].near_edited == pytest.approx(brute_likeness(mine, edited)) and got[key].near_next == pytest.approx(brute_likeness(mine, after))
+
+
+def test_passages_without_blanks_are_found_at_any_offset(spark):
+    rnd = random.Random(4)
+    text = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(2000))
+    got = fingerprints.edited_fingerprints(spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")).collect()
+    assert all(g.near_next > 0.9 for g in got)
+
+
+@pytest.mark.parametrize("kind, make", [("string", lambda i: f"k{i:03d}"), ("decimal(9,2)", lambda i: Decimal(i) / 4), ("date", lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)), ("int", lambda i: i - 20)])
+def test_keys_of_any_type(spark, monkeypatch, kind, make):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
+    data = [(make(i), f"text {i} and more of it {i * 7}") for i in range(120)] + [(None, "no key")]
+    got = {g.id: g.edited_sha256 for g in fingerprints.edited_fingerprints(spark.createDataFrame(data, f"id {kind}, text string").repartition(3), key="id").collect()}
+    order = [data[-1], *data[:-1]]
+    for (key, text), (_, following) in zip(order, order[1:] + order[:1]):
+        q = len(text) // 4
+        assert got[key] == hashlib.sha256((text[: len(text) - q] + following[:q]).encode()).hexdigest()
 
 
 @pytest.mark.parametrize("law", ["bytes", "rows"])
