@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 import xxhash
 from llm.fixtures import frame, rows
@@ -224,12 +227,60 @@ def test_languages_are_learned_and_held_out(spark):
     assert {g.lang_pred for g in language_id.predict(docs, empty).collect()} == {"und"}
 
 
-def test_backoff_prefers_words_then_longer_grams():
-    model = language_id.train({"aa": {"alpha": 5, "beta": 2}, "bb": {"gamma": 4, "alphb": 1}})
-    assert model.word_scores("alpha").tolist() == model.words["alpha"].tolist()
-    unseen = model.word_scores("alphq")
-    known = [model.grams[0][g] for g in ("_alph",)]
-    assert np.allclose(unseen, sum(known) / len(known))
+def brute_language_scores(counts, text):
+    """Word-first backoff with plain dictionaries: scores of every language."""
+    langs, padded = sorted(counts), lambda w: f"_{w}_"
+    tables = []
+    for order in (0, *language_id.ORDERS):
+        seen = {la: Counter() for la in langs}
+        for la in langs:
+            for w, n in counts[la].items():
+                for k in [w] if not order else [padded(w)[i : i + order] for i in range(len(w) + 3 - order)]:
+                    seen[la][k] += n
+        keys = {k for c in seen.values() for k in c}
+        tables.append((order, keys, {la: (c, sum(c.values())) for la, c in seen.items()}))
+    out = np.zeros(len(langs))
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for order, keys, seen in tables:
+            parts = [word] if not order else [padded(word)[i : i + order] for i in range(len(word) + 3 - order)]
+            known = [p for p in parts if p in keys]
+            if known:
+                logs = [[math.log((c[p] + language_id.SMOOTHING) / (total + language_id.SMOOTHING * len(keys))) for c, total in seen.values()] for p in known]
+                out += np.mean(logs, axis=0)
+                break
+    return out
+
+
+def test_language_scores_match_brute_force():
+    rnd = random.Random(11)
+    word = lambda letters: "".join(rnd.choices(letters, k=rnd.randint(1, 8)))
+    counts = {la: Counter(word(letters) for _ in range(300)) for la, letters in {"aa": "abcde", "bb": "cdefg漢字", "cc": "xyzé"}.items()}
+    counts["cc"]["字" * 60] = 3
+    scorer = language_id.Scorer(language_id.train(counts))
+    for text in ("alpha beta", "", "abc cde 漢字 xyz é, zz-yy", "Q", "字" * 300, " ".join(word("abcdefgxyz漢é") for _ in range(400)), "字" * 60):
+        want = brute_language_scores(counts, text)
+        assert np.allclose(scorer.scores(text), want, atol=1e-3)
+        scorer.learn([text])
+        assert np.allclose(scorer.scores(text), want, atol=1e-3)
+        if language_id.has_letter(text):
+            p = np.exp(want - want.max())
+            got = scorer.predict(text)
+            assert got[0] == sorted(counts)[int(want.argmax())] and got[1] == pytest.approx(1 / p.sum(), abs=1e-3)
+
+
+def test_many_languages_and_the_rarest_of_them(spark):
+    """Seventy languages, of one only a few documents, in a script of long words without blanks."""
+    rnd = random.Random(2)
+    data = []
+    for la in range(70):
+        letters = [chr(0x4E00 + 40 * la + i) for i in range(20)]
+        for i in range(3 if la == 69 else 12):
+            data.append((1000 * la + i, " ".join("".join(rnd.choices(letters, k=rnd.choice((3, 5, 90)))) for _ in range(20)), f"l{la:02d}"))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(docs, max_train=400)
+    assert len(model.languages) == 70
+    got = {g.doc_id: g.lang_pred for g in language_id.predict(docs, model).collect()}
+    assert all(got[k] == la for k, _, la in data)
 
 
 def test_numbers_are_no_letters():

@@ -6,35 +6,44 @@ known gives the mean log frequency of its known n-grams; else the next shorter
 order, down to single characters.  A document's scores are the sums over its words,
 and the posterior of the best language is the returned score.
 
-The model is fitted on a bounded sample of labelled rows (``max_train`` documents,
-chosen by a hash of the key over all of them); word counts are summed on the
-executors and only the ``max_words`` commonest words of a language, a fixed bound,
-reach the driver.
+The model is fitted on a bounded sample of labelled rows: about ``MAX_TRAIN`` rows
+with about ``TRAIN_CHARS`` characters, chosen by a hash over all of them, and at least
+about ``LEAST_TRAIN`` rows of each language.  All words and n-grams of the sample
+count, in all its languages.  They are counted on the executors; what reaches the
+driver, and then every worker, are 64-bit hashes with their counts, of which there
+are checked to be ``MODEL_ROWS`` at most, else the sample is halved.  Tables are
+sparse: a language that a key wasn't seen in costs nothing.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlake.llm.scratch import Scratch
+
 MAX_TRAIN = 30_000
-MAX_WORDS = 30_000
-MAX_LANGUAGES = 64
+TRAIN_CHARS = 64_000_000
+LEAST_TRAIN = 200
+MODEL_ROWS = 40_000_000
 ORDERS = (5, 4, 3, 2, 1)
-MAX_GRAMS = 30_000
 SMOOTHING = 0.1
+#: What a worker's table of chunks may hold: chunks, and scores in all.
 TABLE_ENTRIES = 400_000
+TABLE_SCORES = 16_000_000
+#: The longest chunk that is kept, and chunks that are scored at once.
 TABLE_CHUNK = 48
+BATCH_CHUNKS = 8192
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
@@ -43,116 +52,206 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-@dataclass
-class Table:
-    """Log frequencies by language: the row of each key, and the rows."""
+def word_hashes(words: list[str]) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(w) for w in words), "uint64", len(words))
 
-    row: dict[str, int]
-    logs: np.ndarray
 
-    def __getitem__(self, key: str) -> np.ndarray:
-        return self.logs[self.row[key]]
+def gram_hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of each word between two marks, and the word's place."""
+    body = np.frombuffer("".join(f"_{w}_" for w in words).encode("utf-32-le"), "<u4").astype("uint64")
+    sizes = np.fromiter(map(len, words), "int64", len(words)) + 2
+    h = np.full(max(0, len(body) - order + 1), order, "uint64")
+    for k in range(order):
+        h = (h ^ body[k : k + len(h)]) * _ODD
+        h ^= h >> np.uint64(29)
+    owner = np.repeat(np.arange(len(words)), sizes)[: len(h)]
+    room = np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h))
+    return h[room >= order], owner[room >= order]
+
+
+@dataclass
+class Table:
+    """Log frequencies by language of sorted keys: those of unseen keys, and what seen ones have beyond."""
+
+    keys: np.ndarray
+    edges: np.ndarray
+    lang: np.ndarray
+    beyond: np.ndarray
+    unseen: np.ndarray
+
+    @classmethod
+    def of(cls, lang: np.ndarray, key: np.ndarray, n: np.ndarray, languages: int) -> Table:
+        order = np.lexsort((lang, key))
+        lang, key, n = lang[order], key[order], n[order].astype("float64")
+        keys, first = np.unique(key, return_index=True)
+        total = np.bincount(lang, n, languages) + SMOOTHING * max(len(keys), 1)
+        unseen = np.log(SMOOTHING / total)
+        return cls(keys, np.r_[first, len(key)], lang.astype("u2" if languages < 1 << 16 else "u4"), np.log((n + SMOOTHING) / SMOOTHING).astype("float32"), unseen)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for unseen ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def sums(self, at: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """Log frequencies of the keys at ``at``, summed by owner: (owners, languages)."""
+        out = np.bincount(owner, minlength=owners)[:, None] * self.unseen
+        sizes = self.edges[at + 1] - self.edges[at]
+        entry = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.edges[at], sizes)
+        flat = np.repeat(owner, sizes) * len(self.unseen) + self.lang[entry]
+        return out + np.bincount(flat, self.beyond[entry], out.size).reshape(out.shape)
 
 
 @dataclass
 class Model:
     languages: list[str]
     words: Table
-    grams: list[Table] = field(default_factory=list)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        if (known := self.words.row.get(word)) is not None:
-            return self.words.logs[known]
-        padded = f"_{word}_"
+    grams: list[Table]
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words: (words, languages); zero for words of which nothing is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = self.words.find(word_hashes(words))
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.words.sums(at[known], np.arange(len(known)), len(known))
+        left = np.flatnonzero(at < 0)
         for order, table in zip(ORDERS, self.grams):
-            found = [at for i in range(len(padded) - order + 1) if (at := table.row.get(padded[i : i + order])) is not None]
-            if found:
-                return table.logs[found].mean(axis=0)
-        return np.zeros(len(self.languages), "float32")
+            if not len(left):
+                break
+            hashes, owner = gram_hashes([words[i] for i in left], order)
+            at = table.find(hashes)
+            owner, at = owner[at >= 0], at[at >= 0]
+            found = np.bincount(owner, minlength=len(left))
+            hit = found > 0
+            out[left[hit]] = table.sums(at, owner, len(left))[hit] / found[hit, None]
+            left = left[~hit]
+        return out
+
+
+def gram_counts(lang: np.ndarray, words: list[str], n: np.ndarray) -> pd.DataFrame:
+    """Counts (l, o, h, n) of n-grams by language, order and hash, from counts of words; order 0 are the words."""
+    out = [pd.DataFrame({"l": lang, "o": 0, "h": word_hashes(words), "n": n})]
+    for order in ORDERS:
+        hashes, owner = gram_hashes(words, order)
+        out.append(pd.DataFrame({"l": lang[owner], "o": order, "h": hashes, "n": n[owner]}))
+    both = pd.concat(out).groupby(["l", "o", "h"], as_index=False, sort=False)["n"].sum()
+    return both.assign(h=both["h"].to_numpy("uint64").view("int64"))
+
+
+def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
+    """The model of summed ``gram_counts``, l the place of a language."""
+    tables = []
+    for order in (0, *ORDERS):
+        mine = counts[counts["o"] == order]
+        tables.append(Table.of(mine["l"].to_numpy("int64"), mine["h"].to_numpy("int64").view("uint64"), mine["n"].to_numpy("int64"), len(languages)))
+    return Model(languages, tables[0], tables[1:])
+
 
+def train(counts: dict[str, dict[str, int]]) -> Model:
+    """The model of word counts by language."""
+    languages = sorted(counts)
+    rows = [(i, w, n) for i, la in enumerate(languages) for w, n in counts[la].items()]
+    lang, words, n = ([r[i] for r in rows] for i in range(3))
+    return model_of(languages, gram_counts(np.array(lang, "int64"), words, np.array(n, "int64")))
 
-def _log_table(counts: dict[str, dict[str, float]], languages: list[str], most: int) -> Table:
-    """The ``most`` commonest keys of every language; of equally common ones the first in order."""
-    keys = sorted({k for la in languages for k, _ in sorted(counts[la].items(), key=lambda kv: (-kv[1], kv[0]))[:most]})
-    logs = np.zeros((len(keys), len(languages)), "float32")
-    for i, la in enumerate(languages):
-        n = np.fromiter((counts[la].get(k, 0) for k in keys), "float64", len(keys))
-        logs[:, i] = np.log((n + SMOOTHING) / (sum(counts[la].values()) + SMOOTHING * len(keys))) if keys else 0
-    return Table({k: i for i, k in enumerate(keys)}, logs)
 
+def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, train_chars: int = TRAIN_CHARS) -> Model:
+    """The model of a sample of the rows of ``training`` with text and lang; without any, a model of no language.
 
-def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
-    """The model of about ``max_train`` rows of ``training`` with text and lang; without any, a model of no language."""
-    rows = training.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    n = training.where(F.col(lang).isNotNull()).count()
-    share = min(1.0, max_train / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    Null keys, repeated rows and other columns are allowed; equal rows are drawn together.
+    """
+    rows = training.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
+    per = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("c")).collect()
+    languages = sorted(r["l"] for r in per)
+    place = {la: i for i, la in enumerate(languages)}
+    share = min(1.0, max_train / max(1, sum(r["n"] for r in per)), train_chars / max(1, sum(r["c"] for r in per)))
+    scratch = Scratch(training.sparkSession, "language")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             totals = defaultdict(Counter)
             for t, la in zip(batch["t"], batch["l"]):
-                totals[la].update(words_of(t.lower()))
-            yield pd.DataFrame([(la, w, c) for la, ws in totals.items() for w, c in ws.items() if len(w) <= TABLE_CHUNK], columns=["l", "w", "n"])
-
-    counts = rows.mapInPandas(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    langs = counts.groupBy("l").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "l").limit(MAX_LANGUAGES)
-    names = sorted(r["l"] for r in langs.collect())
-    # the commonest words of a language: first of each slice of words, then of those few, so no task sees a whole language
-    slices = counts.where(F.col("l").isin(names)).withColumn("s", F.pmod(F.xxhash64("w"), F.lit(64)))
-    best = lambda by: W.partitionBy(*by).orderBy(F.desc("n"), "w")
-    top = slices.withColumn("r", F.row_number().over(best(["l", "s"]))).where(F.col("r") <= max(1, 2 * max_words // 64))
-    found: dict[str, dict[str, int]] = {la: {} for la in names}
-    for r in top.select("l", "w", "n").toLocalIterator():
-        found[r["l"]][r["w"]] = r["n"]
-    return train(found, max_words)
-
-
-def train(counts: dict[str, dict[str, int]], max_words: int = MAX_WORDS) -> Model:
-    """The model of word counts by language."""
-    languages = sorted(counts)
-    model = Model(languages, _log_table(counts, languages, max_words))
-    for order in ORDERS:
-        grams = {la: Counter() for la in languages}
-        for la in languages:
-            for word, n in counts[la].items():
-                padded = f"_{word}_"
-                for i in range(len(padded) - order + 1):
-                    grams[la][padded[i : i + order]] += n
-        model.grams.append(_log_table(grams, languages, MAX_GRAMS))
+                totals[place[la]].update(words_of(t.lower()))
+            yield pd.DataFrame([(la, w, c) for la, ws in totals.items() for w, c in ws.items()], columns=["l", "w", "n"])
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), BATCH_CHUNKS):
+                part = batch.iloc[lo : lo + BATCH_CHUNKS]
+                yield gram_counts(part["l"].to_numpy(), part["w"].tolist(), part["n"].to_numpy())
+
+    while True:
+        fuller = {r["l"]: min(1.0, LEAST_TRAIN / r["n"]) for r in per if LEAST_TRAIN / r["n"] > share}
+        mine = F.lit(share)
+        if fuller:
+            mine = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in fuller.items() for x in pair]), F.col("l")), mine)
+        drawn = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(7), "k", "t"), F.lit(1 << 20)) < F.ceil(mine * (1 << 20)))
+        words = drawn.select("t", "l").mapInPandas(count, "l int, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+        counts = scratch.save(words.mapInPandas(grams, "l int, o int, h long, n long").groupBy("l", "o", "h").agg(F.sum("n").alias("n")), f"counts-{len(scratch.paths)}")
+        if counts.count() <= MODEL_ROWS:
+            break
+        share /= 2
+    model = model_of(languages, counts.toPandas())
+    scratch.drop_all()
     return model
 
 
 class Scorer:
-    """Scores of texts; a bounded table holds the summed word scores of each space-delimited chunk."""
+    """Scores of texts; a bounded table holds the summed word scores of space-delimited chunks."""
 
     def __init__(self, model: Model):
         self.model = model
         self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((TABLE_ENTRIES, len(model.languages)), "float32")
-
-    def chunk(self, chunk: str) -> np.ndarray:
-        total = np.zeros(len(self.model.languages), "float32")
-        for word in words_of(chunk.lower()):
-            total += self.model.word_scores(word)
-        return total
+        self.most = min(TABLE_ENTRIES, TABLE_SCORES // max(1, len(model.languages)))
+        self.matrix = np.zeros((self.most, len(model.languages)))
+
+    def chunk_scores(self, chunks: list[str]) -> np.ndarray:
+        words, owner = [], []
+        for i, c in enumerate(chunks):
+            found = words_of(c.lower())
+            words += found
+            owner += [i] * len(found)
+        out = np.zeros((len(chunks), len(self.model.languages)))
+        np.add.at(out, owner, self.model.word_scores(words))
+        return out
 
     def scores(self, text: str) -> np.ndarray:
-        extra = np.zeros(len(self.model.languages), "float64")
-        at, rows = [], self.rows
-        chunks = text.split()
-        if len(rows) + len(chunks) > TABLE_ENTRIES:
+        chunks, rows = text.split(), self.rows
+        extra = np.zeros(len(self.model.languages))
+        new = [c for c in dict.fromkeys(chunks) if c not in rows]
+        if len(rows) + len(new) > self.most:
             rows.clear()
-        for c in chunks:
-            row = rows.get(c)
-            if row is None:
-                if len(c) > TABLE_CHUNK or len(rows) >= TABLE_ENTRIES:
-                    extra += self.chunk(c)
-                    continue
-                row = rows[c] = len(rows)
-                self.matrix[row] = self.chunk(c)
-            at.append(row)
-        return extra + self.matrix[at].sum(axis=0, dtype="float64")
+            new = list(dict.fromkeys(chunks))
+        once = {}
+        for lo in range(0, len(new), BATCH_CHUNKS):
+            part = new[lo : lo + BATCH_CHUNKS]
+            for c, s in zip(part, self.chunk_scores(part)):
+                if len(c) > TABLE_CHUNK or len(rows) >= self.most:
+                    once[c] = s
+                else:
+                    rows[c] = len(rows)
+                    self.matrix[rows[c]] = s
+        if once:
+            for c in chunks:
+                if c in once:
+                    extra += once[c]
+            chunks = [c for c in chunks if c not in once]
+        return extra + self.matrix[[rows[c] for c in chunks]].sum(axis=0)
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Score the chunks that many texts share at once, as far as the table has room."""
+        rows = self.rows
+        new = list(dict.fromkeys(c for t in texts if t for c in t.split() if c not in rows and len(c) <= TABLE_CHUNK))
+        if len(rows) + len(new) > self.most:
+            rows.clear()
+            return
+        for lo in range(0, len(new), BATCH_CHUNKS):
+            part = new[lo : lo + BATCH_CHUNKS]
+            self.matrix[len(rows) : len(rows) + len(part)] = self.chunk_scores(part)
+            rows.update(zip(part, range(len(rows), len(rows) + len(part))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages or not has_letter(text):
@@ -165,8 +264,8 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def with_label(df: DataFrame, model: Model, text: str = "text", out: str = "_label") -> DataFrame:
-    """``df`` with ``out``: a struct of lang_pred and score."""
+def labelled(df: DataFrame, model: Model, text: str, keep: list) -> DataFrame:
+    """Columns ``keep``, and _label: a struct of lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -175,9 +274,13 @@ def with_label(df: DataFrame, model: Model, text: str = "text", out: str = "_lab
         if ident not in _scorers:
             _scorers.clear()
             _scorers[ident] = Scorer(shared.value)
-        return pd.DataFrame([_scorers[ident].predict(t) for t in texts], columns=["lang_pred", "score"])
+        scorer, out, texts = _scorers[ident], [], texts.tolist()
+        for lo in range(0, len(texts), 256):
+            scorer.learn(texts[lo : lo + 256])
+            out += [scorer.predict(t) for t in texts[lo : lo + 256]]
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return df.withColumn(out, label(F.col(text)))
+    return df.select(*keep, label(F.col(f"`{text}`")).alias("_label"))
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,15 +291,19 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Repeated rows, null keys and an empty table pass row by row; other columns are
     ignored.
     """
-    return with_label(df.select(F.col(key), F.col(text).alias("_text")), model, "_text").select(key, "_label.*")
+    return labelled(df, model, text, [F.col(f"`{key}`").alias("_key")]).select(F.col("_key").alias(key), "_label.*")
 
 
 def keep_known(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose language is known with a score of ``least``."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return with_label(df, model, text).where((F.col("_label.lang_pred") != "und") & (F.col("_label.score") >= least)).select(*columns)
+    """The rows of ``df``, with all their columns, whose language is known with a score of ``least``.
+
+    Rows without a text or without a letter go; repeated rows, null keys and an empty
+    table pass row by row; columns of any name stay as they are.
+    """
+    rows = labelled(df, model, text, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")])
+    return rows.where((F.col("_label.lang_pred") != "und") & (F.col("_label.score") >= least)).select("_row.*")
 
 
 def held_out(key: str = "doc_id"):
     """The fold that training never sees: crc32 of the key as text, modulo 3, is 1 (a null key: not held out)."""
-    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3)) == 1, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{key}`").cast("string")), F.lit(3)) == 1, F.lit(False))
