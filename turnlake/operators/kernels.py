@@ -13,22 +13,35 @@ from turnlake.functions.vectors import np_logsumexp, np_normalize_rows
 
 def pairwise_distance(x: np.ndarray) -> np.ndarray:
     """Square matrix of Euclidean distances."""
-    return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x]) if len(x) else np.zeros((0, 0), x.dtype)
+    out = np.zeros((len(x), len(x)), x.dtype)
+    for i, row in enumerate(x):
+        out[i, i + 1 :] = out[i + 1 :, i] = np.sqrt(((x[i + 1 :] - row) ** 2).sum(axis=1))
+    return out
 
 
 def centroid_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (lower id, higher id, height) by the Lance-Williams rule of centroids on squared distances.
 
     Ids 0 to n - 1 are rows, n + k is the k-th merge.  Of equal distances the pair with
-    the lowest rows merges first.
+    the lowest rows merges first.  Every row keeps its nearest row behind it, which only
+    rows next to a merge must look for again, so time is mostly quadratic.
     """
     d = np.asarray(distance, "float64") ** 2
     n = len(d)
     np.fill_diagonal(d, np.inf)
     ids, sizes, steps = list(range(n)), np.ones(n), []
+    near, least = np.zeros(n, "int64"), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        if i + 1 < n:
+            near[i] = i + 1 + int(d[i, i + 1 :].argmin())
+            least[i] = d[i, near[i]]
+
+    for i in range(n):
+        look(i)
     for step in range(n - 1):
-        a, b = divmod(int(d.argmin()), n)
-        a, b = min(a, b), max(a, b)
+        a = int(least.argmin())
+        b = int(near[a])
         height = d[a, b]
         steps.append((min(ids[a], ids[b]), max(ids[a], ids[b]), float(np.sqrt(max(height, 0.0)))))
         size = sizes[a] + sizes[b]
@@ -39,6 +52,15 @@ def centroid_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
         d[a, a] = np.inf
         d[b], d[:, b] = np.inf, np.inf
         ids[a], sizes[a] = n + step, size
+        least[b] = np.inf
+        before = d[:a, a]
+        closer = (before < least[:a]) | ((before == least[:a]) & (a < near[:a]))
+        lost = np.flatnonzero((near[:b] == a) | (near[:b] == b))
+        near[:a][closer], least[:a][closer] = a, before[closer]
+        for i in lost.tolist():
+            if i >= a or not closer[i]:
+                look(i)
+        look(a)
     return steps
 
 

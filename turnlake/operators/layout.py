@@ -11,14 +11,14 @@ from turnlake.config import FRAME_DURATION, FRAME_STEP, WINDOW_SECONDS
 def window_count(length: Column, window: int, step: int) -> Column:
     """Full windows, and one padded tail where samples are left over behind the last; none if shorter than one window."""
     full = F.floor((length - window) / step).cast("int") + 1
-    return F.when(length < window, 0).otherwise(full + F.when((length > window) & (full * step < length), 1).otherwise(0)).cast("int")
+    return F.when(length < window, 0).otherwise(full + F.when((length > window) & (full.cast("long") * step < length), 1).otherwise(0)).cast("int")
 
 
 def windows(files: DataFrame, window: int, step: int, length: str = "n_samples") -> DataFrame:
     """One row per window: the columns of ``files`` and chunk_idx, start_sample, is_padded."""
     n = window_count(F.col(length), window, step)
     rows = files.withColumn("chunk_idx", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))))
-    rows = rows.withColumn("start_sample", (F.col("chunk_idx") * F.lit(step)).cast("long"))
+    rows = rows.withColumn("start_sample", F.col("chunk_idx").cast("long") * F.lit(step))
     return rows.withColumn("is_padded", F.col("start_sample") + window > F.col(length))
 
 

@@ -58,7 +58,7 @@ edge AS (SELECT * FROM (SELECT *, max(frame) OVER (PARTITION BY file_id, speaker
 closed AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY file_id, speaker ORDER BY frame), last_frame) AS stop FROM edge),
 turns AS (SELECT file_id, speaker, frame * 1.6875e-2 + 5e-1 * 6.19375e-2 AS "start", stop * 1.6875e-2 + 5e-1 * 6.19375e-2 AS "end" FROM closed WHERE a = 1)"""
 )
-SG = """sg AS (SELECT l_suppkey % 4 AS file_id, CAST(l_orderkey % 50 AS INTEGER) AS chunk_idx, CAST(l_partkey % 60 AS INTEGER) AS frame_idx, CAST(l_linenumber % 3 AS INTEGER) AS speaker_idx,
+SG = """sg AS (SELECT (l_orderkey // 5000) * 4 + l_suppkey % 4 AS file_id, CAST(l_orderkey % 50 AS INTEGER) AS chunk_idx, CAST(l_partkey % 60 AS INTEGER) AS frame_idx, CAST(l_linenumber % 3 AS INTEGER) AS speaker_idx,
   max(CASE WHEN l_quantity > 25 THEN 1e0 ELSE 0e0 END) AS active FROM lineitem GROUP BY 1, 2, 3, 4),
 ext AS (SELECT file_id, max(chunk_idx) + 1 AS chunks, CAST(round((1e1 + max(chunk_idx) * 1e0 + 5e-1 * 6.19375e-2 - 5e-1 * 6.19375e-2) / 1.6875e-2) AS INTEGER) + 1 AS extent FROM sg GROUP BY file_id),
 outf AS (SELECT sg.*, CAST(round(chunk_idx * 1e0 / 1.6875e-2) AS INTEGER) + frame_idx AS out_frame, extent FROM sg JOIN ext USING (file_id)),
@@ -158,7 +158,7 @@ SQL = {
     "finite_filter": f"WITH {EMB} SELECT file_id, count(*) AS n FROM emb WHERE vec_id % 5 <> 0 GROUP BY file_id",
     "logsumexp": f"WITH {LOGITS} SELECT vec_id, round(5 * list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(5 * x - 5 * list_max(l))))), 6) AS value FROM lg",
     "rounded_ties": "SELECT DISTINCT l_quantity / 2 AS half, CAST(round_even(l_quantity / 2, 0) AS INTEGER) AS rounded FROM lineitem",
-    "weighted_centroids": f"WITH {EMB}, x AS (SELECT file_id, label, (vec_id % 7) / 7e0 AS w, embedding, unnest(range(0, len(embedding))) AS i FROM emb) SELECT file_id, label, CAST(i AS INTEGER) AS dim, round(sum(w * embedding[i + 1]::DOUBLE) / greatest(sum(w), 1e-8), 6) AS x FROM x GROUP BY file_id, label, i",
+    "weighted_centroids": f"WITH {EMB}, x AS (SELECT file_id, label, (vec_id % 7) / 7e0 AS w, embedding, unnest(range(0, len(embedding))) AS i FROM emb) SELECT file_id, label, CAST(i AS INTEGER) AS dim, round(CAST(CAST(sum(w * embedding[i + 1]::DOUBLE) / greatest(sum(w), 1e-8) AS FLOAT) AS DOUBLE), 6) AS x FROM x GROUP BY file_id, label, i",
     "chunk_assignment": f"""WITH {EMB}, d AS (SELECT file_id, label % 3 AS c, embedding, unnest(range(0, len(embedding))) AS i FROM emb), m AS (SELECT file_id, c, i, avg(embedding[i + 1]::DOUBLE) AS x FROM d GROUP BY file_id, c, i), ce AS (SELECT file_id, c, list(x ORDER BY i) AS v FROM m GROUP BY file_id, c),
       s AS (SELECT file_id, chunk_idx, speaker_idx, c, CAST(1 + list_cosine_similarity(embedding::DOUBLE[], v) AS FLOAT) AS score FROM emb JOIN ce USING (file_id)), n AS (SELECT file_id, chunk_idx, count(DISTINCT speaker_idx) AS k FROM emb GROUP BY ALL),
       p(a, b, c) AS (SELECT x.i, y.i, z.i FROM range(3) x(i), range(3) y(i), range(3) z(i) WHERE x.i <> y.i AND y.i <> z.i AND x.i <> z.i),
@@ -169,7 +169,8 @@ SQL = {
       SELECT idx, duration FROM f WHERE n <= 500 AND (n = 1 OR s <= 1000000)""",
     "paired_files": "SELECT printf('rec%d', o_orderkey) AS stem, printf('/data/wav/rec%d.wav', c_custkey) AS audio, printf('/data/rttm/rec%d.rttm', o_orderkey) AS annotation FROM customer JOIN orders ON c_custkey = o_orderkey",
     "missing_files": "SELECT printf('rec%d', o_orderkey) AS stem FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)",
-    "wav_scan": "SELECT vec_id AS file_id, CAST(16 * len(embedding) AS INTEGER) AS samples, 16000 AS sample_rate, CAST(16 * len(embedding) AS DOUBLE) / 16000 AS duration FROM embeddings",
+    "wav_scan": """WITH x AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))) AS s FROM embeddings)
+      SELECT vec_id AS file_id, CAST(16 * n AS INTEGER) AS samples, 16000 AS sample_rate, CAST(16 * n AS DOUBLE) / 16000 AS duration, CAST(16 * list_sum(s) AS BIGINT) AS total, CAST(list_max(list_transform(s, lambda v: abs(v))) AS BIGINT) AS peak FROM x""",
     "filter_banks": "SELECT vec_id AS file_id, CAST((16 * len(embedding) - 400) // 160 + 1 AS INTEGER) AS frames, 80 AS bins FROM embeddings",
     "statistics_pooling": f"""WITH {EMB}, x AS (SELECT file_id, CASE WHEN vec_id % 3 > 0 THEN 1e0 ELSE 0e0 END AS w, embedding, unnest(range(0, len(embedding))) AS i FROM emb),
       y AS (SELECT file_id, i, w, embedding[i + 1]::DOUBLE AS v FROM x), m AS (SELECT file_id, i, sum(w) AS n, sum(w * w) AS q, sum(w * v) / sum(w) AS mean FROM y GROUP BY ALL)
@@ -177,5 +178,7 @@ SQL = {
     "bench_summary": "SELECT event_type, round(avg(value), 6) AS mean_s, min(value) AS min_s, count(*) AS runs, round(count(*) * 600e0 / sum(value), 6) AS rtfx FROM events GROUP BY event_type",
     "queue_microbatch": f"WITH {SEG} SELECT file_id, speaker, count(*) AS jobs, CAST(sum(e_ms - s_ms) AS BIGINT) AS speech FROM seg GROUP BY ALL",
     "queue_fallback": f"WITH {SEG} SELECT file_id, CASE WHEN file_id % 7 = 3 THEN NULL ELSE CAST(sum(e_ms - s_ms) AS BIGINT) END AS speech, CASE WHEN file_id % 7 = 3 THEN 'ValueError: bad recording' END AS error FROM seg GROUP BY file_id",
-    "window_steps": f"WITH {SEG}, c AS (SELECT file_id, speaker, count(*) AS n FROM seg GROUP BY ALL) SELECT file_id, speaker, n FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, speaker) AS r FROM c) WHERE r = 1",
+    "window_steps": """WITH m(mode, step, hop) AS (VALUES ('cpu', 1e0, 16000), ('coreml', 0.96e0, 15360), ('coreml-fast', 2e0, 32000), ('cuda', 1e0, 16000), ('cuda-fast', 2e0, 32000)),
+      f AS (SELECT CAST(floor(o_totalprice * 16000) AS BIGINT) AS n FROM orders), w AS (SELECT mode, step, hop, n, (n - 160000) // hop + 1 AS whole FROM f, m WHERE n >= 160000)
+      SELECT mode, step, CAST(sum(whole + CASE WHEN n > 160000 AND whole * hop < n THEN 1 ELSE 0 END) AS BIGINT) AS windows FROM w GROUP BY mode, step""",
 }

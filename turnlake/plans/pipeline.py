@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from turnlake.config import FRAMES_PER_WINDOW, LOCAL_SPEAKERS, MAX_OVERLAP, SAMPLE_RATE, WINDOW_SECONDS, PipelineConfig
 from turnlake.operators import binarize, frames, kernels, layout, masks, powerset, smoothing, turns
 from turnlake.plans import backend as seam
+from turnlake.session import materialized
 from turnlake.sources.annotations import exact_rttm_lines
 from turnlake.streaming import queue
 
@@ -25,6 +26,10 @@ class Artifacts:
     segmentations: DataFrame
     embeddings: DataFrame
 
+    def stored(self) -> Artifacts:
+        """The same, written once below the shared folder: models run once, whatever reads their results."""
+        return Artifacts(materialized(self.segmentations, "segmentations"), materialized(self.embeddings, "embeddings"))
+
 
 @dataclass
 class Result:
@@ -69,11 +74,14 @@ def cluster_recordings(artifacts: Artifacts, plda: kernels.Plda, config: Pipelin
 
 
 def post_inference(artifacts: Artifacts, plda: kernels.Plda, config: PipelineConfig | None = None) -> Result:
-    """Everything behind the models.  A recording without any speaker has no turns."""
+    """Everything behind the models.  A recording without any speaker has no turns.
+
+    ``artifacts`` should be stored, as they are read several times; counts and clusters are stored here.
+    """
     c = config or PipelineConfig()
     seg = artifacts.segmentations
-    counts = frames.speaker_count(seg, c.step)
-    clusters = cluster_recordings(artifacts, plda, c)
+    counts = materialized(frames.speaker_count(seg, c.step), "counts")
+    clusters = materialized(cluster_recordings(artifacts, plda, c), "clusters")
     activations = frames.cluster_activations(seg, clusters, c.step, counts)
     discrete = frames.top_k(activations, counts) if c.smoothing is None else smoothing.smoothed_top_k(activations, counts, c.smoothing)
     scores = discrete.select("file_id", F.col("cluster").alias("speaker"), F.col("out_frame").alias("frame"), F.col("active").cast("double").alias("score"))
@@ -97,11 +105,12 @@ class Pipeline:
     def infer(self, audio: DataFrame) -> Artifacts:
         windows = self.windows(audio)
         seg = powerset.decode(seam.segment(windows, self.backend), LOCAL_SPEAKERS, MAX_OVERLAP).select("file_id", "chunk_idx", "frame_idx", "speaker_idx", "active")
+        seg = materialized(seg, "segmentations")
         clean = masks.clean_masks(seg)
         use = masks.speaker_weights(seg, self.window).select(*masks.KEY, "use_clean")
         chosen = clean.join(use, masks.KEY, "left").withColumn("_m", F.when(F.col("use_clean"), F.col("clean")).otherwise(F.col("active")))
         mask = chosen.groupBy(*masks.KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "_m"))), lambda x: x["_m"]).alias("mask"))
-        return Artifacts(seg, seam.embed(windows, mask, self.backend))
+        return Artifacts(seg, materialized(seam.embed(windows, mask, self.backend), "embeddings"))
 
     def run(self, audio: DataFrame) -> Result:
         return post_inference(self.infer(audio), self.plda, self.config)

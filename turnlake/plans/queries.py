@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.config import INACTIVE, BinarizeConfig, PipelineConfig
+from turnlake.config import INACTIVE, SAMPLE_RATE, STEPS, WINDOW_SECONDS, BinarizeConfig, PipelineConfig, window_step
 from turnlake.functions import vectors
 from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, powerset, selection, smoothing, turns
 from turnlake.plans import backend, oracles, pipeline, relations
@@ -384,8 +384,17 @@ def rounded_ties(spark, sf_dir):
 
 @query
 def weighted_centroids(spark, sf_dir):
-    rows = relations.embeddings(spark, sf_dir).withColumn("w", (F.col("vec_id") % 7) / 7.0).select("file_id", "label", "w", F.posexplode("embedding").alias("dim", "x"))
-    return rows.groupBy("file_id", "label", "dim").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1e-8)), 6).alias("x"))
+    """Centroids of a recording's labels, rows weighted by their number."""
+
+    def solve(group, x):
+        labels, at = np.unique(group["label"].to_numpy(), return_inverse=True)
+        gamma = np.zeros((len(x), len(labels)))
+        gamma[np.arange(len(x)), at] = (group["vec_id"].to_numpy() % 7) / 7.0
+        found = kernels.weighted_centroids(x, gamma, np.arange(len(labels)))
+        return pd.DataFrame({"file_id": group["file_id"].iloc[0], "label": labels, "x": list(found)})
+
+    rows = _per_file(relations.embeddings(spark, sf_dir), solve, "file_id long, label int, x array<float>")
+    return rows.select("file_id", "label", F.posexplode("x").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query
@@ -460,7 +469,7 @@ def cluster_file(spark, sf_dir):
 
 @query
 def post_inference(spark, sf_dir):
-    return pipeline.post_inference(_artifacts(spark, sf_dir), kernels.Plda.synthetic(64, 16), PipelineConfig(ahc_threshold=1.0, binarize=BinarizeConfig(min_on=3, min_off=3))).segments
+    return pipeline.post_inference(_artifacts(spark, sf_dir).stored(), kernels.Plda.synthetic(64, 16), PipelineConfig(ahc_threshold=1.0, binarize=BinarizeConfig(min_on=3, min_off=3))).segments
 
 
 # ---- selection, audio, models, reports, stream
@@ -499,7 +508,9 @@ def _wavs(spark, sf_dir):
 @query
 def wav_scan(spark, sf_dir):
     rows = audio.decode(_wavs(spark, sf_dir))
-    return rows.select("file_id", F.size("samples").alias("samples"), "sample_rate", "duration")
+    whole = F.transform("samples", lambda x: F.round(x * 32768).cast("long"))
+    total, peak = F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x), F.array_max(F.transform(whole, lambda x: F.abs(x)))
+    return rows.select("file_id", F.size("samples").alias("samples"), "sample_rate", "duration", total.alias("total"), peak.alias("peak"))
 
 
 @query
@@ -509,12 +520,14 @@ def filter_banks(spark, sf_dir):
 
 @query
 def statistics_pooling(spark, sf_dir):
-    rows = relations.embeddings(spark, sf_dir).withColumn("w", F.when(F.col("vec_id") % 3 > 0, 1.0).otherwise(0.0)).select("file_id", "w", F.posexplode("embedding").alias("dim", "x"))
-    total, squares = F.sum("w"), F.sum(F.col("w") * F.col("w"))
-    sums = rows.groupBy("file_id", "dim").agg(total.alias("n"), squares.alias("q"), F.sum(F.col("w") * F.col("x")).alias("s"), F.sum(F.col("w") * F.col("x").cast("double") * F.col("x").cast("double")).alias("ss"))
-    mean, n, q = F.col("s") / F.col("n"), F.col("n"), F.col("q")
-    spread = (F.col("ss") - n * mean * mean) / (n - q / n + 1e-8)
-    return sums.select("file_id", "dim", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(spread, F.lit(1e-10))), 5).alias("std"))
+    """Mean and deviation of a recording's embeddings over time, every third row masked."""
+
+    def solve(group, x):
+        mean, std = np.split(audio.pool_statistics(x.T.astype("float64"), (group["vec_id"].to_numpy() % 3 > 0).astype("float64")), 2)
+        return pd.DataFrame({"file_id": group["file_id"].iloc[0], "dim": np.arange(len(mean)), "mean": mean, "std": std})
+
+    rows = _per_file(relations.embeddings(spark, sf_dir), solve, "file_id long, dim int, mean double, std double")
+    return rows.select("file_id", "dim", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"))
 
 
 @query
@@ -555,9 +568,12 @@ def queue_fallback(spark, sf_dir):
 
 @query
 def window_steps(spark, sf_dir):
-    """Chunks of each recording by its speaker with the most turns; a keyed top-1."""
-    seg = relations.segments(spark, sf_dir).groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("n"))
-    return seg.withColumn("_r", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("n"), "speaker"))).where("_r = 1").drop("_r")
+    """Step of each mode, and the windows of ten seconds that it gives for all recordings."""
+    length = F.floor(F.col("duration") * SAMPLE_RATE).cast("long")
+    count = lambda step: layout.window_count(length, int(WINDOW_SECONDS * SAMPLE_RATE), int(step * SAMPLE_RATE)).cast("long")
+    by_mode = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(window_step(m)).alias("step"), count(window_step(m)).alias("n")) for m in STEPS])
+    rows = relations.files(spark, sf_dir).select(F.explode(by_mode).alias("m"))
+    return rows.groupBy("m.mode", "m.step").agg(F.sum("m.n").alias("windows"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,9 +40,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded activity of chunks, frames and local speakers."""
+    """Decoded activity of chunks, frames and local speakers; recordings grow in number with the table."""
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 4).alias("file_id"), (F.col("l_orderkey") % 50).cast("int").alias("chunk_idx"), (F.col("l_partkey") % 60).cast("int").alias("frame_idx"),
+        (F.expr("l_orderkey div 5000") * 4 + F.col("l_suppkey") % 4).alias("file_id"), (F.col("l_orderkey") % 50).cast("int").alias("chunk_idx"), (F.col("l_partkey") % 60).cast("int").alias("frame_idx"),
         (F.col("l_linenumber") % 3).cast("int").alias("speaker_idx"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("active"),
     )
     return rows.groupBy("file_id", "chunk_idx", "frame_idx", "speaker_idx").agg(F.max("active").alias("active"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: str = "*", partitions: int = 8, name: str = "turnlake") -> SparkSession:
@@ -14,10 +14,24 @@ def session(cores: str = "*", partitions: int = 8, name: str = "turnlake") -> Sp
     )
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (``spark.checkpoint.dir``; a local default only where unset)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Only a local session that has none gets a default."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "/tmp/checkpoints/turnlake"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``shared_root``."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below ``shared_root`` and read from there, so that nothing computes it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
