@@ -1,8 +1,9 @@
 """Shared scratch storage: tables that cut lineage and outlive a lost executor.
 
 Every intermediate table goes below the folder the session names in
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) is a local
-default chosen.  Nothing is ever written to a machine-local folder on a cluster.
+``spark.checkpoint.dir``.  Only a local session without that setting (tests, notebooks)
+gets a default; on a cluster it must be set, so nothing is ever written to a
+machine-local folder there.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ DEFAULT_DIR = "/tmp/checkpoints/turnlake"
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = DEFAULT_DIR
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") + "/turnlake-tables"
