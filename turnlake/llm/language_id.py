@@ -33,7 +33,7 @@ from turnlake.llm.scratch import Scratch
 MAX_TRAIN = 30_000
 TRAIN_CHARS = 64_000_000
 LEAST_TRAIN = 200
-MODEL_ROWS = 40_000_000
+MODEL_ROWS = 8_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.1
 #: What a worker's table of chunks may hold: chunks, and scores in all.
@@ -141,12 +141,12 @@ def gram_counts(lang: np.ndarray, words: list[str], n: np.ndarray) -> pd.DataFra
     return both.assign(h=both["h"].to_numpy("uint64").view("int64"))
 
 
-def model_of(languages: list[str], counts: pd.DataFrame) -> Model:
+def model_of(languages: list[str], counts: dict[str, np.ndarray]) -> Model:
     """The model of summed ``gram_counts``, l the place of a language."""
     tables = []
     for order in (0, *ORDERS):
-        mine = counts[counts["o"] == order]
-        tables.append(Table.of(mine["l"].to_numpy("int64"), mine["h"].to_numpy("int64").view("uint64"), mine["n"].to_numpy("int64"), len(languages)))
+        mine = np.flatnonzero(counts["o"] == order)
+        tables.append(Table.of(counts["l"][mine].astype("int64"), counts["h"][mine].astype("int64").view("uint64"), counts["n"][mine], len(languages)))
     return Model(languages, tables[0], tables[1:])
 
 
@@ -155,7 +155,7 @@ def train(counts: dict[str, dict[str, int]]) -> Model:
     languages = sorted(counts)
     rows = [(i, w, n) for i, la in enumerate(languages) for w, n in counts[la].items()]
     lang, words, n = ([r[i] for r in rows] for i in range(3))
-    return model_of(languages, gram_counts(np.array(lang, "int64"), words, np.array(n, "int64")))
+    return model_of(languages, {c: v.to_numpy() for c, v in gram_counts(np.array(lang, "int64"), words, np.array(n, "int64")).items()})
 
 
 def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, train_chars: int = TRAIN_CHARS) -> Model:
@@ -194,7 +194,8 @@ def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         if counts.count() <= MODEL_ROWS:
             break
         share /= 2
-    model = model_of(languages, counts.toPandas())
+    found = counts.toArrow()
+    model = model_of(languages, {c: found.column(c).to_numpy() for c in ("l", "o", "h", "n")})
     scratch.drop_all()
     return model
 
