@@ -120,8 +120,34 @@ def signatures(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*each)).alias("sig"), "fp")
 
 
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a task as stars: every node with the least one it reaches within the batch."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while x != root:
+                parent[x], x = root, parent.get(x, x)  # noqa: B023
+            return root
+
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        roots = [find(x) for x in nodes]
+        yield pd.DataFrame({"u": nodes, "v": roots}, dtype="int64").query("u != v")
+
+
 def components(links: DataFrame, scratch: Scratch, prefix: str = "") -> DataFrame:
-    """Node and root (the least node of its component) of every node in the links u < v; rounds go on until nothing changes."""
+    """Node and root (the least node of its component) of every node in the links u < v.
+
+    Links are first made stars within their task; rounds of large and small stars go on
+    until all are stars whose middle is no other's point.
+    """
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -129,8 +155,14 @@ def components(links: DataFrame, scratch: Scratch, prefix: str = "") -> DataFram
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"))
 
-    edges, was = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count()
+
+    edges = scratch.save(links.select("u", "v").mapInPandas(_contracted, "u long, v long").distinct(), f"{prefix}small--1")
     for turn in itertools.count():
+        if stars(edges):
+            break
         sides = both(edges)
         star = sides.join(least(sides), sides["u"] == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = scratch.save(star, f"{prefix}large-{turn}")
@@ -139,11 +171,7 @@ def components(links: DataFrame, scratch: Scratch, prefix: str = "") -> DataFram
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         edges = scratch.save(small, f"{prefix}small-{turn}")
         scratch.drop(f"{prefix}large-{turn}", f"{prefix}small-{turn - 1}")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == was:
-            break
-        was = now
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
