@@ -75,6 +75,10 @@ class Scratch:
                 fs, jpath = _fs(self.spark, path)
                 fs.delete(jpath, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Free all tables that aren't in ``names``."""
+        self.drop(*[name for name in self.paths if name not in names])
+
     def drop_all(self) -> None:
         self.drop(*list(self.paths))
 
