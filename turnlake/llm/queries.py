@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import fingerprints, language_id, near_dedup, packing, quality_rules, sentence_pieces, sharding, suffix_dedup, token_counts, url_filters
+from turnlake.llm import centroids, fingerprints, language_id, near_dedup, oracles, packing, quality_rules, sentence_pieces, sharding, spelling, suffix_dedup, token_counts, url_filters
 
 #: The rules of op6, as (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -61,23 +61,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op4_suffix_dedup, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
-OP6_SQL = """
-WITH parts AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-urls AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-rules(h, p, v) AS (VALUES {rules})
-SELECT page_id, host, path,
-       (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
-       coalesce((SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict
-FROM urls
-""".format(rules=", ".join(map(str, URL_RULES)))
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op4_suffix_dedup, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules, op11_spelling_variants, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    return {"op6_url_filters": oracles.OP6.format(rules=", ".join(map(str, URL_RULES))), "op11_spelling_variants": oracles.OP11, "op13_centroids": oracles.OP13}
