@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import centroids, fingerprints, language_id, near_dedup, oracles, packing, quality_rules, sentence_pieces, sharding, spelling, suffix_dedup, token_counts, url_filters
+from turnlake.llm import centroids, fingerprints, language_id, near_dedup, oracles, packing, quality_rules, sentence_pieces, sharding, spelling, suffix_dedup, token_counts, toxicity, url_filters
 
 #: The rules of op6, as (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -65,12 +65,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op4_suffix_dedup, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules, op11_spelling_variants, op13_centroids)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentence_pieces, op3_sharding, op4_suffix_dedup, op5_packing, op6_url_filters, op7_near_dedup, op8_language_id, op9_fingerprints, op10_quality_rules, op11_spelling_variants, op12_toxicity, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
