@@ -15,6 +15,7 @@ the centroids (``k * dims`` numbers too) go to the tasks with their code.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -85,8 +86,9 @@ class Assigned:
 def assign(at: np.ndarray, x: np.ndarray, centroids: list[list[int]], scale: int) -> Iterator[Assigned]:
     """Blocks of nearest centroids, ties to the smaller number; rows of large numbers are apart from the others."""
     most = max((abs(v) for c in centroids for v in c), default=0)
-    room = (EXACT_DOUBLE / max(1, x.shape[1])) ** 0.5 - most - 1
-    small = _magnitude(x) * float(scale) < max(room, 0) * (1 - 1e-9)
+    room = max(0, math.isqrt(EXACT_DOUBLE // max(1, x.shape[1])) - most - 1)
+    with np.errstate(over="ignore"):
+        small = _magnitude(x) * float(scale) < room * (1 - 1e-9)
     for rows in (np.flatnonzero(small), np.flatnonzero(~small)):
         for lo in range(0, len(rows), BLOCK):
             part = rows[lo : lo + BLOCK]
@@ -113,7 +115,7 @@ def merged(a: Sums, b: Sums) -> Sums:
 
 def _exact_sum(values: np.ndarray) -> list[int]:
     """Column sums of integers; 64-bit where they fit."""
-    if values.dtype != object and len(values) * float(np.abs(values).max(initial=0)) < EXACT_LONG / 2:
+    if values.dtype != object and len(values) * int(np.abs(values).max(initial=0)) < EXACT_LONG // 2:
         return values.astype("int64").sum(axis=0).tolist()
     return [sum(int(v) for v in column) for column in values.T]
 
