@@ -283,6 +283,39 @@ def test_many_languages_and_the_rarest_of_them(spark):
     assert all(got[k] == la for k, _, la in data)
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """More counts than the model may hold: the fit ends, each language keeps its most frequent ones and is still told apart."""
+    data = [(i, " ".join("".join(random.Random(i * 99 + k).choices("abcde" if i % 2 else "vwxyz", k=5)) for k in range(40)), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    full = {g.doc_id: g.lang_pred for g in language_id.predict(docs, language_id.fit(docs)).collect()}
+    monkeypatch.setattr(language_id, "MODEL_ROWS", 50)
+    model = language_id.fit(docs)
+    assert 0 < len(model.words.lang) + sum(len(t.lang) for t in model.grams) <= 50
+    assert {g.doc_id: g.lang_pred for g in language_id.predict(docs, model).collect()} == full == {k: la for k, _, la in data}
+
+
+def test_very_long_texts_are_drawn_in_pieces(spark):
+    rnd = random.Random(4)
+    body = {la: "".join(rnd.choices(letters + " ", k=3_000_000)) for la, letters in (("aa", "abcdefgh"), ("bb", "opqrstuv"))}
+    docs = spark.createDataFrame([(i, f"{i} {body[la]}", la) for i, la in enumerate(["aa", "bb"] * 3)], "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, train_chars=400_000)
+    assert {g.doc_id: g.lang_pred for g in language_id.predict(docs, model).collect()} == {i: ["aa", "bb"][i % 2] for i in range(6)}
+    pieces = language_id.drawn_pieces(body["aa"], 0.1)
+    assert 2 <= len(pieces) <= 50 and all(p in body["aa"] for p in pieces) and language_id.drawn_pieces("abc", 0.0) == ["abc"]
+
+
+def test_a_hundred_thousand_values_of_lang(spark, monkeypatch):
+    """A dirty column: the languages with most rows are learned, what the driver holds is bounded."""
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 30)
+    dirty = spark.range(100_000).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('x', id) as lang")
+    clean = spark.createDataFrame([(-i, ("der die das " if i % 2 else "the that this ") * 9, "de" if i % 2 else "en") for i in range(1, 60)], "doc_id long, text string, lang string")
+    model = language_id.fit(dirty.union(clean))
+    assert len(model.languages) == 30 and {"de", "en"} <= set(model.languages)
+    assert {g.lang_pred for g in language_id.predict(clean, model).collect()} == {"de", "en"}
+    rates = language_id.draw_rates([("a", 10**9, 10**13), ("b", 5, 10**12), ("c", 5, 500)], 30_000, 64_000_000)
+    assert rates["c"] == 1 and rates["a"] * 10**13 + rates["b"] * 10**12 <= 2 * 64_000_000
+
+
 def test_numbers_are_no_letters():
     scorer = language_id.Scorer(language_id.train({"aa": {"alpha": 5}}))
     assert [scorer.predict(t)[0] for t in ("² ½ ٣ 12", "Ⅳ ①", "\u0301", "é")] == ["und", "und", "und", "aa"]

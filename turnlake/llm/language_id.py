@@ -7,12 +7,13 @@ order, down to single characters.  A document's scores are the sums over its wor
 and the posterior of the best language is the returned score.
 
 The model is fitted on a bounded sample of labelled rows: about ``MAX_TRAIN`` rows
-with about ``TRAIN_CHARS`` characters, chosen by a hash over all of them, and at least
-about ``LEAST_TRAIN`` rows of each language.  All words and n-grams of the sample
-count, in all its languages.  They are counted on the executors; what reaches the
-driver, and then every worker, are 64-bit hashes with their counts, of which there
-are checked to be ``MODEL_ROWS`` at most, else the sample is halved.  Tables are
-sparse: a language that a key wasn't seen in costs nothing.
+with about ``TRAIN_CHARS`` characters, and at least about ``LEAST_TRAIN`` rows of each of
+the ``MAX_LANGUAGES`` languages with most rows (with ``TRAIN_CHARS`` for all of these
+together).  Rows, and pieces of long texts, are chosen by a hash over all of them.  The
+words and n-grams of the sample are counted on the executors.  What reaches the driver,
+and then every worker, are 64-bit hashes with their counts, ``MODEL_ROWS`` at most: of
+more, each language's most frequent ones.  Tables are sparse: a language that a key
+wasn't seen in costs nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,12 @@ from turnlake.llm.scratch import Scratch
 MAX_TRAIN = 30_000
 TRAIN_CHARS = 64_000_000
 LEAST_TRAIN = 200
+MAX_LANGUAGES = 1000
 MODEL_ROWS = 8_000_000
+#: Texts are drawn in pieces of so many characters.
+PIECE = 16_384
+#: Entries of a task's table of counts before it is handed on.
+COUNT_ENTRIES = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.1
 #: What a worker's table of chunks may hold: chunks, and scores in all.
@@ -158,24 +165,70 @@ def train(counts: dict[str, dict[str, int]]) -> Model:
     return model_of(languages, {c: v.to_numpy() for c, v in gram_counts(np.array(lang, "int64"), words, np.array(n, "int64")).items()})
 
 
+def drawn_pieces(text: str, rate: float) -> list[str]:
+    """The pieces of a drawn text that count: each with probability ``rate``, by a hash; a text of one piece counts whole."""
+    if len(text) <= PIECE:
+        return [text]
+    seed = xxhash.xxh64_intdigest(text)
+    return [text[lo : lo + PIECE] for lo in range(0, len(text), PIECE) if xxhash.xxh64_intdigest(str(lo), seed) < rate * (1 << 64)]
+
+
+def draw_rates(per: list[tuple[str, int, int]], max_train: int, train_chars: int) -> dict[str, float]:
+    """Language: the share of its text that is drawn, from (language, rows, bytes)."""
+    rows, size = sum(n for _, n, _ in per), sum(c for _, _, c in per)
+    share = min(1.0, max_train / max(1, rows), train_chars / max(1, size))
+    return {la: max(share, min(1.0, LEAST_TRAIN / max(1, n), train_chars / len(per) / max(1, c))) for la, n, c in per}
+
+
+def _most_frequent(counts: DataFrame, languages: int) -> DataFrame:
+    """All counts if they are ``MODEL_ROWS`` at most; else of each language as many as it has a part in these, the largest."""
+    top, room = 1 << 12, MODEL_ROWS // max(1, languages)
+    if counts.count() <= MODEL_ROWS:
+        return counts
+    found: dict[int, Counter] = defaultdict(Counter)
+    for r in counts.groupBy("l", F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect():
+        found[r["l"]][r["n"]] = r["rows"]
+    least = []
+    for la, by in found.items():
+        cut, kept = top + 1, 0
+        for n in sorted(by, reverse=True):
+            if (kept := kept + by[n]) > room:
+                break
+            cut = n
+        least.append((la, cut))
+    cuts = counts.sparkSession.createDataFrame(least, "l int, least long")
+    return counts.join(F.broadcast(cuts), "l").where("n >= least").drop("least")  # a row a language
+
+
 def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, train_chars: int = TRAIN_CHARS) -> Model:
     """The model of a sample of the rows of ``training`` with text and lang; without any, a model of no language.
 
     Null keys, repeated rows and other columns are allowed; equal rows are drawn together.
     """
+    spark = training.sparkSession
     rows = training.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null")
-    per = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("c")).collect()
-    languages = sorted(r["l"] for r in per)
-    place = {la: i for i, la in enumerate(languages)}
-    share = min(1.0, max_train / max(1, sum(r["n"] for r in per)), train_chars / max(1, sum(r["c"] for r in per)))
-    scratch = Scratch(training.sparkSession, "language")
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("c"))
+    per = [(r["l"], r["n"], r["c"]) for r in sizes.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()]
+    languages = sorted(la for la, _, _ in per)
+    rates = draw_rates(per, max_train, train_chars)
+    table = spark.createDataFrame([(la, i, rates[la]) for i, la in enumerate(languages)], "l string, place int, rate double")
+    scratch = Scratch(spark, "language")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, Counter] = defaultdict(Counter)
+
+        def flush() -> pa.RecordBatch:
+            of = [(la, w, n) for la, words in totals.items() for w, n in words.items()]
+            totals.clear()
+            return pa.record_batch([pa.array([r[i] for r in of], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["l", "w", "n"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            totals = defaultdict(Counter)
-            for t, la in zip(batch["t"], batch["l"]):
-                totals[place[la]].update(words_of(t.lower()))
-            yield pd.DataFrame([(la, w, c) for la, ws in totals.items() for w, c in ws.items()], columns=["l", "w", "n"])
+            for t, la, rate in zip(*(batch.column(i) for i in range(3))):
+                for piece in drawn_pieces(t.as_py(), rate.as_py()):
+                    totals[la.as_py()].update(words_of(piece.lower()))
+                    if sum(map(len, totals.values())) > COUNT_ENTRIES:
+                        yield flush()
+        yield flush()
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,18 +236,13 @@ def fit(training: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 part = batch.iloc[lo : lo + BATCH_CHUNKS]
                 yield gram_counts(part["l"].to_numpy(), part["w"].tolist(), part["n"].to_numpy())
 
-    while True:
-        fuller = {r["l"]: min(1.0, LEAST_TRAIN / r["n"]) for r in per if LEAST_TRAIN / r["n"] > share}
-        mine = F.lit(share)
-        if fuller:
-            mine = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in fuller.items() for x in pair]), F.col("l")), mine)
-        drawn = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(F.lit(7), "k", "t"), F.lit(1 << 20)) < F.ceil(mine * (1 << 20)))
-        words = drawn.select("t", "l").mapInPandas(count, "l int, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-        counts = scratch.save(words.mapInPandas(grams, "l int, o int, h long, n long").groupBy("l", "o", "h").agg(F.sum("n").alias("n")), f"counts-{len(scratch.paths)}")
-        if counts.count() <= MODEL_ROWS:
-            break
-        share /= 2
-    found = counts.toArrow()
+    pieces = F.greatest(F.ceil(F.char_length("t") / F.lit(PIECE)), F.lit(1))
+    mine = rows.join(F.broadcast(table), "l")  # MAX_LANGUAGES rows at most
+    # a text of many pieces is drawn more often, and fewer of its pieces are
+    drawn = mine.where(F.pmod(F.xxhash64(F.lit(7), "k", "t"), F.lit(1 << 20)) < F.ceil(F.col("rate") * pieces * (1 << 20))).withColumn("rate", F.greatest("rate", 1 / pieces))
+    words = drawn.select("t", "place", "rate").mapInArrow(count, "l int, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    counts = scratch.save(words.mapInPandas(grams, "l int, o int, h long, n long").groupBy("l", "o", "h").agg(F.sum("n").alias("n")), "counts")
+    found = _most_frequent(counts, len(languages)).toArrow()
     model = model_of(languages, {c: found.column(c).to_numpy() for c in ("l", "o", "h", "n")})
     scratch.drop_all()
     return model
