@@ -13,8 +13,13 @@ choosing it, so a stratum's only test at stake is that of the first step beyond
 ``risk``.  A good document is falsely rejected with probability ``risk`` at most, in
 all strata at once with confidence 1 - ``delta``.  A stratum without enough labels
 (217 for four strata, if none is rejected) only faces the base rules.  Documents
-without a stratum are a stratum of their own; all strata but the ``MAX_STRATA`` with
-most labels are one rest stratum, tested like the others.
+without a stratum are a stratum of their own.
+
+Copies are no independent trials: labelled documents of a stratum that share the
+smallest hash of their five-word windows (copies always, near copies mostly) are one
+trial, which is rejected where any of them is, and take the same side of the split.  So
+the promise is about different texts, and is the stricter where unrelated texts share
+that window.
 """
 
 from __future__ import annotations
@@ -24,15 +29,15 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake.llm.ranges import BLANK, NOT_BLANK
 from turnlake.llm.scratch import Scratch
 
 RISK = 0.02
 DELTA = 0.05
-MAX_STRATA = 64
-#: Stands for all strata but those of their own.
-REST = object()
+#: Strata with cutoffs that are sent to all executors; more are joined by a shuffle.
+MAX_BROADCAST = 10_000
 #: One good labelled document in so many helps to choose the path and tests nothing.
 CHOOSING = 5
 MIN_WORDS = 10
@@ -51,21 +56,21 @@ RULES = {
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
-    """Per row: _id, _stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; with ``carry`` the row itself in _row.
+    """Per row: _id, _stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, _group (the same for copies); with ``carry`` the row itself in _row.
 
     A null or empty text has no words and zero everywhere.  Windows of five words are
     compared by 64-bit hashes.  One narrow pass without a shuffle; each step is a
     linear scan of the document's arrays, and only a document in which some window
     repeats has its windows sorted.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.filter(F.split(body, BLANK + "+"), lambda w: w != "")
     octets = F.octet_length
     whole = ["_row"] if carry else []
     rows = df.select(
         *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")] if carry else []),
-        F.col(key).alias("_id"),
-        F.col(stratum).alias("_stratum"),
+        F.col(f"`{key}`").alias("_id"),
+        F.col(f"`{stratum}`").alias("_stratum"),
         words.alias("_words"),
         F.filter(F.split(body, "\n"), lambda line: line.rlike(NOT_BLANK)).alias("_lines"),
         sum((octets(body) - octets(F.replace(body, F.lit(c), F.lit(""))) for c in SYMBOLS), F.lit(0)).cast("long").alias("n_symbols"),
@@ -88,6 +93,8 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
     rows = rows.select(*kept, pairs("_h4", "_h1", WINDOW - 1, F.col("_n") - WINDOW + 1).alias("_h5"))
     # windows that occur again: sorted by hash, a window that equals a neighbour
     again = F.size("_h5") > F.size(F.array_distinct("_h5"))
+    kept.append("_group")
+    rows = rows.withColumn("_group", F.array_min("_h5"))
     rows = rows.select(*kept, F.when(again, F.array_sort(F.transform("_h5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"))
     n = F.size("_s")
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
@@ -99,7 +106,7 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: st
     covered = F.aggregate(steps, F.lit(0), lambda x, y: x + y) + WINDOW
     rows = rows.select(*kept, F.when(F.col("_at").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.select(*whole, "_id", "_stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return rows.select(*whole, "_id", "_stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "_group")
 
 
 def _beyond(rule: str, cutoff) -> F.Column:
@@ -156,52 +163,59 @@ def certified(steps: list[int], kinds: np.ndarray, risk: float, level: float) ->
     return at.tolist()
 
 
-def _within(own: list[str | None], name: str | None) -> F.Column:
-    """Whether a row is of stratum ``name``, null or ``REST``: all but ``own``."""
-    column = F.col("_stratum")
-    if name is not REST:
-        return column.eqNullSafe(F.lit(name))
-    return ~(column.isNull() if None in own else F.lit(False)) & ~F.coalesce(column.isin([x for x in own if x is not None]), F.lit(False))
+def least_trials(risk: float, level: float) -> int:
+    """The fewest trials that can show a rate of ``risk``: if none is rejected."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
 
+def labelled_kinds(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """_stratum, use (0: tests the path, 1: helps to choose it, 2: not good), places in the ladders, and n trials, of labelled documents that pass the base rules."""
+    label = labels.groupBy(F.col(f"`{key}`").alias("_id")).agg(F.min("quality").alias("q")).where("q is not null")
+    held = rows.where(~F.col("base_failed")).join(label, "_id")
+    places = [sum((F.when(_beyond(r, c), 0).otherwise(1) for c in RULES[r][3]), F.lit(0)).alias(r) for r in RULES]
+    trials = held.select("_stratum", "_group", (F.col("q") == 1).alias("good"), *places).groupBy("_stratum", "_group", "good").agg(*[F.min(r).alias(r) for r in RULES])
+    use = F.when(~F.col("good"), 2).when(F.pmod(F.xxhash64(F.lit(11), "_group"), F.lit(CHOOSING)) == 0, 1).otherwise(0)
+    return trials.withColumn("use", use).groupBy("_stratum", "use", *RULES).agg(F.count(F.lit(1)).alias("n"))
 
-def fit_cutoffs(rows: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> tuple[list, dict[str, dict]]:
-    """Strata of their own, and certified cutoffs: rule -> stratum -> cutoff, from the features of labelled documents.
 
-    ``labels`` has ``key`` and quality; a document with several labels is good if all
-    are 1.  Beyond ``MAX_STRATA`` strata (null is one) the others are tested together as
-    ``REST``.  Collected are counts by the places in the ladders that reject a document,
-    a bounded number a stratum.
+def fit_cutoffs(rows: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """_stratum and, by rule, its certified cutoff or null, of the strata that have one; from the features of labelled documents.
+
+    ``labels`` has ``key`` and quality; a document with several labels is good if all are 1.
+    Collected are counts by the places in the ladders that reject a document: those of
+    all strata together, and those of strata with at least ``least_trials`` trials of
+    their own, as no other can be certified.  So there are fewer strata here than labels
+    by that number, and any number of small ones.
     """
-    label = labels.groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("q")).where("q is not null")
-    held = rows.where(~F.col("base_failed")).join(label, "_id")
-    # 0: tests the path, 1: helps to choose it, 2: not good
-    use = F.when(F.col("q") != 1, 2).when(F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(CHOOSING)) == 0, 1).otherwise(0)
-    held = held.select("_stratum", use.alias("use"), *[sum((F.when(_beyond(r, c), 0).otherwise(1) for c in RULES[r][3]), F.lit(0)).alias(r) for r in RULES])
-    most = held.where("use = 0").groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA + 1).collect()
-    own = [r[0] for r in most[:MAX_STRATA]]
-    names = [*own, REST] if len(most) > MAX_STRATA else own
-    nth = F.coalesce(*[F.when(_within(own, name), i) for i, name in enumerate(names)], F.lit(-1))
-    kinds: dict[tuple, list] = {}
-    for r in held.withColumn("nth", nth).where("nth >= 0").groupBy("nth", "use", *RULES).agg(F.count(F.lit(1)).alias("n")).collect():
-        kinds.setdefault((names[r["nth"]], r["use"]), []).append([*(r[rule] for rule in RULES), r["n"]])
-    table = lambda use, of: np.array([k for name in of for k in kinds.get((name, use), [])], "int64").reshape(-1, len(RULES) + 1)
-    good, junk = table(1, names), table(2, names)
-    out: dict[str, dict] = {rule: {} for rule in RULES}
-    for name in names:
-        for rule, at in zip(RULES, certified(tightening_path(table(1, [name]), good, junk), table(0, [name]), risk, delta / len(names))):
-            if at:
-                out[rule][name] = RULES[rule][3][at - 1]
-    return own, out
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "quality-kinds")
+    kinds = scratch.save(labelled_kinds(rows, labels, key), "kinds")
+    enough = kinds.where("use = 0").groupBy("_stratum").agg(F.sum("n").alias("trials")).where(F.col("trials") >= least_trials(risk, delta)).select(F.col("_stratum").alias("s"))
+    own: dict = {}
+    for r in kinds.where("use < 2").join(enough, kinds["_stratum"].eqNullSafe(F.col("s"))).select("_stratum", "use", *RULES, "n").collect():
+        own.setdefault(r["_stratum"], {}).setdefault(r["use"], []).append([*(r[rule] for rule in RULES), r["n"]])
+    pooled: dict = {}
+    for r in kinds.where("use > 0").groupBy("use", *RULES).agg(F.sum("n").alias("n")).collect():
+        pooled.setdefault(r["use"], []).append([*(r[rule] for rule in RULES), r["n"]])
+    scratch.drop_all()
+    grid = lambda found: np.array(found or [], "int64").reshape(-1, len(RULES) + 1)
+    out = []
+    for name, found in own.items():
+        path = tightening_path(grid(found.get(1)), grid(pooled.get(1)), grid(pooled.get(2)))
+        steps = certified(path, grid(found.get(0)), risk, delta / len(own))
+        if any(steps):
+            out.append((name, *(float(ladder[at - 1]) if at else None for at, (_, _, _, ladder) in zip(steps, RULES.values()))))
+    schema = T.StructType([T.StructField("_stratum", rows.schema["_stratum"].dataType), *(T.StructField(rule, T.DoubleType()) for rule in RULES)])
+    table = spark.createDataFrame(out, schema)
+    return F.broadcast(table) if len(out) <= MAX_BROADCAST else table
 
 
 def _judged(df: DataFrame, labels: DataFrame, key: str, text: str, stratum: str, risk: float, delta: float, carry: bool) -> DataFrame:
     rows = Scratch(df.sparkSession, "quality").save(features(df, key, text, stratum, carry), "features")
-    rejected = F.lit(False)
-    own, cutoffs = fit_cutoffs(rows, labels, key, risk, delta)
-    for rule, by in cutoffs.items():
-        for name, cutoff in by.items():
-            rejected = rejected | (_within(own, name) & _beyond(rule, cutoff))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False)))
+    cutoffs = fit_cutoffs(rows, labels, key, risk, delta).select(F.col("_stratum").alias("_s"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    met = rows.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    rejected = F.greatest(*[_beyond(r, F.col(f"_cut_{r}")) for r in RULES])  # no cutoff: not beyond it
+    return met.withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
