@@ -248,6 +248,42 @@ def test_smoothing(spark):
         assert sum(got[f, t, c] for c in range(4)) == min(4, k[f, t])
 
 
+@pytest.mark.parametrize("slice_frames", [1, 7, 64])
+def test_smoothing_is_the_same_however_it_is_cut(spark, slice_frames):
+    """Stretches of ties longer than a slice, frames without speakers, and a recording without any settled frame."""
+    rnd = random.Random(slice_frames)
+    by, k = {}, {}
+    for f in range(3):
+        near = 0
+        for t in range(120):
+            near = near - 1 if near else rnd.choice([0, 0, 0, 20])
+            base = rnd.random()
+            by[f, t] = [base + (rnd.random() * 0.15 if near or f == 2 else rnd.random()) for _ in range(4)]
+            k[f, t] = 2 if f == 2 else rnd.choice([0, 1, 1, 2, 2, 3, 4, 5])
+    for t in range(120):  # recording 2: all within epsilon
+        by[2, t] = [0.5 + rnd.random() * 0.05 for _ in range(4)]
+    act = spark.createDataFrame([(f, t, c, s) for (f, t), row in by.items() for c, s in enumerate(row)], "file_id int, out_frame int, cluster int, score double").repartition(5)
+    counts = spark.createDataFrame([(f, t, n) for (f, t), n in k.items()], "file_id int, out_frame int, n_speakers int")
+    got = {(r.file_id, r.out_frame, r.cluster): r.active for r in smoothing.smoothed_top_k(act, counts, slice_frames=slice_frames).collect()}
+    for f in range(3):
+        before = set()
+        for t in range(120):
+            before = set(smoothing.pick(by[f, t], k[f, t], before, 0.1))
+            assert [got[f, t, c] for c in range(4)] == [int(c in before) for c in range(4)]
+    units = smoothing.with_units(smoothing.settle(spark.createDataFrame([(f, t, s, k[f, t]) for (f, t), s in by.items()], "file_id int, out_frame int, scores array<double>, n_speakers int"), 0.1), slice_frames)
+    found = units.groupBy("file_id").agg({"unit": "max"}).collect()
+    assert {r[0]: r[1] >= 0 for r in found} == {0: True, 1: True, 2: False}
+
+
+@pytest.mark.parametrize("onset, offset", [(0.4, 0.6), (0.6, 0.4), (0.5, 0.5)])
+def test_hysteresis_equals_the_state_machine(spark, onset, offset):
+    rnd = random.Random(9)
+    tracks = [[rnd.choice([0.1, 0.4, 0.5, 0.55, 0.6, 0.9, float("nan")]) for _ in range(60)] for _ in range(5)]
+    df = binarize.hysteresis(scores(spark, *tracks), onset, offset)
+    assert on(df) == [s for t in tracks for s in brute_binarize(t, BinarizeConfig(onset, offset))]
+    assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mask_choice(spark):
     mask, clean = [[1, 0], [1, 0], [1, 1], [0, 0]], [[1, 0], [1, 1], [1, 1], [0, 0]]
     weight = lambda rows: masks.speaker_weights(seg_rows(spark, [rows]), 16_000, 6_000, 1.0).where("speaker_idx = 0").first()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,27 +18,20 @@ def _order():
 def hysteresis(rows: DataFrame, onset: float = 0.5, offset: float = 0.5) -> DataFrame:
     """Adds on: switches on at a score of ``onset`` and off below ``offset``; off at first.
 
-    With onset >= offset the state is that of the last frame beyond a threshold, one
-    window function; otherwise the state machine runs over each speaker's frames.
+    With onset >= offset the state is that of the last frame beyond a threshold.
+    Otherwise a score between the two switches, whatever the state, so the state is the
+    last fixed one and the parity of the switches since.  A NaN holds the state.
     """
+    score, known = F.col("score"), ~F.isnan("score")
     if onset >= offset:
-        # a NaN score compares false with both thresholds, so it holds the state
-        seen = F.when(F.isnan("score"), F.lit(None)).when(F.col("score") >= onset, 1).when(F.col("score") < offset, 0)
+        seen = F.when(known & (score >= onset), 1).when(known & (score < offset), 0)
         return rows.withColumn("on", F.coalesce(F.last(seen, ignorenulls=True).over(_order()), F.lit(0)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, at = 0, None
-        for batch in batches:
-            out = []
-            for who, s in zip(zip(*(batch[c] for c in GROUP)), batch["score"]):
-                if who != at:
-                    state, at = 0, who
-                state = (0 if s < offset else 1) if state else int(s >= onset)
-                out.append(state)
-            yield batch.assign(on=out)
-
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", on int"
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "frame").mapInPandas(run, kind)
+    switches = F.sum(F.when(known & (score >= onset) & (score < offset), 1).otherwise(0)).over(_order())
+    fixed = F.when(known & (score >= offset), 1).when(known & (score < onset), 0)
+    rows = rows.withColumn("_n", switches)
+    at = F.last(F.when(fixed.isNotNull(), F.struct(fixed.alias("on"), F.col("_n").alias("n"))), ignorenulls=True).over(_order())
+    state = (F.coalesce(F.col("_at.on"), F.lit(0)) + F.col("_n") - F.coalesce(F.col("_at.n"), F.lit(0))) % 2
+    return rows.withColumn("_at", at).withColumn("on", state.cast("int")).drop("_at", "_n")
 
 
 def _islands(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 Scores nearer than epsilon are decided by who was active before, others by score.
 That order isn't transitive, so the rule is fixed here: a stable insertion sort from
-the lowest cluster on.  A frame depends on the frame before it, so each recording
-runs as one sequential scan over its sorted frames, streamed in batches.
+the lowest cluster on.
+
+A frame is settled if what was before can't matter: it has no place or places for all,
+or its last place is won by epsilon or more.  (All winners then precede all others at
+every step of the sort.)  Settled frames are chosen by an expression.  They also cut a
+recording into units that know nothing of each other, so one recording is scanned by
+many tasks: a unit begins at the first settled frame of a slice of time, and a slice
+without any goes to the unit before.
 """
 
 from __future__ import annotations
@@ -12,8 +18,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlake.session import materialized
+
+SLICE_FRAMES = 4096
+
 
 def pick(scores: list[float], k: int, before: set[int], epsilon: float) -> list[int]:
     """Indices of the ``k`` speakers of a frame."""
@@ -35,22 +46,43 @@ def pick(scores: list[float], k: int, before: set[int], epsilon: float) -> list[
     return order[:k]
 
 
-def smoothed_top_k(activations: DataFrame, counts: DataFrame, epsilon: float = 0.1) -> DataFrame:
+def settle(frames: DataFrame, epsilon: float) -> DataFrame:
+    """Adds top, the clusters of the ``n_speakers`` highest scores, and settled."""
+    k, n = F.col("n_speakers"), F.size("scores")
+    ranked = F.array_sort(F.transform("scores", lambda s, i: F.struct((-s).alias("d"), i.alias("i"))))
+    rows = frames.withColumn("_r", ranked)
+    lead = F.get("_r", k)["d"] - F.get("_r", k - 1)["d"]
+    top = F.transform(F.slice("_r", F.lit(1), F.greatest(k, F.lit(0))), lambda x: x["i"])
+    return rows.select(*frames.columns, top.alias("top"), ((k <= 0) | (k >= n) | F.coalesce(lead >= epsilon, F.lit(False))).alias("settled"))
+
+
+def with_units(frames: DataFrame, slice_frames: int) -> DataFrame:
+    """Adds unit: the first settled frame of the slice at or before the frame, else that of the last slice that has one, else -1."""
+    rows = frames.withColumn("_slice", F.floor(F.col("out_frame") / slice_frames))
+    firsts = rows.groupBy("file_id", "_slice").agg(F.min(F.when(F.col("settled"), F.col("out_frame"))).alias("_first"))
+    # a row a slice, so a recording's window is short
+    earlier = F.last("_first", ignorenulls=True).over(W.partitionBy("file_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    starts = firsts.withColumn("_before", F.coalesce(earlier, F.lit(-1)))
+    return rows.join(starts, ["file_id", "_slice"]).withColumn("unit", F.when(F.col("out_frame") >= F.col("_first"), F.col("_first")).otherwise(F.col("_before"))).drop("_slice", "_first", "_before")
+
+
+def smoothed_top_k(activations: DataFrame, counts: DataFrame, epsilon: float = 0.1, slice_frames: int = SLICE_FRAMES) -> DataFrame:
     """(file_id, out_frame, cluster, score) with active 0 or 1; clusters of a frame must be dense from 0."""
     frames = activations.groupBy("file_id", "out_frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "score"))), lambda x: x["score"]).alias("scores"))
-    frames = frames.join(counts, ["file_id", "out_frame"])
+    frames = materialized(settle(frames.join(counts, ["file_id", "out_frame"]), epsilon), "frames")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, before = None, set()
         for batch in batches:
             chosen = []
-            for file_id, scores, k in zip(batch["file_id"], batch["scores"], batch["n_speakers"]):
-                if file_id != at:
-                    at, before = file_id, set()
-                before = set(pick(list(scores), int(k), before, epsilon))
+            for file_id, unit, scores, k, top, settled in zip(batch["file_id"], batch["unit"], batch["scores"], batch["n_speakers"], batch["top"], batch["settled"]):
+                if (file_id, unit) != at:
+                    at, before = (file_id, unit), set()
+                before = set(top.tolist() if settled else pick(scores.tolist(), int(k), before, epsilon))
                 chosen.append([int(i in before) for i in range(len(scores))])
-            yield batch.assign(active=chosen)[["file_id", "out_frame", "scores", "active"]]
+            yield batch[["file_id", "out_frame", "scores"]].assign(active=chosen)
 
     kind = activations.schema["file_id"].dataType.simpleString()
-    done = frames.repartition("file_id").sortWithinPartitions("file_id", "out_frame").mapInPandas(scan, f"file_id {kind}, out_frame int, scores array<double>, active array<int>")
+    units = with_units(frames, slice_frames).repartition("file_id", "unit").sortWithinPartitions("file_id", "unit", "out_frame")
+    done = units.mapInPandas(scan, f"file_id {kind}, out_frame int, scores array<double>, active array<int>")
     return done.select("file_id", "out_frame", F.posexplode(F.arrays_zip("scores", "active")).alias("cluster", "_x")).select("file_id", "out_frame", "cluster", F.col("_x.scores").alias("score"), F.col("_x.active").alias("active"))

@@ -108,6 +108,12 @@ SQL = {
     "speaker_labels": f"WITH {SEG}, {FIRST} SELECT file_id, speaker, printf('SPEAKER_%02d', idx) AS label FROM fs",
     "transcript_speakers": f"""WITH {SEG}, {TRANSCRIPT}, ov AS (SELECT t.file_id, t.row_idx, s.speaker, row_number() OVER (PARTITION BY t.file_id, t.row_idx ORDER BY least(t.e_ms, s.e_ms) - greatest(t.s_ms, s.s_ms) DESC, s.event_id) AS r
       FROM tr t JOIN seg s ON s.file_id = t.file_id AND s.s_ms < t.e_ms AND t.s_ms < s.e_ms) SELECT tr.*, coalesce(ov.speaker, 'UNKNOWN') AS speaker FROM tr LEFT JOIN ov ON ov.file_id = tr.file_id AND ov.row_idx = tr.row_idx AND r = 1""",
+    # the state machine itself, frame by frame
+    "hysteresis_switching": f"""WITH RECURSIVE {FRAMES}, m(file_id, speaker, frame, a) AS (
+      SELECT DISTINCT file_id, speaker, -1, 0 FROM fr UNION ALL
+      SELECT fr.file_id, fr.speaker, fr.frame, CASE WHEN m.a = 1 THEN CASE WHEN fr.score < 2e-1 THEN 0 ELSE 1 END ELSE CASE WHEN fr.score >= 1e-1 THEN 1 ELSE 0 END END
+      FROM m JOIN fr ON fr.file_id = m.file_id AND fr.speaker = m.speaker AND fr.frame = m.frame + 1)
+      SELECT file_id, speaker, frame, a AS "on" FROM m WHERE frame >= 0""",
     "hysteresis": f"WITH {W1} SELECT * FROM h",
     "frame_runs": f'WITH {W1}, {_runs("h", "r")} SELECT file_id, speaker, "on", min(frame) AS "start", max(frame) + 1 AS "end" FROM r GROUP BY file_id, speaker, run, "on"',
     "min_on": f"WITH {W1}, {_runs('h', 'r')} " + LONG_ON.format("r"),
@@ -151,6 +157,19 @@ SQL = {
     "speaker_count": f"WITH {COUNT} SELECT * FROM cnt",
     "silent_files": f"WITH {COUNT} SELECT file_id, max(n_speakers) = 0 AS silent, max(n_speakers) AS most FROM cnt GROUP BY file_id",
     "cluster_activations": f"WITH {ACT} SELECT * FROM ac",
+    # insertion sort of a frame's clusters, frame by frame
+    "smoothed_topk": f"""WITH RECURSIVE {ACT}, most AS (SELECT file_id, max(n_speakers) AS m FROM cnt GROUP BY file_id), all_of AS (
+      SELECT g.file_id, g.out_frame, CAST(unnest(range(0, greatest(w, m))) AS INTEGER) AS cluster FROM grid g JOIN wide USING (file_id) JOIN most USING (file_id)),
+    full_ac AS (SELECT d.*, coalesce(score, 0e0) AS score FROM all_of d LEFT JOIN sc USING (file_id, out_frame, cluster)),
+    fs AS (SELECT file_id, out_frame, list(score ORDER BY cluster) AS s, any_value(n_speakers) AS k FROM full_ac JOIN cnt USING (file_id, out_frame) GROUP BY file_id, out_frame),
+    scan(file_id, out_frame, kept) AS (SELECT DISTINCT file_id, -1, CAST([] AS BIGINT[]) FROM fs UNION ALL
+      SELECT fs.file_id, fs.out_frame, CASE WHEN k >= len(s) THEN range(len(s)) ELSE list_reduce(list_transform(range(len(s)), lambda i: [i]), lambda o, x:
+        list_concat(list_concat(o[1:coalesce(list_max(list_filter(range(1, len(o) + 1), lambda j: NOT CASE WHEN abs(s[x[1] + 1] - s[o[j] + 1]) < 1e-1
+          THEN list_contains(kept, x[1]) AND NOT list_contains(kept, o[j]) ELSE s[x[1] + 1] > s[o[j] + 1] END)), 0)], x),
+          o[coalesce(list_max(list_filter(range(1, len(o) + 1), lambda j: NOT CASE WHEN abs(s[x[1] + 1] - s[o[j] + 1]) < 1e-1
+          THEN list_contains(kept, x[1]) AND NOT list_contains(kept, o[j]) ELSE s[x[1] + 1] > s[o[j] + 1] END)), 0) + 1:len(o)]))[1:k] END
+      FROM scan JOIN fs ON fs.file_id = scan.file_id AND fs.out_frame = scan.out_frame + 1)
+    SELECT a.file_id, a.out_frame, a.cluster, a.score, CASE WHEN list_contains(kept, a.cluster) THEN 1 ELSE 0 END AS active FROM full_ac a JOIN scan USING (file_id, out_frame)""",
     "frame_topk": f"WITH {ACT} SELECT ac.*, CASE WHEN row_number() OVER (PARTITION BY file_id, out_frame ORDER BY score DESC, cluster) <= n_speakers THEN 1 ELSE 0 END AS active FROM ac JOIN cnt USING (file_id, out_frame)",
     "l2_normalize": "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), x AS (SELECT vec_id, n, e, unnest(range(0, len(e))) AS i FROM u) SELECT vec_id, CAST(i AS INTEGER) AS dim, round(e[i + 1] / n, 6) AS x FROM x",
     "cosine_matrix": f"WITH {EMB} SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM emb a JOIN emb b ON a.file_id = b.file_id AND a.vec_id < b.vec_id",

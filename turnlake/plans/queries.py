@@ -111,6 +111,12 @@ def hysteresis(spark, sf_dir):
     return binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET).select("file_id", "speaker", "frame", "on")
 
 
+@query
+def hysteresis_switching(spark, sf_dir):
+    """Onset below offset: scores between the two switch the state."""
+    return binarize.hysteresis(relations.frames(spark, sf_dir), OFFSET, ONSET).select("file_id", "speaker", "frame", "on")
+
+
 @query
 def frame_runs(spark, sf_dir):
     return binarize.find_runs(binarize.hysteresis(relations.frames(spark, sf_dir), ONSET, OFFSET))
