@@ -22,6 +22,20 @@ def windows(files: DataFrame, window: int, step: int, length: str = "n_samples")
     return rows.withColumn("is_padded", F.col("start_sample") + window > F.col(length))
 
 
+def runs(files: DataFrame, window: int, step: int, run: int, samples: str = "samples") -> DataFrame:
+    """Rows of ``run`` neighbouring windows, which hold the samples that these share once: the other columns, run_idx, chunk_idx of the first, chunks, samples.
+
+    The parts are cut inside the row, so that the recording isn't copied for each.
+    """
+    n = window_count(F.size(samples), window, step)
+    first = F.sequence(F.lit(0), F.greatest(F.ceil(n / run).cast("int") - 1, F.lit(0)))
+    here = lambda r: F.least(F.lit(run), n - r * run)
+    part = lambda r: F.slice(samples, r * (run * step) + 1, (here(r) - 1) * step + window)
+    cut = F.transform(first, lambda r: F.struct(r.alias("run_idx"), (r * run).alias("chunk_idx"), here(r).alias("chunks"), part(r).alias("samples")))
+    others = [c for c in files.columns if c != samples]
+    return files.where(n > 0).select(*others, F.explode(cut).alias("_r")).select(*others, "_r.*")
+
+
 def chunk_slice(samples, chunk: Column, window: int, step: int) -> Column:
     """Samples of a window, not padded; empty behind the end."""
     start, n = chunk * step, F.size(samples)

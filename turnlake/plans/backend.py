@@ -15,14 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.config import MIN_SPEAKER_ACTIVITY
+from turnlake.sources import audio
 
 
 class ModelBackend(Protocol):
     def segment(self, windows: np.ndarray) -> np.ndarray:
         """(windows, samples) to logits (windows, frames, classes)."""
 
-    def embed(self, windows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        """(rows, samples) and masks (rows, frames) to embeddings (rows, dim)."""
+    def features(self, samples: np.ndarray, windows: int, window: int, step: int) -> np.ndarray:
+        """What ``embed`` needs of each of the neighbouring windows of ``samples``: (windows, ...), made once, whatever masks follow."""
+
+    def embed(self, features: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """Features (rows, ...) of each mask's window and masks (rows, frames) to embeddings (rows, dim)."""
+
+
+def windows_of(samples: np.ndarray, windows: int, window: int, step: int) -> np.ndarray:
+    """Neighbouring windows as a view on their samples, padded with zeros behind the end."""
+    x = np.zeros((windows - 1) * step + window, "float32")
+    x[: len(samples)] = samples[: len(x)]
+    return np.lib.stride_tricks.sliding_window_view(x, window)[::step]
 
 
 class StubBackend:
@@ -39,9 +50,11 @@ class StubBackend:
     def segment(self, windows: np.ndarray) -> np.ndarray:
         return np.sin(20 * self._energy(windows)[:, :, None] * self.mix)
 
-    def embed(self, windows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        stretched = masks[:, np.arange(self.frames) * masks.shape[1] // self.frames]
-        return (self._energy(windows) * stretched) @ self.project
+    def features(self, samples: np.ndarray, windows: int, window: int, step: int) -> np.ndarray:
+        return self._energy(windows_of(samples, windows, window, step))
+
+    def embed(self, features: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        return (features * masks[:, np.arange(self.frames) * masks.shape[1] // self.frames]) @ self.project
 
 
 def load_onnx(segmentation: str, embedding: str) -> Callable[[], ModelBackend]:
@@ -58,44 +71,60 @@ def load_onnx(segmentation: str, embedding: str) -> Callable[[], ModelBackend]:
             def segment(self, windows):
                 return seg.run(None, {seg.get_inputs()[0].name: windows[:, None, :].astype("float32")})[0]
 
-            def embed(self, windows, masks):
+            def features(self, samples, windows, window, step):
+                return audio.run_filter_banks(samples, windows, window, step)
+
+            def embed(self, features, masks):
                 names = [i.name for i in emb.get_inputs()]
-                return emb.run(None, dict(zip(names, (windows[:, None, :].astype("float32"), masks.astype("float32")))))[0]
+                return emb.run(None, dict(zip(names, (features.astype("float32"), masks.astype("float32")))))[0]
 
         return Onnx()
 
     return make
 
 
-def segment(windows: DataFrame, backend: Callable[[], ModelBackend]) -> DataFrame:
-    """(file_id, chunk_idx, samples) to a row (file_id, chunk_idx, frame_idx, logits) per frame."""
+def segment(runs: DataFrame, backend: Callable[[], ModelBackend], window: int, step: int) -> DataFrame:
+    """Runs of windows (file_id, chunk_idx, chunks, samples) to a row (file_id, chunk_idx, frame_idx, logits) per frame.
+
+    Samples travel once a run; its windows are views on them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         for batch in batches:
-            logits = model.segment(np.stack(batch["samples"].to_list()))
-            yield pd.DataFrame({"file_id": batch["file_id"], "chunk_idx": batch["chunk_idx"], "logits": [x.astype("float32").tolist() for x in logits]})
+            for file_id, first, n, samples in zip(batch["file_id"], batch["chunk_idx"], batch["chunks"], batch["samples"]):
+                logits = model.segment(windows_of(samples, n, window, step))
+                yield pd.DataFrame({"file_id": [file_id] * n, "chunk_idx": np.arange(first, first + n, dtype="int32"), "logits": [x.astype("float32").tolist() for x in logits]})
 
-    kind = windows.schema["file_id"].dataType.simpleString()
-    rows = windows.select("file_id", "chunk_idx", "samples").mapInPandas(run, f"file_id {kind}, chunk_idx int, logits array<array<float>>")
+    kind = runs.schema["file_id"].dataType.simpleString()
+    rows = runs.select("file_id", "chunk_idx", "chunks", "samples").mapInPandas(run, f"file_id {kind}, chunk_idx int, logits array<array<float>>")
     return rows.select("file_id", "chunk_idx", F.posexplode("logits").alias("frame_idx", "logits"))
 
 
-def embed(windows: DataFrame, masks: DataFrame, backend: Callable[[], ModelBackend], min_activity: float = MIN_SPEAKER_ACTIVITY) -> DataFrame:
+def embed(runs: DataFrame, masks: DataFrame, backend: Callable[[], ModelBackend], window: int, step: int, run: int, min_activity: float = MIN_SPEAKER_ACTIVITY) -> DataFrame:
     """Embeddings of (file_id, chunk_idx, speaker_idx, mask) rows over their windows; null below ``min_activity``.
 
     Inactive speakers are left out before the model runs, as no filter reaches through it.
+    All masks of a run of ``run`` windows meet its samples in one row, so these are sent
+    once, and the features of a window are made once for all its masks.
     """
     activity = F.aggregate("mask", F.lit(0.0), lambda s, x: s + x)
-    on = ["file_id", "chunk_idx"]
+    on = ["file_id", "run_idx"]
+    asked = masks.where(activity >= min_activity).withColumn("run_idx", F.floor(F.col("chunk_idx") / run).cast("int"))
+    # at most run * local speakers masks
+    asked = asked.groupBy(*on).agg(F.collect_list(F.struct("chunk_idx", "speaker_idx", "mask")).alias("masks"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         for batch in batches:
-            found = model.embed(np.stack(batch["samples"].to_list()), np.stack(batch["mask"].to_list()))
-            yield batch[["file_id", "chunk_idx", "speaker_idx"]].assign(embedding=[x.astype("float32") for x in found])
-
-    kind = windows.schema["file_id"].dataType.simpleString()
-    active = masks.where(activity >= min_activity).join(windows.select(*on, "samples"), on)
-    done = active.select(*on, "speaker_idx", "samples", "mask").mapInPandas(run, f"file_id {kind}, chunk_idx int, speaker_idx int, embedding array<float>")
-    return masks.select(*on, "speaker_idx").join(done, [*on, "speaker_idx"], "left")
+            for file_id, first, n, samples, rows in zip(batch["file_id"], batch["chunk_idx"], batch["chunks"], batch["samples"], batch["masks"]):
+                features = model.features(samples, n, window, step)
+                chunk = np.array([r["chunk_idx"] for r in rows])
+                found = model.embed(features[chunk - first], np.stack([np.asarray(r["mask"], "float64") for r in rows]))
+                yield pd.DataFrame({"file_id": [file_id] * len(rows), "chunk_idx": chunk, "speaker_idx": [r["speaker_idx"] for r in rows], "embedding": [x.astype("float32") for x in found]})
+
+    kind = runs.schema["file_id"].dataType.simpleString()
+    met = asked.join(runs.select(*on, "chunk_idx", "chunks", "samples"), on)
+    done = met.select("file_id", "chunk_idx", "chunks", "samples", "masks").mapInPandas(solve, f"file_id {kind}, chunk_idx int, speaker_idx int, embedding array<float>")
+    key = ["file_id", "chunk_idx", "speaker_idx"]
+    return masks.select(*key).join(done, key, "left")

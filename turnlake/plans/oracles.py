@@ -190,7 +190,24 @@ SQL = {
     "missing_files": "SELECT printf('rec%d', o_orderkey) AS stem FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)",
     "wav_scan": """WITH x AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))) AS s FROM embeddings)
       SELECT vec_id AS file_id, CAST(16 * n AS INTEGER) AS samples, 16000 AS sample_rate, CAST(16 * n AS DOUBLE) / 16000 AS duration, CAST(16 * list_sum(s) AS BIGINT) AS total, CAST(list_max(list_transform(s, lambda v: abs(v))) AS BIGINT) AS peak FROM x""",
-    "filter_banks": "SELECT vec_id AS file_id, CAST((16 * len(embedding) - 400) // 160 + 1 AS INTEGER) AS frames, 80 AS bins FROM embeddings",
+    "wav_windows": """WITH x AS (SELECT vec_id, 16 * len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))) AS s FROM embeddings),
+      w AS (SELECT *, unnest(range(0, (n - 300) // 70 + 1 + CASE WHEN n > 300 AND ((n - 300) // 70 + 1) * 70 < n THEN 1 ELSE 0 END)) AS c FROM x WHERE n >= 300)
+      SELECT vec_id AS file_id, CAST(c AS INTEGER) AS chunk_idx, CAST(c * 70 AS BIGINT) AS start_sample, CAST(least(300, n - c * 70) AS INTEGER) AS samples, c * 70 + 300 > n AS is_padded,
+        CAST(list_sum(list_transform(range(c * 70, least(n, c * 70 + 300)), lambda i: s[i % len(s) + 1])) AS BIGINT) AS total FROM w""",
+    # the discrete Fourier transform as inner products with 257 cosines and sines
+    "filter_banks": """WITH x AS (SELECT vec_id, 16 * len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))::DOUBLE) AS s FROM embeddings),
+      fr AS (SELECT vec_id, s, unnest(range(0, (n - 400) // 160 + 1)) AS f FROM x),
+      cut AS (SELECT vec_id, f, list_transform(range(f * 160, f * 160 + 400), lambda i: s[i % len(s) + 1]) AS v FROM fr),
+      centred AS (SELECT vec_id, f, list_transform(v, lambda e: e - list_sum(v) / 400) AS v FROM cut),
+      wave AS (SELECT vec_id, f, list_transform(range(400), lambda i: (v[i + 1] - 97e-2 * v[greatest(i, 1)]) * (54e-2 - 46e-2 * cos(2 * pi() * i / 399))) AS y FROM centred),
+      basis AS (SELECT k, list_transform(range(400), lambda i: cos(2 * pi() * k * i / 512)) AS c, list_transform(range(400), lambda i: sin(2 * pi() * k * i / 512)) AS d FROM range(257) r(k)),
+      power AS (SELECT vec_id, f, k, list_inner_product(y, c) ** 2 + list_inner_product(y, d) ** 2 AS p FROM wave, basis),
+      ends AS (SELECT 1127 * ln(1 + 20e0 / 700) AS lo, 1127 * ln(1 + 8000e0 / 700) AS hi),
+      bank AS (SELECT b, k, greatest(0, least((m - e1) / w, (e1 + 2 * w - m) / w)) AS t FROM (
+        SELECT b, k, 1127 * ln(1 + k * 16000e0 / 512 / 700) AS m, lo + b * (hi - lo) / 81 AS e1, (hi - lo) / 81 AS w FROM ends, range(80) q(b), range(257) r(k))),
+      mel AS (SELECT vec_id, f, b, sum(p * t) AS e FROM power JOIN bank USING (k) WHERE t > 0 GROUP BY ALL)
+      SELECT vec_id AS file_id, CAST(count(DISTINCT f) AS INTEGER) AS frames, CAST(count(DISTINCT b) AS INTEGER) AS bins, round(sum(ln(greatest(e, 1.1920928955078125e-07))), 3) AS energy FROM mel GROUP BY vec_id""",
+    "annotation_files": f"""WITH {SEG} SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY s_ms, e_ms, speaker) - 1 AS INTEGER) AS line_idx, s_ms, e_ms - s_ms AS length_ms, speaker FROM seg""",
     "statistics_pooling": f"""WITH {EMB}, x AS (SELECT file_id, CASE WHEN vec_id % 3 > 0 THEN 1e0 ELSE 0e0 END AS w, embedding, unnest(range(0, len(embedding))) AS i FROM emb),
       y AS (SELECT file_id, i, w, embedding[i + 1]::DOUBLE AS v FROM x), m AS (SELECT file_id, i, sum(w) AS n, sum(w * w) AS q, sum(w * v) / sum(w) AS mean FROM y GROUP BY ALL)
       SELECT y.file_id, CAST(y.i AS INTEGER) AS dim, round(any_value(mean), 6) AS mean, round(sqrt(greatest(sum(w * (v - mean) * (v - mean)) / (any_value(n) - any_value(q) / any_value(n) + 1e-8), 1e-10)), 5) AS std FROM y JOIN m ON m.file_id = y.file_id AND m.i = y.i GROUP BY y.file_id, y.i""",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +15,7 @@ from turnlake.config import FRAMES_PER_WINDOW, LOCAL_SPEAKERS, MAX_OVERLAP, SAMP
 from turnlake.operators import binarize, frames, kernels, layout, masks, powerset, smoothing, turns
 from turnlake.plans import backend as seam
 from turnlake.session import materialized
+from turnlake.sources import wav_ranges
 from turnlake.sources.annotations import exact_rttm_lines
 from turnlake.streaming import queue
 
@@ -97,24 +98,28 @@ class Pipeline:
     def __init__(self, backend: Callable[[], seam.ModelBackend], plda: kernels.Plda, config: PipelineConfig | None = None, window: int = int(WINDOW_SECONDS * SAMPLE_RATE), frames_per_window: int = FRAMES_PER_WINDOW):
         self.backend, self.plda, self.config, self.window, self.frames = backend, plda, config or PipelineConfig(), window, frames_per_window
 
-    def windows(self, audio: DataFrame) -> DataFrame:
-        step = int(self.config.step * SAMPLE_RATE)
-        rows = layout.windows(audio.withColumn("_n", F.size("samples")), self.window, step, "_n")
-        return rows.withColumn("samples", layout.padded_slice("samples", F.col("chunk_idx"), self.window, step)).drop("_n")
+    def runs(self, audio: DataFrame) -> DataFrame:
+        """Runs of windows of recordings (file_id, samples)."""
+        return layout.runs(audio, self.window, int(self.config.step * SAMPLE_RATE), wav_ranges.RUN)
 
-    def infer(self, audio: DataFrame) -> Artifacts:
-        windows = self.windows(audio)
-        seg = powerset.decode(seam.segment(windows, self.backend), LOCAL_SPEAKERS, MAX_OVERLAP).select("file_id", "chunk_idx", "frame_idx", "speaker_idx", "active")
+    def infer(self, runs: DataFrame) -> Artifacts:
+        """Models over runs of windows (file_id, run_idx, chunk_idx, chunks, samples), each of them once."""
+        step = int(self.config.step * SAMPLE_RATE)
+        seg = powerset.decode(seam.segment(runs, self.backend, self.window, step), LOCAL_SPEAKERS, MAX_OVERLAP).select("file_id", "chunk_idx", "frame_idx", "speaker_idx", "active")
         seg = materialized(seg, "segmentations")
         clean = masks.clean_masks(seg)
         use = masks.speaker_weights(seg, self.window).select(*masks.KEY, "use_clean")
         chosen = clean.join(use, masks.KEY, "left").withColumn("_m", F.when(F.col("use_clean"), F.col("clean")).otherwise(F.col("active")))
         mask = chosen.groupBy(*masks.KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "_m"))), lambda x: x["_m"]).alias("mask"))
-        return Artifacts(seg, materialized(seam.embed(windows, mask, self.backend), "embeddings"))
+        return Artifacts(seg, materialized(seam.embed(runs, mask, self.backend, self.window, step, wav_ranges.RUN), "embeddings"))
 
-    def run(self, audio: DataFrame) -> Result:
-        return post_inference(self.infer(audio), self.plda, self.config)
+    def run_files(self, spark: SparkSession, path: str, **options) -> Result:
+        """All PCM files below ``path``, read by byte ranges; files that can't be read, and those shorter than a window, have no turns."""
+        runs = wav_ranges.read_runs(spark, path, self.window, int(self.config.step * SAMPLE_RATE), **options)
+        return post_inference(self.infer(runs.where("error is null")), self.plda, self.config)
 
+    def run(self, audio: DataFrame) -> Result:
+        return post_inference(self.infer(self.runs(audio)), self.plda, self.config)
     #: many recordings are just more rows
     run_batch = run
 

@@ -14,7 +14,8 @@ from turnlake.config import INACTIVE, SAMPLE_RATE, STEPS, WINDOW_SECONDS, Binari
 from turnlake.functions import vectors
 from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, powerset, selection, smoothing, turns
 from turnlake.plans import backend, oracles, pipeline, relations
-from turnlake.sources import annotations, audio
+from turnlake.session import shared_folder
+from turnlake.sources import annotations, audio, file_sink, wav_ranges
 from turnlake.streaming import queue
 
 STEP = 1.0
@@ -511,17 +512,70 @@ def _wavs(spark, sf_dir):
     return relations.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), write("embedding").alias("content"))
 
 
+def _wav_folder(spark, sf_dir):
+    """The same as files in the shared folder."""
+    path = shared_folder(spark, "recordings")
+    file_sink.write_files(_wavs(spark, sf_dir), path, F.concat(F.col("file_id").cast("string"), F.lit(".wav")), F.col("content"))
+    return path
+
+
+#: Ranges of odd size, so that recordings are cut anywhere.
+RANGE_BYTES = 65_537
+
+
+def _whole(samples="samples"):
+    return F.transform(samples, lambda x: F.round(x * 32768).cast("long"))
+
+
+def _total(whole):
+    return F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 @query
 def wav_scan(spark, sf_dir):
-    rows = audio.decode(_wavs(spark, sf_dir))
-    whole = F.transform("samples", lambda x: F.round(x * 32768).cast("long"))
-    total, peak = F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x), F.array_max(F.transform(whole, lambda x: F.abs(x)))
-    return rows.select("file_id", F.size("samples").alias("samples"), "sample_rate", "duration", total.alias("total"), peak.alias("peak"))
+    """Recordings read in pieces by byte ranges."""
+    rows = wav_ranges.read_runs(spark, _wav_folder(spark, sf_dir), 100, run=1, pieces=True, rangeBytes=RANGE_BYTES)
+    peak = F.array_max(F.transform(_whole(), lambda x: F.abs(x)))
+    sums = rows.groupBy("file_id").agg(F.sum(F.size("samples")).cast("int").alias("samples"), F.first("sample_rate").alias("sample_rate"), F.sum(_total(_whole())).alias("total"), F.max(peak).alias("peak"))
+    return sums.select(F.col("file_id").cast("long").alias("file_id"), "samples", "sample_rate", F.try_divide("samples", "sample_rate").alias("duration"), "total", "peak")
+
+
+@query
+def wav_windows(spark, sf_dir):
+    """Windows of recordings by byte ranges, five to a row, the tail padded."""
+    rows = wav_ranges.read_runs(spark, _wav_folder(spark, sf_dir), 300, 70, run=5, rangeBytes=RANGE_BYTES).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.slice("samples", F.col("_k") * 70 + 1, F.lit(300))
+    rows = rows.select(F.col("file_id").cast("long").alias("file_id"), (F.col("chunk_idx") + F.col("_k")).alias("chunk_idx"), (F.col("start_sample") + F.col("_k") * 70).alias("start_sample"), _whole(part).alias("_w"))
+    return rows.select("file_id", "chunk_idx", "start_sample", F.size("_w").alias("samples"), (F.size("_w") < 300).alias("is_padded"), _total("_w").alias("total"))
 
 
 @query
 def filter_banks(spark, sf_dir):
-    return audio.features(audio.decode(_wavs(spark, sf_dir)).select("file_id", "samples")).select("file_id", F.size("fbank").alias("frames"), F.size(F.get("fbank", 0)).alias("bins"))
+    """Frames, bins and the sum of the log energies of recordings."""
+
+    @F.pandas_udf("frames int, bins int, energy double")
+    def sizes(rows: pd.Series) -> pd.DataFrame:
+        logs = [audio.log_mel(np.asarray(x)) for x in rows]
+        return pd.DataFrame({"frames": [len(x) for x in logs], "bins": [x.shape[1] for x in logs], "energy": [float(x.sum()) for x in logs]})
+
+    rows = audio.decode(_wavs(spark, sf_dir)).select("file_id", sizes("samples").alias("_f"))
+    return rows.select("file_id", "_f.frames", "_f.bins", F.round("_f.energy", 3).alias("energy"))
+
+
+@query
+def annotation_files(spark, sf_dir):
+    """A file of turns per recording, written with one commit and read back line by line."""
+    path = shared_folder(spark, "annotations")
+    turns_ = relations.segments(spark, sf_dir).select(F.format_string("rec%d", F.col("file_id")).alias("file_id"), (F.col("s_ms") / 1000).alias("start"), (F.col("e_ms") / 1000).alias("end"), "speaker")
+    file_sink.write_annotations(turns_, path)
+    files = spark.read.format("text").option("wholetext", "true").load(path).select(F.regexp_extract(F.input_file_name(), r"rec(\d+)\.rttm$", 1).cast("long").alias("file_id"), "value")
+    lines = files.select("file_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("line_idx", "value"))
+    fields = F.split("value", " ")
+    return lines.select("file_id", "line_idx", _ms_of(fields[3]).alias("s_ms"), _ms_of(fields[4]).alias("length_ms"), fields[7].alias("speaker"))
+
+
+def _ms_of(c):
+    return F.round(c.cast("double") * 1000).cast("long")
 
 
 @query
@@ -539,9 +593,9 @@ def statistics_pooling(spark, sf_dir):
 @query
 def model_pipeline(spark, sf_dir):
     """Windows, stub models, clustering and turns of short recordings, end to end."""
-    rows = audio.decode(_wavs(spark, sf_dir)).select("file_id", "samples")
     config = PipelineConfig(step=256 / 16_000, ahc_threshold=1.0)
-    return pipeline.Pipeline(backend.StubBackend, kernels.Plda.synthetic(16, 8), config, window=512, frames_per_window=20).run(rows).segments
+    model = pipeline.Pipeline(backend.StubBackend, kernels.Plda.synthetic(16, 8), config, window=512, frames_per_window=20)
+    return model.run_files(spark, _wav_folder(spark, sf_dir), rangeBytes=RANGE_BYTES).segments
 
 
 @query

@@ -43,14 +43,14 @@ def rttm_line(file_id: Column, start: Column, end: Column, speaker: Column) -> C
     return F.format_string("SPEAKER %s 1 %.6f %.6f <NA> <NA> %s <NA> <NA>", file_id, start, end - start, speaker)
 
 
-def exact_rttm_lines(turns: DataFrame, digits: int = 6) -> DataFrame:
-    """RTTM lines in column value, numbers rounded from their exact binary values."""
+def exact_rttm_lines(turns: DataFrame, digits: int = 6, keep: list[str] | None = None) -> DataFrame:
+    """RTTM lines in column value, numbers rounded from their exact binary values; beside the columns ``keep``."""
 
     @F.pandas_udf("string")
     def text(file_id: pd.Series, start: pd.Series, end: pd.Series, speaker: pd.Series) -> pd.Series:
         return pd.Series([f"SPEAKER {f} 1 {s:.{digits}f} {e - s:.{digits}f} <NA> <NA> {who} <NA> <NA>" for f, s, e, who in zip(file_id, start, end, speaker)], dtype="object")
 
-    return turns.select(text(F.col("file_id").cast("string"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("speaker").cast("string")).alias("value"))
+    return turns.select(*(keep or []), text(F.col("file_id").cast("string"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("speaker").cast("string")).alias("value"))
 
 
 def write_rttm(turns: DataFrame, path: str) -> None:

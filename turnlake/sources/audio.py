@@ -11,30 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.config import SAMPLE_RATE
+from turnlake.sources.wav_ranges import AudioError, find_pcm, to_float
 
 
-class AudioError(ValueError):
-    pass
-
-
-def decode_wav(raw: bytes) -> tuple[np.ndarray, int]:
-    """Samples in [-1, 1) and rate of a 16-bit mono PCM file; chunks of odd size are padded by a byte."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise AudioError("not a RIFF/WAVE file")
-    at, form = 12, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        body = raw[at + 8 : at + 8 + size]
-        if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", body)
-            if form[0] != 1 or form[1] != 1 or form[5] != 16:
-                raise AudioError("only 16-bit mono PCM is read")
-        elif name == b"data":
-            if form is None:
-                raise AudioError("data before fmt")
-            return np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype("float32") / np.float32(32768), form[2]
-        at += 8 + size + size % 2
-    raise AudioError("no data")
+def decode_wav(raw: bytes, rate: int | None = None) -> tuple[np.ndarray, int]:
+    """Samples in [-1, 1) and rate of a 16-bit mono PCM file; chunks of odd size are padded by a byte.  With ``rate``, others are refused."""
+    pcm = find_pcm(lambda at, n: raw[at : at + n], len(raw), rate)
+    return to_float(raw[pcm.at : pcm.at + 2 * pcm.n_samples]), pcm.rate
 
 
 def encode_wav(samples: np.ndarray, rate: int = SAMPLE_RATE) -> bytes:
@@ -85,8 +68,11 @@ def mel_bank(bins: int = 80, fft: int = 512, rate: int = SAMPLE_RATE, low: float
     return np.maximum(0, np.minimum(up, down))
 
 
-def filter_bank(samples: np.ndarray) -> np.ndarray:
-    """Log mel energies (frames, 80), mean over time removed: 25 ms frames every 10 ms, pre-emphasis .97, Hamming window."""
+FBANK_HOP, FBANK_FRAME = 160, 400
+
+
+def log_mel(samples: np.ndarray) -> np.ndarray:
+    """Log mel energies (frames, 80): 25 ms frames every 10 ms, pre-emphasis .97, Hamming window.  A frame depends on its own samples only."""
     x = np.asarray(samples, "float64") * (1 << 15)
     if len(x) < 400:
         return np.zeros((0, 80), "float32")
@@ -94,8 +80,28 @@ def filter_bank(samples: np.ndarray) -> np.ndarray:
     frames = frames - frames.mean(axis=1, keepdims=True)
     frames = frames - 0.97 * np.concatenate([frames[:, :1], frames[:, :-1]], axis=1)
     power = np.abs(np.fft.rfft(frames * np.hamming(400), 512)) ** 2
-    logs = np.log(np.maximum(np.finfo("float32").eps, power @ mel_bank().T))
-    return (logs - logs.mean(axis=0)).astype("float32")
+    return np.log(np.maximum(np.finfo("float32").eps, power @ mel_bank().T))
+
+
+def filter_bank(samples: np.ndarray) -> np.ndarray:
+    """Log mel energies (frames, 80), mean over time removed."""
+    logs = log_mel(samples)
+    return (logs - logs.mean(axis=0)).astype("float32") if len(logs) else logs
+
+
+def run_filter_banks(samples: np.ndarray, windows: int, window: int, step: int) -> np.ndarray:
+    """The filter banks (windows, frames, 80) of neighbouring windows of ``samples``, padded with zeros behind the end.
+
+    Energies are computed once for all windows if ``step`` is whole hops; each window
+    takes its frames of them and removes its own mean.
+    """
+    x = np.zeros((windows - 1) * step + window, "float32")
+    x[: len(samples)] = samples[: len(x)]
+    if step % FBANK_HOP:
+        return np.stack([filter_bank(x[i * step : i * step + window]) for i in range(windows)])
+    logs, frames = log_mel(x), max(0, (window - FBANK_FRAME) // FBANK_HOP + 1)
+    parts = np.stack([logs[i * step // FBANK_HOP :][:frames] for i in range(windows)])
+    return (parts - parts.mean(axis=1, keepdims=True)).astype("float32") if frames else parts
 
 
 def pool_statistics(features: np.ndarray, mask: np.ndarray) -> np.ndarray:
