@@ -342,7 +342,7 @@ def test_hungarian_matches_all_orders():
 def test_dominant_speaker(spark):
     rows = spark.createDataFrame([(0, 0, 0, 1000), (0, 1, 5000, 6000), (0, 2, 0, 200_000)], "file_id int, row_idx int, s_ms long, e_ms long")
     segs = spark.createDataFrame([(0, 0, "A", 0, 500), (0, 1, "B", 500, 1000), (0, 2, "C", 90_000, 190_000)], "file_id int, seg_idx int, speaker string, s_ms long, e_ms long")
-    got = {r.row_idx: r.speaker for r in intervals.dominant_speaker(rows, segs, 60_000).collect()}
+    got = {r.row_idx: r.speaker for r in intervals.dominant_speaker(rows, segs).collect()}
     assert got == {0: "A", 1: "UNKNOWN", 2: "C"}
 
 

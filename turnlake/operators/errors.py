@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.operators import intervals
-
-#: Time bucket of the range joins, in milliseconds.
-BUCKET_MS = 60_000
+from turnlake.session import materialized
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -44,21 +42,21 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, r) for r, j in pairs) if turned else sorted(pairs)
 
 
-def cells(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
+def cells(segments: DataFrame) -> DataFrame:
     """Elementary intervals in which anyone is active: file_id, dt, refs and hyps (the speakers of each side).
 
     One range join and one aggregate, from which all figures of a file follow.  A
     speaker that overlaps itself counts once.
     """
-    merged = intervals.union(segments, ["file_id", "side", "speaker"])
-    on = intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"], width)
+    merged = materialized(intervals.union(segments, ["file_id", "side", "speaker"]), "turns")
+    on = intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"])
     side = lambda name: F.collect_list(F.when(F.col("side") == name, F.col("speaker")))
     return on.groupBy("file_id", "lo", "hi").agg(side("ref").alias("refs"), side("hyp").alias("hyps")).withColumn("dt", F.col("hi") - F.col("lo"))
 
 
-def cooccurrence(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
+def cooccurrence(segments: DataFrame) -> DataFrame:
     """Per file and pair of a reference and a hypothesis speaker: how long both are active."""
-    return _pairs(cells(segments, width))
+    return _pairs(cells(segments))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -90,13 +88,13 @@ def mapping(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("file_id").applyInPandas(solve, f"file_id {kind}, ref_speaker string, hyp_speaker string")
 
 
-def components(segments: DataFrame, width: float = BUCKET_MS) -> DataFrame:
+def components(segments: DataFrame) -> DataFrame:
     """Per file: missed, false_alarm, confusion, total of (file_id, side, speaker, s_ms, e_ms) rows.
 
     A file without reference has its hypothesis durations as false alarm, overlaps of a
     speaker with itself counted twice, and a total of 0.
     """
-    rows = cells(segments, width)
+    rows = cells(segments)
     r, h = F.size("refs"), F.size("hyps")
     total = lambda x: F.sum(x * F.col("dt"))
     sums = rows.groupBy("file_id").agg(
@@ -115,14 +113,14 @@ def rate() -> F.Column:
     return F.when(F.col("total") > 0, (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")).otherwise(0.0)
 
 
-def corpus(files: DataFrame, segments: DataFrame, by: list[str], width: float = BUCKET_MS) -> DataFrame:
+def corpus(files: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
     """Pooled components and rate over ``files`` (file_id and the columns ``by``).
 
     A file without any hypothesis row is missed as a whole, as the plain sum of its
     reference durations.
     """
     raw = segments.groupBy("file_id").agg(F.count_if(F.col("side") == "hyp").alias("_hyps"), F.sum(F.when(F.col("side") == "ref", F.col("e_ms") - F.col("s_ms"))).alias("_ref"))
-    rows = files.join(components(segments, width), "file_id", "left").join(raw, "file_id", "left").na.fill(0)
+    rows = files.join(components(segments), "file_id", "left").join(raw, "file_id", "left").na.fill(0)
     none = F.col("_hyps") == 0
     rows = rows.withColumns({"missed": F.when(none, F.col("_ref")).otherwise(F.col("missed")), "total": F.when(none, F.col("_ref")).otherwise(F.col("total"))})
     sums = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("missed", "false_alarm", "confusion", "total")])

@@ -1,7 +1,7 @@
 """Interval algebra on turns: unions, elementary intervals, who is active, coverage, transcripts.
 
-Range joins carry an equality on the group and on a time bucket, so they hash and
-never become nested loops; an interval is repeated once per bucket it meets.
+Range joins carry an equality on the group and on a cell of time, so they hash and
+never become nested loops.  Scans cut long groups into slices of time.
 """
 
 from __future__ import annotations
@@ -10,42 +10,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnlake.operators import slices
+from turnlake.session import materialized
+
 
 def union(rows: DataFrame, by: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Union of the intervals of each group; intervals that touch are merged."""
-    order = W.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
-    return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    furthest = rows.groupBy(*by, start).agg(F.max(end).alias(end))
+    length = slices.width(furthest, by, start)
+    if length is None:
+        order = W.partitionBy(*by).orderBy(start)
+        reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+        marked = furthest.withColumn("_new", F.when(F.col(start) <= reach, None).otherwise(F.col(start)))
+        marked = marked.withColumn("_island", F.last("_new", ignorenulls=True).over(order))
+    else:
+        order = W.partitionBy(*by, slices.SLICE).orderBy(start)
+        parts = slices.carried(slices.sliced(furthest, start, length), by, {"_end": F.max(end)}, {"_reach": ("_end", "max")})
+        reach = F.greatest("_reach", F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1)))  # ignores nulls
+        parts = parts.withColumn("_new", F.when(F.col(start) <= reach, None).otherwise(F.col(start))).drop("_reach")
+        parts = slices.carried(parts, by, {"_last": F.max("_new")}, {"_open": ("_last", "last")})
+        marked = parts.withColumn("_island", F.coalesce(F.last("_new", ignorenulls=True).over(order), "_open"))
+    return marked.groupBy(*by, "_island").agg(F.max(end).alias(end)).select(*by, F.col("_island").alias(start), end)
 
 
 def elementary(rows: DataFrame, by: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Intervals lo, hi between neighbouring distinct boundaries of each group."""
     points = rows.select(*by, F.explode(F.array(start, end)).alias("lo")).distinct()
-    return points.withColumn("hi", F.lead("lo").over(W.partitionBy(*by).orderBy("lo"))).where("hi is not null")
-
-
-def _buckets(low, high, width):
-    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    length = slices.width(points, by, "lo")
+    if length is None:
+        return points.withColumn("hi", F.lead("lo").over(W.partitionBy(*by).orderBy("lo"))).where("hi is not null")
+    parts = slices.carried(slices.sliced(points, "lo", length), by, {"_first": F.min("lo")}, {"_next": ("_first", "behind")})
+    hi = F.coalesce(F.lead("lo").over(W.partitionBy(*by, slices.SLICE).orderBy("lo")), "_next")
+    return parts.withColumn("hi", hi).where("hi is not null").select(*by, "lo", "hi")
 
 
-def active(intervals: DataFrame, rows: DataFrame, by: list[str], width: float, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
+def active(intervals: DataFrame, rows: DataFrame, by: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Pairs of an elementary interval and a row of ``rows`` that is active all through it."""
-    points = intervals.withColumn("_b", F.floor(F.col("lo") / width))
-    spread = rows.where(F.col(end) > F.col(start)).withColumn("_b", _buckets(F.col(start), F.col(end), width))
-    return points.join(spread, [*by, "_b"]).where((F.col(start) <= F.col("lo")) & (F.col("lo") < F.col(end))).drop("_b")
+    return slices.stab(intervals, rows, by, "lo", start, end)
 
 
-def coverage(rows: DataFrame, others: DataFrame, by: list[str], width: float, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
+def coverage(rows: DataFrame, others: DataFrame, by: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Per group: total length of the union of ``rows`` and how much of it the union of ``others`` covers, also in percent.
 
     The percentage is null where either side has nothing or the total is 0.
     """
-    a, b = union(rows, by, start, end), union(others, by, start, end)
-    left = a.withColumn("_b", _buckets(F.col(start), F.col(end), width))
-    right = b.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    # a pair of intervals meets in several buckets and counts in the first of them
-    pairs = left.join(right, [*by, "_b"]).where((F.col(start) < F.col("_e")) & (F.col("_s") < F.col(end)) & (F.col("_b") == F.floor(F.greatest(start, "_s") / width)))
+    # narrow rows that are read several times
+    a, b = materialized(union(rows, by, start, end), "union"), materialized(union(others, by, start, end), "union")
+    pairs = slices.overlaps(a, b.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e")), by, start, end, "_s", "_e")
     shared = pairs.groupBy(*by).agg(F.sum(F.least(end, "_e") - F.greatest(start, "_s")).alias("covered"))
     total = a.groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("total"))
     there = b.select(*by).distinct().withColumn("_there", F.lit(True))
@@ -68,14 +79,13 @@ def first_seen(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return first.withColumn("idx", (F.row_number().over(W.partitionBy(*by).orderBy("_first", "speaker")) - 1).cast("int")).drop("_first")
 
 
-def dominant_speaker(transcript: DataFrame, turns: DataFrame, width: float, start: str = "s_ms", end: str = "e_ms", unknown: str = "UNKNOWN") -> DataFrame:
+def dominant_speaker(transcript: DataFrame, turns: DataFrame, start: str = "s_ms", end: str = "e_ms", unknown: str = "UNKNOWN") -> DataFrame:
     """Adds speaker to transcript rows (file_id, row_idx, start, end): that of the one turn with the largest overlap.
 
     Overlaps aren't added up over turns; of equal ones the first turn (``seg_idx``)
     wins; without an overlap the speaker is ``unknown``.
     """
-    left = transcript.select("file_id", "row_idx", start, end).where(F.col(end) > F.col(start)).withColumn("_b", _buckets(F.col(start), F.col(end), width))
-    right = turns.select("file_id", "seg_idx", "speaker", F.col(start).alias("_s"), F.col(end).alias("_e")).where("_e > _s").withColumn("_b", _buckets(F.col("_s"), F.col("_e"), width))
-    pairs = left.join(right, ["file_id", "_b"]).withColumn("_over", F.least(end, "_e") - F.greatest(start, "_s")).where("_over > 0")
+    right = turns.select("file_id", "seg_idx", "speaker", F.col(start).alias("_s"), F.col(end).alias("_e"))
+    pairs = slices.overlaps(transcript.select("file_id", "row_idx", start, end), right, ["file_id"], start, end, "_s", "_e").withColumn("_over", F.least(end, "_e") - F.greatest(start, "_s"))
     best = pairs.groupBy("file_id", "row_idx").agg(F.max_by("speaker", F.struct("_over", -F.col("seg_idx"))).alias("speaker"))
     return transcript.join(best, ["file_id", "row_idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(unknown)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.config import FRAME_DURATION, FRAME_STEP
+from turnlake.operators import slices
 from turnlake.operators.layout import frame_time
 
 
@@ -33,9 +34,24 @@ def from_frames(rows: DataFrame, frame_step: float = FRAME_STEP, frame_duration:
 
 def merge(turns: DataFrame, max_gap: float = 0.0) -> DataFrame:
     """Merge each turn into the one before it in the file's order by start if both have one speaker and the gap is below ``max_gap``."""
-    order = W.partitionBy("file_id").orderBy("start", "speaker", "end")
-    new = (F.lag("speaker").over(order) == F.col("speaker")) & (F.col("start") - F.lag("end").over(order) < max_gap)
-    rows = turns.withColumn("_new", F.when(new, 0).otherwise(1)).withColumn("_turn", F.sum("_new").over(order))
+    length = slices.width(turns, ["file_id"], "start")
+    rows = turns if length is None else slices.sliced(turns, "start", length)
+    by = ["file_id"] if length is None else ["file_id", slices.SLICE]
+    order = W.partitionBy(*by).orderBy("start", "speaker", "end")
+    # places are given once, as equal rows have no order of their own
+    rows = rows.withColumns({"_before": F.lag(F.struct("speaker", "end")).over(order), "_place": F.row_number().over(order)})
+    before = F.col("_before")
+    if length is not None:
+        last = F.max_by(F.struct("speaker", "end"), F.struct("start", "speaker", "end"))
+        rows = slices.carried(rows, ["file_id"], {"_row": last}, {"_left": ("_row", "before")})
+        before = F.coalesce(before, F.col("_left"))
+    same = (before["speaker"] == F.col("speaker")) & (F.col("start") - before["end"] < max_gap)
+    rows = rows.withColumn("_new", F.when(same, 0).otherwise(1))
+    nth = F.sum("_new").over(W.partitionBy(*by).orderBy("_place"))
+    if length is not None:
+        rows = slices.carried(rows, ["file_id"], {"_sum": F.sum("_new")}, {"_n": ("_sum", "sum")})
+        nth = nth + F.col("_n")
+    rows = rows.withColumn("_turn", nth)
     return rows.groupBy("file_id", "_turn").agg(F.first("speaker").alias("speaker"), F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end")).drop("_turn")
 
 

@@ -19,7 +19,6 @@ from turnlake.sources import annotations, audio, file_sink, wav_ranges
 from turnlake.streaming import queue
 
 STEP = 1.0
-BUCKET_MS = errors.BUCKET_MS
 ONSET, OFFSET = 0.2, 0.1
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,7 +58,7 @@ def elementary_intervals(spark, sf_dir):
 def active_speakers(spark, sf_dir):
     seg = relations.segments(spark, sf_dir)
     merged = intervals.union(seg, ["file_id", "side", "speaker"])
-    return intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"], BUCKET_MS).groupBy("file_id", "lo", "hi", "side").agg(F.count(F.lit(1)).alias("speakers"))
+    return intervals.active(intervals.elementary(merged, ["file_id"]), merged, ["file_id"]).groupBy("file_id", "lo", "hi", "side").agg(F.count(F.lit(1)).alias("speakers"))
 
 
 @query
@@ -80,7 +79,7 @@ def timeline_union(spark, sf_dir):
 @query
 def timeline_coverage(spark, sf_dir):
     seg = relations.segments(spark, sf_dir)
-    return intervals.coverage(seg.where("side = 'ref'"), seg.where("side = 'hyp'"), ["file_id"], BUCKET_MS)
+    return intervals.coverage(seg.where("side = 'ref'"), seg.where("side = 'hyp'"), ["file_id"])
 
 
 @query
@@ -101,7 +100,7 @@ def speakers_first_seen(spark, sf_dir):
 @query
 def transcript_speakers(spark, sf_dir):
     seg = relations.segments(spark, sf_dir).withColumnRenamed("event_id", "seg_idx")
-    return intervals.dominant_speaker(relations.transcript(spark, sf_dir), seg, BUCKET_MS)
+    return intervals.dominant_speaker(relations.transcript(spark, sf_dir), seg)
 
 
 # ---- frames to turns
