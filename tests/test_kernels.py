@@ -91,3 +91,34 @@ def test_models_and_clustering_run_once(spark, monkeypatch):
     models = sum(p.count("MapInPandas") for n, p in saved if n in ("segmentations", "embeddings"))
     assert models == 2 and sum("MapInPandas" in p for n, p in saved if n in ("segmentations", "embeddings")) == 2
     assert sum(p.count("FlatMapGroupsInPandas") for _, p in saved) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linkage_of_rows_makes_the_same_merges(seed, monkeypatch):
+    monkeypatch.setattr(kernels, "LINKAGE_BLOCK", 7)
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(60, 8))
+    x[40:50] = x[:10]  # equal rows
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want, got = kernels.centroid_linkage(kernels.pairwise_distance(x)), kernels.linkage_of_rows(x)
+    assert [s[:2] for s in got] == [s[:2] for s in want] and np.allclose([s[2] for s in got], [s[2] for s in want], atol=1e-6)
+    for threshold in (0.0, 0.3, 0.8, 1.2):
+        assert kernels.flat_labels(60, got, threshold).tolist() == kernels.flat_labels(60, want, threshold).tolist()
+
+
+def test_linkage_memory_is_linear():
+    import tracemalloc
+
+    peaks = []
+    for n in (500, 2000):
+        x = np.random.default_rng(1).normal(size=(n, 16)).astype("float32")
+        tracemalloc.start()
+        assert len(kernels.linkage_of_rows(x)) == n - 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 2000 * 2000 * 8
+
+
+def test_heights_are_compared_in_single_precision():
+    assert kernels.flat_labels(2, [(0, 1, 0.6000000000001)], 0.6).tolist() == [0, 0]
+    assert kernels.flat_labels(2, [(0, 1, 0.60001)], 0.6).tolist() == [0, 1]

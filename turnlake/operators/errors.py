@@ -94,7 +94,7 @@ def components(segments: DataFrame) -> DataFrame:
     A file without reference has its hypothesis durations as false alarm, overlaps of a
     speaker with itself counted twice, and a total of 0.
     """
-    rows = cells(segments)
+    rows = materialized(cells(segments), "cells")
     r, h = F.size("refs"), F.size("hyps")
     total = lambda x: F.sum(x * F.col("dt"))
     sums = rows.groupBy("file_id").agg(

@@ -54,8 +54,9 @@ def coverage(rows: DataFrame, others: DataFrame, by: list[str], start: str = "s_
 
     The percentage is null where either side has nothing or the total is 0.
     """
-    # narrow rows that are read several times
-    a, b = materialized(union(rows, by, start, end), "union"), materialized(union(others, by, start, end), "union")
+    sides = [side.select(*by, start, end, F.lit(i).alias("_side")) for i, side in enumerate((rows, others))]
+    both = materialized(union(sides[0].unionByName(sides[1]), [*by, "_side"], start, end), "union")  # narrow rows that are read several times
+    a, b = (both.where(F.col("_side") == i).drop("_side") for i in range(2))
     pairs = slices.overlaps(a, b.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e")), by, start, end, "_s", "_e")
     shared = pairs.groupBy(*by).agg(F.sum(F.least(end, "_e") - F.greatest(start, "_s")).alias("covered"))
     total = a.groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("total"))

@@ -64,8 +64,57 @@ def centroid_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
     return steps
 
 
+#: Rows whose distances to all others are computed at once.
+LINKAGE_BLOCK = 256
+#: Squared distances of unit rows below this are rounding, and 0.
+LINKAGE_ZERO = 1e-12
+
+
+def linkage_of_rows(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """The merges of ``centroid_linkage`` from rows themselves, in memory linear in their number.
+
+    A merged cluster is its centroid and its size, so the distances that the rule needs
+    are those of centroids, computed when they are asked for.
+    """
+    c = np.array(x, "float64")
+    n = len(c)
+    ids, sizes, alive, norms = np.arange(n), np.ones(n), np.ones(n, bool), (c * c).sum(axis=1)
+    near, least, steps = np.zeros(n, "int64"), np.full(n, np.inf), []
+
+    def squared(rows: np.ndarray, start: int) -> np.ndarray:
+        d = norms[rows][:, None] - 2 * (c[rows] @ c[start:].T) + norms[start:]
+        d[d < LINKAGE_ZERO] = 0
+        d[:, ~alive[start:]] = np.inf
+        return d
+
+    def look(rows: np.ndarray) -> None:
+        """Nearest rows behind each of the sorted ``rows``."""
+        for lo in range(0, len(rows), LINKAGE_BLOCK):
+            part = rows[lo : lo + LINKAGE_BLOCK]
+            start = int(part[0])
+            d = squared(part, start)
+            d[np.arange(start, n) <= part[:, None]] = np.inf
+            at = d.argmin(axis=1)
+            near[part], least[part] = start + at, d[np.arange(len(part)), at]
+
+    look(np.arange(n))
+    for step in range(n - 1):
+        a = int(least.argmin())
+        b, height, size = int(near[a]), float(least[a]), sizes[a] + sizes[near[a]]
+        steps.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b])), height**0.5))
+        c[a] = (sizes[a] * c[a] + sizes[b] * c[b]) / size
+        ids[a], sizes[a], norms[a], alive[b], least[b] = n + step, size, c[a] @ c[a], False, np.inf
+        before = squared(np.array([a]), 0)[0, :a]
+        closer = (before < least[:a]) | ((before == least[:a]) & np.isfinite(before) & (a < near[:a]))
+        lost = np.flatnonzero(alive[:b] & ((near[:b] == a) | (near[:b] == b)))
+        near[:a][closer], least[:a][closer] = a, before[closer]
+        again = lost[(lost >= a) | ~np.r_[closer, np.zeros(n - a, bool)][lost]]
+        look(np.union1d(again, [a]))
+    return steps
+
+
 def flat_labels(n: int, steps: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
-    """Labels in depth-first order, left child first; a subtree whose own height is within ``threshold`` has one label."""
+    """Labels in depth-first order, left child first; a subtree whose own height is within ``threshold``, in single precision, has one label."""
     labels, label = np.full(n, -1, "int64"), 0
     stack: list[tuple[int, bool]] = [(n + len(steps) - 1, False)] if n else []
     while stack:
@@ -77,7 +126,7 @@ def flat_labels(n: int, steps: list[tuple[int, int, float]], threshold: float) -
             label += not inside
         else:
             left, right, height = steps[node - n]
-            whole = inside or height <= threshold
+            whole = inside or np.float32(height) <= np.float32(threshold)
             if whole and not inside:
                 stack.append((-1, True))
             stack += [(right, whole), (left, whole)]
@@ -89,7 +138,7 @@ def cluster_rows(x: np.ndarray, threshold: float = 0.6) -> np.ndarray:
     if len(x) < 2:
         return np.zeros(len(x), "int64")
     unit = np_normalize_rows(np.asarray(x, "float32"))
-    return flat_labels(len(x), centroid_linkage(pairwise_distance(unit)), threshold)
+    return flat_labels(len(x), linkage_of_rows(unit), threshold)
 
 
 class PldaError(ValueError):

@@ -77,7 +77,7 @@ def dyadic_cells(start: Column, end: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
 
 
-def stab(points: DataFrame, intervals: DataFrame, by: list[str], point: str, start: str, end: str) -> DataFrame:
+def stab(points: DataFrame, intervals: DataFrame, by: list[str], point: str, start: str, end: str, cells_of: tuple[float, int] | None = None) -> DataFrame:
     """Pairs of a row of ``points`` and a row of ``intervals`` of its group with start <= point < end.
 
     An interval is in a few cells of lengths that double from that of a mean interval; a
@@ -85,7 +85,7 @@ def stab(points: DataFrame, intervals: DataFrame, by: list[str], point: str, sta
     an interval of any length is a number of rows in the logarithm of it.  Other columns
     of the two must have different names.
     """
-    base, levels = spread(intervals, start, end)
+    base, levels = cells_of or spread(intervals, start, end)
     unit = F.lit(base)
     cells = dyadic_cells(F.floor(F.col(start) / unit), F.ceil(F.col(end) / unit), levels)
     held = intervals.where(F.col(end) > F.col(start)).withColumn("_c", F.explode(cells))
@@ -97,6 +97,7 @@ def stab(points: DataFrame, intervals: DataFrame, by: list[str], point: str, sta
 def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, other_start: str, other_end: str) -> DataFrame:
     """Pairs of intervals of a group that share more than a point, each once: one of the two starts inside the other."""
     a, b = left.where(F.col(end) > F.col(start)), right.where(F.col(other_end) > F.col(other_start))
-    first = stab(a, b, by, start, other_start, other_end)
-    second = stab(b, a, by, other_start, start, end).where(F.col(other_start) > F.col(start))
+    both = spread(a.select(F.col(start).alias("s"), F.col(end).alias("e")).unionAll(b.select(other_start, other_end)), "s", "e")
+    first = stab(a, b, by, start, other_start, other_end, both)
+    second = stab(b, a, by, other_start, start, end, both).where(F.col(other_start) > F.col(start))
     return first.unionByName(second)

@@ -83,6 +83,8 @@ def smoothed_top_k(activations: DataFrame, counts: DataFrame, epsilon: float = 0
             yield batch[["file_id", "out_frame", "scores"]].assign(active=chosen)
 
     kind = activations.schema["file_id"].dataType.simpleString()
-    units = with_units(frames, slice_frames).repartition("file_id", "unit").sortWithinPartitions("file_id", "unit", "out_frame")
+    longest = frames.agg(F.max("out_frame")).first()[0] or 0
+    units = with_units(frames, slice_frames) if longest >= slice_frames else frames.withColumn("unit", F.lit(-1))
+    units = units.repartition("file_id", "unit").sortWithinPartitions("file_id", "unit", "out_frame")
     done = units.mapInPandas(scan, f"file_id {kind}, out_frame int, scores array<double>, active array<int>")
     return done.select("file_id", "out_frame", F.posexplode(F.arrays_zip("scores", "active")).alias("cluster", "_x")).select("file_id", "out_frame", "cluster", F.col("_x.scores").alias("score"), F.col("_x.active").alias("active"))

@@ -194,6 +194,22 @@ SQL = {
       w AS (SELECT *, unnest(range(0, (n - 300) // 70 + 1 + CASE WHEN n > 300 AND ((n - 300) // 70 + 1) * 70 < n THEN 1 ELSE 0 END)) AS c FROM x WHERE n >= 300)
       SELECT vec_id AS file_id, CAST(c AS INTEGER) AS chunk_idx, CAST(c * 70 AS BIGINT) AS start_sample, CAST(least(300, n - c * 70) AS INTEGER) AS samples, c * 70 + 300 > n AS is_padded,
         CAST(list_sum(list_transform(range(c * 70, least(n, c * 70 + 300)), lambda i: s[i % len(s) + 1])) AS BIGINT) AS total FROM w""",
+    # each step merges the two nearest centroids of a recording; groups of leaves are kept in the order of the tree
+    "ahc_labels": f"""WITH RECURSIVE {EMB}, unit AS (
+      SELECT file_id, vec_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY vec_id) - 1 AS BIGINT) AS slot,
+        list_transform(embedding, lambda e: e::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM emb),
+    state(file_id, step, n, cl) AS (
+      SELECT file_id, CAST(0 AS BIGINT), count(*), list({{'id': slot, 'size': 1e0, 'c': v, 'g': [[slot]]}} ORDER BY slot) FROM unit GROUP BY file_id
+      UNION ALL
+      SELECT file_id, step + 1, n, list_concat(list_concat(list_concat(cl[1:i - 1], [{{'id': n + step, 'size': cl[i].size + cl[j].size,
+        'c': list_transform(range(1, len(cl[i].c) + 1), lambda k: (cl[i].size * cl[i].c[k] + cl[j].size * cl[j].c[k]) / (cl[i].size + cl[j].size)),
+        'g': CASE WHEN d <= 1 THEN [list_concat(flatten(cl[p].g), flatten(cl[q].g))] ELSE list_concat(cl[p].g, cl[q].g) END}}]), cl[i + 1:j - 1]), cl[j + 1:len(cl)])
+      FROM (SELECT *, best.d AS d, best.i AS i, best.j AS j, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.i ELSE best.j END AS p, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.j ELSE best.i END AS q
+        FROM (SELECT *, list_min(list_transform(range(1, len(cl)), lambda i: list_min(list_transform(range(i + 1, len(cl) + 1), lambda j: {{'d': list_distance(cl[i].c, cl[j].c), 'i': i, 'j': j}})))) AS best
+          FROM state WHERE len(cl) > 1))),
+    groups AS (SELECT file_id, unnest(range(1, len(cl[1].g) + 1)) AS k, cl[1].g AS g FROM state WHERE len(cl) = 1),
+    leaves AS (SELECT file_id, CAST(k - 1 AS INTEGER) AS cluster, unnest(g[k]) AS slot FROM groups)
+    SELECT file_id, vec_id, cluster FROM leaves JOIN unit USING (file_id, slot)""",
     # the discrete Fourier transform as inner products with 257 cosines and sines
     "filter_banks": """WITH x AS (SELECT vec_id, 16 * len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))::DOUBLE) AS s FROM embeddings),
       fr AS (SELECT vec_id, s, unnest(range(0, (n - 400) // 160 + 1)) AS f FROM x),

@@ -88,7 +88,7 @@ def post_inference(artifacts: Artifacts, plda: kernels.Plda, config: PipelineCon
     scores = discrete.select("file_id", F.col("cluster").alias("speaker"), F.col("out_frame").alias("frame"), F.col("active").cast("double").alias("score"))
     if c.binarize.min_on > 0 or c.binarize.min_off > 0:
         scores = binarize.binarize(scores, c.binarize).withColumn("score", F.col("on").cast("double")).drop("on")
-    segments = turns.merge(turns.from_frames(scores), c.merge_gap).withColumn("speaker", turns.label(F.col("speaker")))
+    segments = turns.merge(materialized(turns.from_frames(scores), "turns"), c.merge_gap).withColumn("speaker", turns.label(F.col("speaker")))
     return Result(artifacts, counts, clusters, activations, discrete, segments)
 
 
