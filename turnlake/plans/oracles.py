@@ -228,6 +228,9 @@ SQL = {
       y AS (SELECT file_id, i, w, embedding[i + 1]::DOUBLE AS v FROM x), m AS (SELECT file_id, i, sum(w) AS n, sum(w * w) AS q, sum(w * v) / sum(w) AS mean FROM y GROUP BY ALL)
       SELECT y.file_id, CAST(y.i AS INTEGER) AS dim, round(any_value(mean), 6) AS mean, round(sqrt(greatest(sum(w * (v - mean) * (v - mean)) / (any_value(n) - any_value(q) / any_value(n) + 1e-8), 1e-10)), 5) AS std FROM y JOIN m ON m.file_id = y.file_id AND m.i = y.i GROUP BY y.file_id, y.i""",
     "bench_summary": "SELECT event_type, round(avg(value), 6) AS mean_s, min(value) AS min_s, count(*) AS runs, round(count(*) * 600e0 / sum(value), 6) AS rtfx FROM events GROUP BY event_type",
+    "queue_jobs": """WITH e AS (SELECT user_id % 50 AS file_id, least(user_id % 50 % 3, event_id % 3) AS run FROM events),
+      f AS (SELECT file_id, count(*) AS n, max(run) AS last FROM e GROUP BY file_id)
+      SELECT file_id, CAST(n AS INTEGER) AS parts, 'complete' AS state, CAST(last AS INTEGER) AS batch, CAST(row_number() OVER (ORDER BY last, file_id) AS INTEGER) AS nth FROM f""",
     "queue_microbatch": f"WITH {SEG} SELECT file_id, speaker, count(*) AS jobs, CAST(sum(e_ms - s_ms) AS BIGINT) AS speech FROM seg GROUP BY ALL",
     "queue_fallback": f"WITH {SEG} SELECT file_id, CASE WHEN file_id % 7 = 3 THEN NULL ELSE CAST(sum(e_ms - s_ms) AS BIGINT) END AS speech, CASE WHEN file_id % 7 = 3 THEN 'ValueError: bad recording' END AS error FROM seg GROUP BY file_id",
     "window_steps": """WITH m(mode, step, hop) AS (VALUES ('cpu', 1e0, 16000), ('coreml', 0.96e0, 15360), ('coreml-fast', 2e0, 32000), ('cuda', 1e0, 16000), ('cuda-fast', 2e0, 32000)),

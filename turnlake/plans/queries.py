@@ -14,9 +14,9 @@ from turnlake.config import INACTIVE, SAMPLE_RATE, STEPS, WINDOW_SECONDS, Binari
 from turnlake.functions import vectors
 from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, powerset, selection, smoothing, turns
 from turnlake.plans import backend, oracles, pipeline, relations
-from turnlake.session import shared_folder
+from turnlake.session import materialized, shared_folder
 from turnlake.sources import annotations, audio, file_sink, wav_ranges
-from turnlake.streaming import queue
+from turnlake.streaming import jobs, queue
 
 STEP = 1.0
 ONSET, OFFSET = 0.2, 0.1
@@ -612,6 +612,23 @@ def queue_microbatch(spark, sf_dir):
     return queue.drain(spark, stream, lambda df: relations.segments_of(df)).groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.col("e_ms") - F.col("s_ms")).alias("speech"))
 
 
+@query
+def queue_jobs(spark, sf_dir):
+    """Windows of recordings in three runs of a stream: a recording is a job in the run that brings its last window."""
+    events = relations.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % relations.FILES).alias("file_id"))
+    by = W.partitionBy("file_id")
+    parts = events.select("file_id", (F.row_number().over(by.orderBy("event_id")) - 1).alias("part"), F.count(F.lit(1)).over(by).alias("total"), F.least(F.col("file_id") % 3, F.col("event_id") % 3).alias("run"))
+    path, out, checkpoint = (shared_folder(spark, name) for name in ("parts", "jobs", "stream"))
+    parts = materialized(parts, "all-parts")
+    for nth in range(3):
+        parts.where(F.col("run") == nth).drop("run").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("file_id long, part int, total long").parquet(path)
+        jobs.wait(jobs.run(stream, lambda done: done, out, checkpoint))
+    done = spark.read.parquet(out).drop("_of")
+    # a row a recording
+    return done.select("file_id", "parts", "state", F.col("batch").cast("int").alias("batch"), F.row_number().over(W.orderBy("job_id")).alias("nth"))
+
+
 @query
 def queue_fallback(spark, sf_dir):
     """Jobs run one by one; those that fail keep their error."""
