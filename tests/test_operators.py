@@ -112,6 +112,7 @@ def test_rttm(spark):
     got = annotations.parse_rttm(lines).collect()
     assert [(r.file_id, r.start, r.end, r.speaker) for r in got] == [("a", 1.5, 4.5, "S0")]
     assert sorted(r.file_id for r in annotations.parse_rttm(lines, least=5).collect()) == ["a", "c"]
+    assert annotations.parse_rttm(lines, duration=True).first().duration == 3.0
     turn = spark.createDataFrame([("meeting", 1.5, 4.5, "SPEAKER_00")], "file_id string, start double, end double, speaker string")
     want = "SPEAKER meeting 1 1.500000 3.000000 <NA> <NA> SPEAKER_00 <NA> <NA>"
     assert annotations.exact_rttm_lines(turn).first().value == want
@@ -130,6 +131,12 @@ def test_textgrid(spark):
     assert annotations.parse_textgrid(LONG) == annotations.parse_textgrid(SHORT) == want
     files = spark.createDataFrame([("a", LONG), ("b", SHORT), ("c", "")], "file_id string, content string")
     assert annotations.textgrid_intervals(files).where("file_id = 'b'").count() == 2
+    for bad in ("2.5.1", "x", "", "1e", "."):
+        with pytest.raises(annotations.TextGridError, match="no number"):
+            annotations.parse_textgrid(LONG.replace("xmax = 2.5", f"xmax = {bad}"))
+        assert annotations.parse_textgrid(SHORT.replace("0\n2.5\n", f"{bad}\n2.5\n", 1)) == want
+    with pytest.raises(Exception, match="no number"):
+        annotations.textgrid_intervals(files.withColumn("content", F.replace("content", F.lit("xmin = 5"), F.lit("xmin = five")))).collect()
     labels = spark.createDataFrame([("sil",), ("<noise>",), ("SIL",), ("speaker1",)], "label string")
     assert [r.label for r in labels.where(annotations.speech()).collect()] == ["speaker1"]
 

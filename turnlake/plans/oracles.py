@@ -97,6 +97,9 @@ SQL = {
     "elementary_intervals": f"WITH {SEG}, p AS (SELECT file_id, s_ms AS lo FROM seg UNION SELECT file_id, e_ms FROM seg) SELECT * FROM (SELECT file_id, lo, lead(lo) OVER (PARTITION BY file_id ORDER BY lo) AS hi FROM p) WHERE hi IS NOT NULL",
     "active_speakers": f"WITH {CELLS} SELECT file_id, lo, hi, side, count(*) AS speakers FROM act GROUP BY ALL",
     "cooccurrence": f"WITH {CELLS} SELECT * FROM pairs",
+    "speaker_pairs": f"""WITH {BEST}, top AS (SELECT file_id, arg_max(o, matched) AS o FROM tried GROUP BY file_id)
+      SELECT p.* FROM top t JOIN orders USING (o) JOIN ranked r ON TRUE JOIN pairs p ON p.file_id = t.file_id AND p.ref_speaker = r.speaker AND p.hyp_speaker = hyps[r.i] WHERE p.overlap > 0""",
+    "rttm_durations": f"""WITH {SEG} SELECT CAST(file_id AS VARCHAR) AS file_id, speaker, count(*) AS lines, CAST(sum(e_ms - s_ms) AS BIGINT) AS speech, max(e_ms - s_ms) AS longest FROM seg GROUP BY ALL""",
     "speaker_mapping": f"WITH {BEST} SELECT * FROM best",
     "timeline_union": f"WITH {SEG}, one AS (SELECT file_id, 'x' AS side, s_ms, e_ms FROM seg), {UNION.format('one')} SELECT file_id, s_ms, e_ms FROM uni",
     "timeline_coverage": f"""WITH {SEG}, {UNION.format('seg')}, tot AS (SELECT file_id, CAST(sum(e_ms - s_ms) AS BIGINT) AS total FROM uni WHERE side = 'ref' GROUP BY 1),

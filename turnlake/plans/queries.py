@@ -71,6 +71,13 @@ def speaker_mapping(spark, sf_dir):
     return errors.best_overlap(errors.cooccurrence(relations.segments(spark, sf_dir)))
 
 
+@query
+def speaker_pairs(spark, sf_dir):
+    """The best mapping itself, with the overlap of each pair."""
+    pairs = errors.cooccurrence(relations.segments(spark, sf_dir))
+    return errors.mapping(pairs).join(pairs, ["file_id", "ref_speaker", "hyp_speaker"])
+
+
 @query
 def timeline_union(spark, sf_dir):
     return intervals.union(relations.segments(spark, sf_dir), ["file_id"]).select("file_id", "s_ms", "e_ms")
@@ -200,6 +207,13 @@ def rttm_intervals(spark, sf_dir):
     return annotations.parse_rttm(short, least=5).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(_ms("end") - _ms("start")).alias("speech"))
 
 
+@query
+def rttm_durations(spark, sf_dir):
+    """Durations as written, by file and speaker."""
+    rows = annotations.parse_rttm(_rttm(spark, sf_dir), duration=True)
+    return rows.groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("lines"), F.sum(_ms("duration")).alias("speech"), F.max(_ms("duration")).alias("longest"))
+
+
 @query
 def rttm_split(spark, sf_dir):
     return annotations.split_by_file(_rttm(spark, sf_dir)).groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.min("event_id").alias("first_line"))

@@ -16,8 +16,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value")
 
 
-def parse_rttm(rows: DataFrame, line: str = "value", least: int = 8) -> DataFrame:
-    """Turns of RTTM lines: file_id, start, end, speaker.
+def parse_rttm(rows: DataFrame, line: str = "value", least: int = 8, duration: bool = False) -> DataFrame:
+    """Turns of RTTM lines: file_id, start, end, speaker; with ``duration`` that as written too, as start + duration - start isn't it.
 
     A line counts if its first field is SPEAKER, it has ``least`` fields and both its
     numbers parse; 5 fields are enough for times alone (speaker is then null).
@@ -25,7 +25,7 @@ def parse_rttm(rows: DataFrame, line: str = "value", least: int = 8) -> DataFram
     parts = rows.withColumn("_f", F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")).where((F.element_at("_f", 1) == "SPEAKER") & (F.size("_f") >= least))
     number = lambda i: F.expr(f"try_cast(get(_f, {i}) as double)")
     parts = parts.withColumns({"start": number(3), "duration": number(4)}).where("start is not null and duration is not null")
-    return parts.select(F.expr("get(_f, 1)").alias("file_id"), "start", (F.col("start") + F.col("duration")).alias("end"), F.expr("get(_f, 7)").alias("speaker"))
+    return parts.select(F.expr("get(_f, 1)").alias("file_id"), "start", (F.col("start") + F.col("duration")).alias("end"), F.expr("get(_f, 7)").alias("speaker"), *(["duration"] if duration else []))
 
 
 def rttm_file_id(line: str = "value") -> Column:
@@ -62,14 +62,21 @@ def speech(label: str = "label") -> Column:
     return ~F.lower(label).isin(*SILENCE)
 
 
+class TextGridError(ValueError):
+    pass
+
+
 def parse_textgrid(text: str) -> list[tuple[float, float, str]]:
-    """Intervals of a TextGrid, long or short form, without silence."""
+    """Intervals of a TextGrid, long or short form, without silence.
+
+    A bad number is an error in the long form and 0 in the short one.
+    """
     rows = [r.strip() for r in text.splitlines()]
     out = []
     if any(r.startswith("xmin =") for r in rows):
         for a, b, c in zip(rows, rows[1:], rows[2:]):
             if a.startswith("xmin =") and b.startswith("xmax =") and c.startswith("text ="):
-                out.append((_number(a[6:]), _number(b[6:]), c[6:].strip().strip('"')))
+                out.append((_number(a[6:], None), _number(b[6:], None), c[6:].strip().strip('"')))
     else:
         at = 0
         while at < len(rows):
@@ -83,12 +90,12 @@ def parse_textgrid(text: str) -> list[tuple[float, float, str]]:
     return [x for x in out if x[2].strip().lower() not in SILENCE]
 
 
-def _number(text: str) -> float:
-    found = re.fullmatch(r"\s*([-+]?[0-9.]+(?:[eE][-+]?\d+)?)\s*", text)
-    try:
-        return float(found[1]) if found else 0.0
-    except ValueError:
-        return 0.0
+def _number(text: str, bad: float | None = 0.0) -> float:
+    """The number in ``text``; for any other text ``bad``, or an error if that is None."""
+    found = re.fullmatch(r"\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?\d+)?)\s*", text)
+    if not found and bad is None:
+        raise TextGridError(f"no number: {text.strip()!r}")
+    return float(found[1]) if found else bad
 
 
 def textgrid_intervals(files: DataFrame, content: str = "content") -> DataFrame:
