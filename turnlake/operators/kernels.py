@@ -194,9 +194,19 @@ def initial_responsibilities(labels: np.ndarray, smoothing: float = 7.0) -> np.n
     hot[np.arange(len(labels)), labels] = 1
     if smoothing < 0:
         return hot
-    hot = hot * np.float32(smoothing)
-    e = np.exp(hot - hot.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(smoothing * (hot.astype("float64") - 1))
+    return (e / e.sum(axis=1, keepdims=True)).astype("float32")
+
+
+def expectation(x: np.ndarray, phi: np.ndarray, weight: np.ndarray, moment: np.ndarray, prior: np.ndarray, c: VbxConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled rows, responsibilities and log evidence of rows under speakers with these weights, moments and priors."""
+    ratio, rho = c.fa / c.fb, x * np.sqrt(phi)
+    constant = -0.5 * ((x * x).sum(axis=1) + x.shape[1] * np.log(2 * np.pi))
+    inverse = 1 / (1 + ratio * weight[:, None] * phi)
+    alpha = ratio * inverse * moment
+    joint = c.fa * (rho @ alpha.T - 0.5 * ((inverse + alpha**2) @ phi) + constant[:, None]) + np.log(prior + 1e-8)
+    evidence = np_logsumexp(joint)
+    return rho, np.exp(joint - evidence[:, None]), evidence
 
 
 def vbx(features: np.ndarray, phi: np.ndarray, start: np.ndarray, config: VbxConfig | None = None, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -208,15 +218,12 @@ def vbx(features: np.ndarray, phi: np.ndarray, start: np.ndarray, config: VbxCon
     x, phi = np.asarray(features, "float32").astype("float64"), np.asarray(phi, "float32").astype("float64")
     gamma = np.asarray(start, "float32").astype("float64")
     prior = np.full(gamma.shape[1], 1 / gamma.shape[1])
-    constant = -0.5 * ((x * x).sum(axis=1) + x.shape[1] * np.log(2 * np.pi))
     rho, ratio, before = x * np.sqrt(phi), c.fa / c.fb, -np.inf
     for turn in range(c.max_iters):
-        inverse = 1 / (1 + ratio * gamma.sum(axis=0)[:, None] * phi)
-        alpha = ratio * inverse * (gamma.T @ rho)
-        logs = c.fa * (rho @ alpha.T - 0.5 * ((inverse + alpha**2) @ phi) + constant[:, None])
-        joint = logs + np.log(prior + 1e-8)
-        evidence = np_logsumexp(joint)
-        gamma = np.exp(joint - evidence[:, None])
+        weight, moment = gamma.sum(axis=0), gamma.T @ rho
+        _, gamma, evidence = expectation(x, phi, weight, moment, prior, c)
+        inverse = 1 / (1 + ratio * weight[:, None] * phi)
+        alpha = ratio * inverse * moment
         prior = gamma.sum(axis=0) / gamma.sum()
         bound = evidence.sum() + c.fb * 0.5 * (np.log(inverse) - inverse - alpha**2 + 1).sum()
         if trace is not None:

@@ -89,6 +89,62 @@ UNION = """uni AS (SELECT file_id, side, min(s_ms) AS s_ms, max(e_ms) AS e_ms FR
   FROM (SELECT *, max(e_ms) OVER (PARTITION BY file_id, side ORDER BY s_ms, e_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {0})) GROUP BY file_id, side, isl)"""
 FIRST = "fs AS (SELECT file_id, speaker, CAST(row_number() OVER (PARTITION BY file_id ORDER BY min(event_id), speaker) - 1 AS INTEGER) AS idx FROM seg GROUP BY file_id, speaker)"
 
+# merges of the nearest centroids in one row of lists; the clusters of a recording as lists of rows
+AHC = """unit AS (
+      SELECT file_id, vec_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY vec_id) - 1 AS BIGINT) AS slot,
+        list_transform(embedding, lambda e: e::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM emb),
+    state(file_id, step, n, cl) AS (
+      SELECT file_id, CAST(0 AS BIGINT), count(*), list({'id': slot, 'size': 1e0, 'c': v, 'g': [[slot]]} ORDER BY slot) FROM unit GROUP BY file_id
+      UNION ALL
+      SELECT file_id, step + 1, n, list_concat(list_concat(list_concat(cl[1:i - 1], [{'id': n + step, 'size': cl[i].size + cl[j].size,
+        'c': list_transform(range(1, len(cl[i].c) + 1), lambda k: (cl[i].size * cl[i].c[k] + cl[j].size * cl[j].c[k]) / (cl[i].size + cl[j].size)),
+        'g': CASE WHEN d <= 1 THEN [list_concat(flatten(cl[p].g), flatten(cl[q].g))] ELSE list_concat(cl[p].g, cl[q].g) END}]), cl[i + 1:j - 1]), cl[j + 1:len(cl)])
+      FROM (SELECT *, best.d AS d, best.i AS i, best.j AS j, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.i ELSE best.j END AS p, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.j ELSE best.i END AS q
+        FROM (SELECT *, list_min(list_transform(range(1, len(cl)), lambda i: list_min(list_transform(range(i + 1, len(cl) + 1), lambda j: {'d': list_distance(cl[i].c, cl[j].c), 'i': i, 'j': j})))) AS best
+          FROM state WHERE len(cl) > 1))),
+    groups AS (SELECT file_id, unnest(range(1, len(cl[1].g) + 1)) AS k, cl[1].g AS g FROM state WHERE len(cl) = 1),
+    leaves AS (SELECT file_id, CAST(k - 1 AS INTEGER) AS cluster, unnest(g[k]) AS slot FROM groups)"""
+# means, directions of labels, spread within and between labels, features by falling ratio of the two
+PLDA = (
+    EMB
+    + """, m1 AS (SELECT list(m ORDER BY i) AS mean FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM emb, range(1, 65) r(i) GROUP BY i)),
+    u AS (SELECT vec_id, label, list_transform(v, lambda x: x * sqrt(len(v)) / sqrt(list_dot_product(v, v))) AS u FROM (SELECT emb.*, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE - mean[i]) AS v FROM emb, m1)),
+    dirs AS (SELECT nth, list(m ORDER BY i) AS d FROM (SELECT label, i, avg(u[i]) AS m FROM u, range(1, 65) r(i) GROUP BY label, i)
+      JOIN (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS nth FROM u GROUP BY label) USING (label) WHERE nth <= 16 GROUP BY nth),
+    p AS (SELECT vec_id, label, list(list_dot_product(u, d) ORDER BY nth) AS p FROM u, dirs GROUP BY vec_id, label),
+    m2 AS (SELECT list(m ORDER BY j) AS mean FROM (SELECT j, avg(p[j]) AS m FROM p, (SELECT unnest(range(1, count(*) + 1)) AS j FROM dirs) GROUP BY j)),
+    y AS (SELECT vec_id, label, list_transform(v, lambda x: x * sqrt(len(v)) / sqrt(list_dot_product(v, v))) AS y FROM (SELECT p.*, list_transform(range(1, len(p) + 1), lambda i: p[i] - mean[i]) AS v FROM p, m2)),
+    e AS (SELECT vec_id, label, unnest(range(1, len(y) + 1)) AS j, unnest(y) AS y FROM y),
+    by_label AS (SELECT j, label, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM e GROUP BY j, label),
+    spread AS (SELECT j, sum(s) / sum(n) AS mu, (sum(q) - sum(s * s / n)) / sum(n) AS w, sum(s * s / n) / sum(n) - (sum(s) / sum(n)) * (sum(s) / sum(n)) AS b FROM by_label GROUP BY j),
+    dims AS (SELECT *, CAST(row_number() OVER (ORDER BY b / w DESC) - 1 AS INTEGER) AS dim, b / w AS phi FROM spread),
+    f AS (SELECT vec_id, dim, CAST((y - mu) / sqrt(w) AS FLOAT) AS x FROM e JOIN dims USING (j))"""
+)
+# mixture inference of a recording in one row of lists, from first(file_id, vec_id, cluster)
+def _em(fa: str = "0.07e0", turns: int = 20) -> str:
+    return f"""xs AS (SELECT vec_id, list(x::DOUBLE ORDER BY dim) AS x FROM f GROUP BY vec_id),
+    ph AS (SELECT list(phi::FLOAT::DOUBLE ORDER BY dim) AS phi FROM dims),
+    scaled AS (SELECT file_id, vec_id, cluster, list_transform(range(1, len(x) + 1), lambda d: x[d] * sqrt(phi[d])) AS rho, -0.5 * (list_dot_product(x, x) + len(x) * ln(2 * pi())) AS g FROM first JOIN xs USING (vec_id), ph),
+    input AS (SELECT *, list_transform(range(1, len(phi) + 1), lambda d: list_transform(rho, lambda r: r[d])) AS by_dim
+      FROM (SELECT file_id, list(vec_id ORDER BY vec_id) AS ids, list(rho ORDER BY vec_id) AS rho, list(g ORDER BY vec_id) AS g, list(cluster ORDER BY vec_id) AS cl, max(cluster) + 1 AS k FROM scaled GROUP BY file_id), ph),
+    em(file_id, turn, gamma, prior, before, done) AS (
+      SELECT file_id, 0, list_transform(cl, lambda c: list_transform(range(0, k), lambda j: (CASE WHEN j = c THEN 1e0 ELSE exp(-7e0) END / (1 + (k - 1) * exp(-7e0)))::FLOAT::DOUBLE)), list_transform(range(0, k), lambda j: 1e0 / k), '-infinity'::DOUBLE, FALSE FROM input
+      UNION ALL
+      SELECT file_id, turn + 1, gamma2, list_transform(w2, lambda v: v / list_sum(w2)), bound, (turn > 0 AND bound - before < 1e-4) OR turn = {turns - 1}
+      FROM (SELECT *, list_transform(range(1, len(prior) + 1), lambda j: list_sum(list_transform(gamma2, lambda r: r[j]))) AS w2,
+          list_sum(evidence) + 0.8e0 * 0.5e0 * list_sum(list_transform(range(1, len(prior) + 1), lambda j: list_sum(list_transform(range(1, len(phi) + 1), lambda d: ln(inv[j][d]) - inv[j][d] - alpha[j][d] * alpha[j][d] + 1)))) AS bound
+        FROM (SELECT *, list_transform(range(1, len(g) + 1), lambda t: list_transform(jt[t], lambda v: exp(v - evidence[t]))) AS gamma2
+          FROM (SELECT *, list_transform(jt, lambda r: list_max(r) + ln(list_sum(list_transform(r, lambda v: exp(v - list_max(r)))))) AS evidence
+            FROM (SELECT *, list_transform(range(1, len(g) + 1), lambda t: list_transform(range(1, len(prior) + 1), lambda j: {fa} * (list_dot_product(rho[t], alpha[j]) - 0.5e0 * penalty[j] + g[t]) + ln(prior[j] + 1e-8))) AS jt
+              FROM (SELECT *, list_transform(range(1, len(prior) + 1), lambda j: list_sum(list_transform(range(1, len(phi) + 1), lambda d: (inv[j][d] + alpha[j][d] * alpha[j][d]) * phi[d]))) AS penalty
+                FROM (SELECT *, list_transform(range(1, len(prior) + 1), lambda j: list_transform(range(1, len(phi) + 1), lambda d: {fa} / 0.8e0 * inv[j][d] * list_dot_product(cols[j], by_dim[d]))) AS alpha
+                  FROM (SELECT *, list_transform(cols, lambda c: list_transform(phi, lambda v: 1 / (1 + {fa} / 0.8e0 * list_sum(c) * v))) AS inv
+                    FROM (SELECT em.*, rho, g, by_dim, phi, list_transform(range(1, len(prior) + 1), lambda j: list_transform(gamma, lambda r: r[j])) AS cols FROM em JOIN input USING (file_id) WHERE NOT done))))))))),
+    ended AS (SELECT * FROM em WHERE done)"""
+
+
+LIKELIEST = """SELECT file_id, vec_id, CAST(list_position(r, list_max(r)) - 1 AS INTEGER) AS speaker, round(list_max(r)::DOUBLE, 4) AS responsibility
+    FROM (SELECT file_id, unnest(ids) AS vec_id, list_transform(unnest(gamma), lambda v: v::FLOAT) AS r FROM ended JOIN input USING (file_id))"""
 SQL = {
     "der_per_file": f"WITH {BEST} SELECT file_id, missed, false_alarm, confusion, total, {DER} AS der FROM parts",
     "der_corpus": f"""WITH {BEST}, pooled AS (SELECT file_id % 5 AS dataset, CAST(sum(CASE WHEN hyps = 0 THEN raw_ref ELSE missed END) AS BIGINT) AS missed, CAST(sum(false_alarm) AS BIGINT) AS false_alarm,
@@ -198,21 +254,12 @@ SQL = {
       SELECT vec_id AS file_id, CAST(c AS INTEGER) AS chunk_idx, CAST(c * 70 AS BIGINT) AS start_sample, CAST(least(300, n - c * 70) AS INTEGER) AS samples, c * 70 + 300 > n AS is_padded,
         CAST(list_sum(list_transform(range(c * 70, least(n, c * 70 + 300)), lambda i: s[i % len(s) + 1])) AS BIGINT) AS total FROM w""",
     # each step merges the two nearest centroids of a recording; groups of leaves are kept in the order of the tree
-    "ahc_labels": f"""WITH RECURSIVE {EMB}, unit AS (
-      SELECT file_id, vec_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY vec_id) - 1 AS BIGINT) AS slot,
-        list_transform(embedding, lambda e: e::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM emb),
-    state(file_id, step, n, cl) AS (
-      SELECT file_id, CAST(0 AS BIGINT), count(*), list({{'id': slot, 'size': 1e0, 'c': v, 'g': [[slot]]}} ORDER BY slot) FROM unit GROUP BY file_id
-      UNION ALL
-      SELECT file_id, step + 1, n, list_concat(list_concat(list_concat(cl[1:i - 1], [{{'id': n + step, 'size': cl[i].size + cl[j].size,
-        'c': list_transform(range(1, len(cl[i].c) + 1), lambda k: (cl[i].size * cl[i].c[k] + cl[j].size * cl[j].c[k]) / (cl[i].size + cl[j].size)),
-        'g': CASE WHEN d <= 1 THEN [list_concat(flatten(cl[p].g), flatten(cl[q].g))] ELSE list_concat(cl[p].g, cl[q].g) END}}]), cl[i + 1:j - 1]), cl[j + 1:len(cl)])
-      FROM (SELECT *, best.d AS d, best.i AS i, best.j AS j, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.i ELSE best.j END AS p, CASE WHEN cl[best.i].id < cl[best.j].id THEN best.j ELSE best.i END AS q
-        FROM (SELECT *, list_min(list_transform(range(1, len(cl)), lambda i: list_min(list_transform(range(i + 1, len(cl) + 1), lambda j: {{'d': list_distance(cl[i].c, cl[j].c), 'i': i, 'j': j}})))) AS best
-          FROM state WHERE len(cl) > 1))),
-    groups AS (SELECT file_id, unnest(range(1, len(cl[1].g) + 1)) AS k, cl[1].g AS g FROM state WHERE len(cl) = 1),
-    leaves AS (SELECT file_id, CAST(k - 1 AS INTEGER) AS cluster, unnest(g[k]) AS slot FROM groups)
-    SELECT file_id, vec_id, cluster FROM leaves JOIN unit USING (file_id, slot)""",
+    "ahc_labels": f"WITH RECURSIVE {EMB}, {AHC} SELECT file_id, vec_id, cluster FROM leaves JOIN unit USING (file_id, slot)",
+    "plda_features": f"WITH {PLDA} SELECT file_id, vec_id, dim, round(abs(x::DOUBLE), 5) AS feature FROM f JOIN emb USING (vec_id)",
+    "plda_eigenvalues": f"WITH {PLDA} SELECT dim, round(phi, 6) AS value FROM dims",
+    "vbx_posteriors": f"WITH RECURSIVE {PLDA}, {AHC}, first AS (SELECT file_id, vec_id, cluster FROM leaves JOIN unit USING (file_id, slot)), {_em()} {LIKELIEST}",
+    "mixture_posteriors": f"WITH RECURSIVE {PLDA}, first AS (SELECT file_id, vec_id, label AS cluster FROM emb), {_em('1e0', 6)} {LIKELIEST}",
+    "mixture_speakers": f"WITH RECURSIVE {PLDA}, first AS (SELECT file_id, vec_id, label AS cluster FROM emb), {_em()} SELECT file_id, CAST(unnest(range(0, len(prior))) AS INTEGER) AS speaker, round(unnest(prior)::FLOAT::DOUBLE, 5) AS prior, turn AS turns FROM ended",
     # the discrete Fourier transform as inner products with 257 cosines and sines
     "filter_banks": """WITH x AS (SELECT vec_id, 16 * len(embedding) AS n, list_transform(embedding, lambda v: greatest(-32768, least(32767, CAST(round_even(v::DOUBLE * 32768, 0) AS BIGINT)))::DOUBLE) AS s FROM embeddings),
       fr AS (SELECT vec_id, s, unnest(range(0, (n - 400) // 160 + 1)) AS f FROM x),

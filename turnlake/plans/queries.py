@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.config import INACTIVE, SAMPLE_RATE, STEPS, WINDOW_SECONDS, BinarizeConfig, PipelineConfig, window_step
+from turnlake.config import INACTIVE, SAMPLE_RATE, STEPS, WINDOW_SECONDS, BinarizeConfig, PipelineConfig, VbxConfig, window_step
 from turnlake.functions import vectors
-from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, powerset, selection, smoothing, turns
+from turnlake.operators import binarize, errors, frames, intervals, kernels, layout, masks, mixture, powerset, selection, smoothing, turns
 from turnlake.plans import backend, oracles, pipeline, relations
 from turnlake.session import materialized, shared_folder
 from turnlake.sources import annotations, audio, file_sink, wav_ranges
@@ -453,16 +453,6 @@ def _ahc(group, x):
     return group[["file_id", "vec_id"]].assign(cluster=kernels.cluster_rows(x, 1.0))
 
 
-def _plda(group, x):
-    return group[["file_id", "vec_id"]].assign(features=list(kernels.Plda.synthetic(x.shape[1], 16).features(x)))
-
-
-def _vbx(group, x):
-    plda = kernels.Plda.synthetic(x.shape[1], 16)
-    gamma, _ = kernels.vbx(plda.features(x), plda.phi, kernels.initial_responsibilities(kernels.cluster_rows(x, 1.0)))
-    return group[["file_id", "vec_id"]].assign(speaker=gamma.argmax(axis=1), responsibility=gamma.max(axis=1).astype("float64"))
-
-
 @query
 def ahc_labels(spark, sf_dir):
     return _per_file(relations.embeddings(spark, sf_dir), _ahc, "file_id long, vec_id long, cluster int")
@@ -470,12 +460,52 @@ def ahc_labels(spark, sf_dir):
 
 @query
 def plda_features(spark, sf_dir):
-    return _per_file(relations.embeddings(spark, sf_dir), _plda, "file_id long, vec_id long, features array<float>")
+    """Features by parameters learnt from all labelled embeddings, without the sign, which an eigenvector doesn't fix."""
+    rows = relations.embeddings(spark, sf_dir)
+    features = mixture.plda_features(mixture.estimate_plda(rows))
+    rows = rows.select("file_id", "vec_id", F.posexplode(features("embedding")).alias("dim", "x"))
+    return rows.select("file_id", "vec_id", "dim", F.round(F.abs(F.col("x").cast("double")), 5).alias("feature"))
+
+
+@query
+def plda_eigenvalues(spark, sf_dir):
+    """Variance between labels against that within, by feature."""
+    phi = mixture.estimate_plda(relations.embeddings(spark, sf_dir)).phi
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(phi)], "dim int, value double")
 
 
 @query
 def vbx_posteriors(spark, sf_dir):
-    return _per_file(relations.embeddings(spark, sf_dir), _vbx, "file_id long, vec_id long, speaker int, responsibility double")
+    """Likeliest speaker of each embedding, from the clusters of linkage on, a kernel a recording."""
+    rows = relations.embeddings(spark, sf_dir)
+    plda = mixture.estimate_plda(rows)
+
+    def solve(group, x):
+        gamma, _ = kernels.vbx(plda.features(x), plda.phi, kernels.initial_responsibilities(kernels.cluster_rows(x, 1.0)))
+        return group[["file_id", "vec_id"]].assign(speaker=gamma.argmax(axis=1), responsibility=gamma.max(axis=1).astype("float64"))
+
+    return _per_file(rows, solve, "file_id long, vec_id long, speaker int, responsibility double").withColumn("responsibility", F.round("responsibility", 4))
+
+
+def _mixture(spark, sf_dir, config=None):
+    """From the table's labels on, recordings cut into slices of some 64 rows."""
+    rows = relations.embeddings(spark, sf_dir)
+    plda = mixture.estimate_plda(rows)
+    rows = rows.select("file_id", "vec_id", "label", mixture.plda_features(plda)("embedding").alias("features"))
+    return mixture.posteriors(rows, plda.phi, config, slice_rows=64)
+
+
+@query
+def mixture_posteriors(spark, sf_dir):
+    """The same over slices of recordings, six turns with acoustics at full weight."""
+    rows, top = _mixture(spark, sf_dir, VbxConfig(fa=1.0, max_iters=6)).rows, F.array_max("gamma")
+    return rows.select("file_id", "vec_id", (F.array_position("gamma", top) - 1).cast("int").alias("speaker"), F.round(top.cast("double"), 4).alias("responsibility"))
+
+
+@query
+def mixture_speakers(spark, sf_dir):
+    """Priors of speakers and the turns until the bound settled."""
+    return _mixture(spark, sf_dir).speakers.withColumn("prior", F.round(F.col("prior").cast("double"), 5))
 
 
 def _artifacts(spark, sf_dir):
