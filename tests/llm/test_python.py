@@ -90,6 +90,9 @@ def test_url_rules_match_brute_force(spark):
     got = Counter(map(tuple, url_filters.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()))
     assert got == Counter((i if i else None, *brute_verdict(u, rules)) for i, u in enumerate(urls))
     assert url_filters.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+    odd = pages.selectExpr("page_id as `a.b`", "url as `u.host`", "'x' as host", "1 as _id", "'y' as u")
+    again = url_filters.judge_urls(odd, spark.createDataFrame(rules, "host string, path string, verdict string"), key="a.b", url="u.host")
+    assert again.columns == ["a.b", "host", "path", "rule", "verdict"] and Counter(map(tuple, again.collect())) == got
 
 
 def brute_fingerprint(text):

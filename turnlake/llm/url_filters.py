@@ -91,11 +91,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     nearer host on a tie, block where one host and path have both.  Urls that no
     rule fits get rule null and ``default``.  Null urls and urls without "://" have
     an empty host and path.  Repeated rows and null keys pass row by row; an empty
-    table gives an empty one; other columns are ignored.
+    table gives an empty one; other columns are ignored, and names may hold dots.
     """
     spark = pages.sparkSession
-    host, path = url_parts(url)
-    urls = pages.select(F.col(key).alias("_id"), host.alias("host"), path.alias("path"), F.xxhash64(F.col(key), F.col(url)).alias("_hash"))
+    pages = pages.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
+    host, path = url_parts("_url")
+    urls = pages.select("_id", host.alias("host"), path.alias("path"), F.xxhash64("_id", "_url").alias("_hash"))
     urls = urls.withColumn("_key", host_key(F.col("host")))
     n = urls.count()
     ranges = max(1, min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 500))
