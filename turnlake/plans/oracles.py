@@ -195,7 +195,7 @@ SQL = {
     "textgrid_intervals": f"WITH {SEG} SELECT file_id, speaker, s_ms, e_ms FROM seg WHERE event_id % 7 <> 0",
     "speech_labels": f"WITH {SEG} SELECT file_id, speaker AS label, count(*) AS n FROM seg WHERE event_id % 3 <> 0 GROUP BY ALL",
     "transcript_rows": f"WITH {TRANSCRIPT} SELECT s_ms, e_ms, concat('a', chr(9), row_idx) AS text FROM tr",
-    "powerset_map": f"WITH {POWER} SELECT c AS class_idx, CAST(i AS INTEGER) AS speaker_idx, a[i + 1] AS active FROM map, range(3) r(i)",
+    "powerset_map": f"WITH {POWER}, {LOGITS}, n AS (SELECT class_idx, count(*) AS frames FROM am GROUP BY class_idx) SELECT c AS class_idx, CAST(i AS INTEGER) AS speaker_idx, a[i + 1] AS active, coalesce(frames, 0) AS frames FROM map LEFT JOIN n ON n.class_idx = c, range(3) r(i)",
     "powerset_decode": f"WITH {POWER}, {LOGITS} SELECT vec_id, class_idx, CAST(i AS INTEGER) AS speaker_idx, a[i + 1] AS active FROM am JOIN map ON c = class_idx, range(3) r(i)",
     "powerset_encode": f"WITH {LOGITS} SELECT * FROM am",
     "window_enumeration": """WITH f AS (SELECT o_orderkey AS idx, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders), k AS (SELECT idx, n, CASE WHEN n < 10000 THEN 0 ELSE (n - 10000) // 4000 + 1 + CASE WHEN n > 10000 AND ((n - 10000) // 4000 + 1) * 4000 < n THEN 1 ELSE 0 END END AS c FROM f),

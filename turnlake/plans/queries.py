@@ -261,7 +261,9 @@ def transcript_rows(spark, sf_dir):
 
 @query
 def powerset_map(spark, sf_dir):
-    return powerset.mapping_table(spark, 3, 2)
+    """Speakers of each class, and the frames that have it."""
+    frames_of = relations.logits(spark, sf_dir).groupBy(powerset.argmax_last("logits").alias("class_idx")).agg(F.count(F.lit(1)).alias("frames"))
+    return powerset.mapping_table(spark, 3, 2).join(frames_of, "class_idx", "left").withColumn("frames", F.coalesce("frames", F.lit(0).cast("long")))
 
 
 @query
