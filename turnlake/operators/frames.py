@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.vectors import round_ties_even
 from turnlake.operators.layout import output_extent, start_frame, to_output_frames
+from turnlake.session import shuffled
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def speaker_count(seg: DataFrame, step: float) -> DataFrame:
     """Per output frame the mean number of speakers over the chunks that cover it, rounded; 0 where none does."""
     sums = to_output_frames(seg, step).groupBy("file_id", "out_frame", "chunk_idx").agg(F.sum("active").alias("n"))
     mean = sums.groupBy("file_id", "out_frame").agg(F.avg("n").alias("mean"))
-    return grid(seg, step).join(mean, ["file_id", "out_frame"], "left").select("file_id", "out_frame", F.greatest(F.lit(0), round_ties_even(F.coalesce("mean", F.lit(0.0)))).alias("n_speakers"))
+    return grid(seg, step).join(shuffled(mean), ["file_id", "out_frame"], "left").select("file_id", "out_frame", F.greatest(F.lit(0), round_ties_even(F.coalesce("mean", F.lit(0.0)))).alias("n_speakers"))
 
 
 def all_zero(counts: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def cluster_activations(seg: DataFrame, clusters: DataFrame, step: float, counts
 
     Dense over clusters 0 to the highest id, and up to the most simultaneous speakers if ``counts`` are given.
     """
-    named = seg.join(clusters.where("cluster >= 0"), ["file_id", "chunk_idx", "speaker_idx"])
+    named = seg.join(shuffled(clusters.where("cluster >= 0")), ["file_id", "chunk_idx", "speaker_idx"])
     most = named.groupBy("file_id", "chunk_idx", "frame_idx", "cluster").agg(F.max("active").alias("active"))
     placed = most.join(_chunks(seg), "file_id")
     placed = placed.withColumn("out_frame", start_frame(F.col("chunk_idx"), step) + F.col("frame_idx")).where(F.col("out_frame") < output_extent(F.col("_n"), step))
@@ -44,14 +45,16 @@ def cluster_activations(seg: DataFrame, clusters: DataFrame, step: float, counts
     width = clusters.groupBy("file_id").agg((F.max("cluster") + 1).alias("_w"))
     if counts is not None:
         width = width.join(counts.groupBy("file_id").agg(F.max("n_speakers").alias("_m")), "file_id", "left").withColumn("_w", F.greatest("_w", F.coalesce("_m", F.lit(0)))).drop("_m")
-    dense = grid(seg, step).join(width.where("_w > 0"), "file_id").select("file_id", "out_frame", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("cluster"))
-    return dense.join(sums, ["file_id", "out_frame", "cluster"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # a row a file until all joins of files are done
+    dense = _chunks(seg).join(width.where("_w > 0"), "file_id").select("file_id", "_w", F.explode(F.sequence(F.lit(0), output_extent(F.col("_n"), step) - 1)).alias("out_frame"))
+    dense = dense.select("file_id", "out_frame", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("cluster"))
+    return dense.join(shuffled(sums), ["file_id", "out_frame", "cluster"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def top_k(activations: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds active: 1 for the ``n_speakers`` highest scores of a frame, the lowest cluster on ties."""
     rank = F.row_number().over(W.partitionBy("file_id", "out_frame").orderBy(F.desc("score"), "cluster"))
-    return activations.join(counts, ["file_id", "out_frame"]).withColumn("active", (rank <= F.col("n_speakers")).cast("int")).drop("n_speakers")
+    return activations.join(shuffled(counts), ["file_id", "out_frame"]).withColumn("active", (rank <= F.col("n_speakers")).cast("int")).drop("n_speakers")
 
 
 def make_exclusive(rows: DataFrame, frame: str = "out_frame", speaker: str = "cluster", score: str = "score") -> DataFrame:

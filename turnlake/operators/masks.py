@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.config import INACTIVE, MIN_SPEAKER_ACTIVITY
 from turnlake.functions.vectors import all_finite
+from turnlake.session import shuffled
 
 KEY = ["file_id", "chunk_idx", "speaker_idx"]
 
@@ -35,11 +36,11 @@ def training_set(seg: DataFrame, embeddings: DataFrame, share: float = 0.2) -> D
     alone = F.abs(F.sum("active").over(W.partitionBy("file_id", "chunk_idx", "frame_idx")) - 1) < 1e-6
     frames = seg.groupBy("file_id", "chunk_idx").agg(F.count_distinct("frame_idx").alias("_frames"))
     single = seg.withColumn("_alone", F.when(alone, F.col("active")).otherwise(0.0)).groupBy(*KEY).agg(F.sum("_alone").alias("single_activity"))
-    kept = single.join(frames, ["file_id", "chunk_idx"]).where(F.col("single_activity") >= share * F.col("_frames")).drop("_frames")
-    return embeddings.where(all_finite("embedding")).join(kept, KEY)
+    kept = single.join(shuffled(frames), ["file_id", "chunk_idx"]).where(F.col("single_activity") >= share * F.col("_frames")).drop("_frames")
+    return embeddings.where(all_finite("embedding")).join(shuffled(kept), KEY)
 
 
 def mark_inactive(seg: DataFrame, clusters: DataFrame) -> DataFrame:
     """Clusters of chunk speakers, ``INACTIVE`` where the speaker has no active frame."""
     sums = seg.groupBy(*KEY).agg(F.sum("active").alias("_sum"))
-    return clusters.join(sums, KEY, "left").withColumn("cluster", F.when(F.coalesce("_sum", F.lit(0.0)) <= 0, INACTIVE).otherwise(F.col("cluster"))).drop("_sum")
+    return clusters.join(shuffled(sums), KEY, "left").withColumn("cluster", F.when(F.coalesce("_sum", F.lit(0.0)) <= 0, INACTIVE).otherwise(F.col("cluster"))).drop("_sum")

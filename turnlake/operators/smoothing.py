@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.session import materialized
+from turnlake.session import materialized, shuffled
 
 SLICE_FRAMES = 4096
 
@@ -69,7 +69,7 @@ def with_units(frames: DataFrame, slice_frames: int) -> DataFrame:
 def smoothed_top_k(activations: DataFrame, counts: DataFrame, epsilon: float = 0.1, slice_frames: int = SLICE_FRAMES) -> DataFrame:
     """(file_id, out_frame, cluster, score) with active 0 or 1; clusters of a frame must be dense from 0."""
     frames = activations.groupBy("file_id", "out_frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "score"))), lambda x: x["score"]).alias("scores"))
-    frames = materialized(settle(frames.join(counts, ["file_id", "out_frame"]), epsilon), "frames")
+    frames = materialized(settle(frames.join(shuffled(counts), ["file_id", "out_frame"]), epsilon), "frames")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, before = None, set()

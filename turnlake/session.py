@@ -30,6 +30,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    Spark guesses a table's size from its compressed files, and that of exploded rows from
+    the rows before; both can be a hundred times too small, and the driver holds what is
+    broadcast.
+    """
+    return df.hint("merge")
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below ``shared_root`` and read from there, so that nothing computes it again."""
     path = shared_folder(df.sparkSession, name)
