@@ -219,3 +219,16 @@ def test_annotation_files(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         file_sink.write_annotations(broken, str(tmp_path / "none"))
     assert not os.path.exists(tmp_path / "none") or os.listdir(tmp_path / "none") == []
+
+
+def test_energies_take_a_recording_at_a_time(spark):
+    samples = np.random.default_rng(3).uniform(-0.5, 0.5, 1000)
+    rows = [(1, audio.encode_wav(samples)), (2, audio.encode_wav(samples[:100])), (3, b"no wave"), (4, None)]
+    got = audio.energies(spark.createDataFrame(rows, "file_id long, content binary"))
+    # one pass: samples don't leave the worker that reads them
+    assert got._jdf.queryExecution().executedPlan().toString().count("Python") + got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.file_id: r for r in got.collect()}
+    logs = audio.log_mel(audio.decode_wav(rows[0][1])[0])
+    assert (got[1].frames, got[1].bins, got[1].error) == (*logs.shape, None) and got[1].energy == pytest.approx(float(logs.sum()))
+    assert (got[2].frames, got[2].energy) == (0, 0.0)
+    assert got[3].error and got[4].error and got[3].energy is None

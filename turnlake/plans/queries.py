@@ -597,14 +597,7 @@ def wav_windows(spark, sf_dir):
 @query
 def filter_banks(spark, sf_dir):
     """Frames, bins and the sum of the log energies of recordings."""
-
-    @F.pandas_udf("frames int, bins int, energy double")
-    def sizes(rows: pd.Series) -> pd.DataFrame:
-        logs = [audio.log_mel(np.asarray(x)) for x in rows]
-        return pd.DataFrame({"frames": [len(x) for x in logs], "bins": [x.shape[1] for x in logs], "energy": [float(x.sum()) for x in logs]})
-
-    rows = audio.decode(_wavs(spark, sf_dir)).select("file_id", sizes("samples").alias("_f"))
-    return rows.select("file_id", "_f.frames", "_f.bins", F.round("_f.energy", 3).alias("energy"))
+    return audio.energies(_wavs(spark, sf_dir)).select("file_id", "frames", "bins", F.round("energy", 3).alias("energy"))
 
 
 @query
