@@ -122,3 +122,9 @@ def test_linkage_memory_is_linear():
 def test_heights_are_compared_in_single_precision():
     assert kernels.flat_labels(2, [(0, 1, 0.6000000000001)], 0.6).tolist() == [0, 0]
     assert kernels.flat_labels(2, [(0, 1, 0.60001)], 0.6).tolist() == [0, 1]
+
+
+def test_rows_are_scaled_in_double_precision():
+    # 0 - 1 is longer than 1 - 2 by 1e-8, which single precision turns round
+    x = np.array([[1.327788233757019, 0.0], [1.0752841234207153, 0.35452577471733093], [6.034252643585205, 4.464332580566406]], "float32")
+    assert kernels.cluster_rows(x, 0.4).tolist() == [0, 1, 1]

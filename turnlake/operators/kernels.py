@@ -134,10 +134,10 @@ def flat_labels(n: int, steps: list[tuple[int, int, float]], threshold: float) -
 
 
 def cluster_rows(x: np.ndarray, threshold: float = 0.6) -> np.ndarray:
-    """Agglomerative labels of embedding rows."""
+    """Agglomerative labels of embedding rows, scaled to unit length in double precision: single precision makes other pairs the nearest."""
     if len(x) < 2:
         return np.zeros(len(x), "int64")
-    unit = np_normalize_rows(np.asarray(x, "float32"))
+    unit = np_normalize_rows(np.asarray(x, "float32").astype("float64"))
     return flat_labels(len(x), linkage_of_rows(unit), threshold)
 
 
