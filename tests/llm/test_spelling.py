@@ -116,3 +116,20 @@ def test_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     want = {r[0]: tuple(r[1:]) for r in con.sql(oracles.OP11).select("word, form, root, n, n_near, form_n").fetchall()}
     assert got(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string"))) == want
+
+
+def test_vocabularies_are_never_broadcast(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(w, 9) for w in ("lantern", "lanterns", "lentern")], "word string, n long").write.parquet(f"{tmp_path}/words")
+    scratch = spelling.Scratch(spark, "spelling-test")
+    plans, save = [], spelling.Scratch.save
+
+    def saved(self, df, name, *rest):
+        plans.append(df)
+        return save(self, df, name, *rest)
+
+    monkeypatch.setattr(spelling.Scratch, "save", saved)
+    pairs = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/words"), scratch)
+    assert pairs.count() == 2
+    docs = spark.createDataFrame([(i, "lantern " * 9 + "lentern lanters lanter") for i in range(6)], "doc_id long, text string")
+    plans.append(spelling.variants(docs))
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in plans)

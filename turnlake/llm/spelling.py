@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.llm.scratch import Scratch
+from turnlake.session import shuffled
 
 #: Letters of a run after A-Z are lower-cased.
 RUN = re.compile("[a-zÀ-ÿ]+").findall
@@ -125,7 +126,8 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
 
     seeks, found = (keyed(which).select("key", F.col("w").alias(c), F.col("n").alias(f"{c}_n")) for which, c in ((1, "a"), (0, "b")))
     shorter = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    near = seeks.join(found, "key").where(shorter & (F.levenshtein("a", "b", 1) == 1))
+    # a word is some 24 keys, which Spark guesses from the words' compressed files
+    near = seeks.join(shuffled(found), "key").where(shorter & (F.levenshtein("a", "b", 1) == 1))
     return scratch.save(near.select("a", "a_n", "b", "b_n").distinct(), "pairs")
 
 
@@ -146,7 +148,7 @@ def roots(forms: DataFrame, ratio: int, scratch: Scratch) -> DataFrame:
     steps = max(1, math.ceil(math.log(most) / math.log(ratio)))
     for nth in range(math.ceil(math.log2(steps))):
         to = out.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        out = scratch.save(out.join(to, "root", "left").select("word", F.coalesce("further", "root").alias("root")), f"roots-{nth}")
+        out = scratch.save(out.join(shuffled(to), "root", "left").select("word", F.coalesce("further", "root").alias("root")), f"roots-{nth}")
         if nth:
             scratch.drop(f"roots-{nth - 1}")
     return out
@@ -169,4 +171,4 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", least_len
     near = scratch.save(nearest(near_pairs(words, scratch), ratio), "near")
     scratch.drop("pairs")
     root = roots(near.where("form is not null"), ratio, scratch)
-    return words.join(near, "word", "left").join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
+    return words.join(shuffled(near), "word", "left").join(shuffled(root), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
