@@ -6,12 +6,15 @@ never become nested loops.  Scans cut long groups into slices of time.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnlake.operators import slices
-from turnlake.session import materialized
+from turnlake.operators import kernels, slices
+from turnlake.session import materialized, shuffled
 
 
 def union(rows: DataFrame, by: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
@@ -85,8 +88,49 @@ def dominant_speaker(transcript: DataFrame, turns: DataFrame, start: str = "s_ms
 
     Overlaps aren't added up over turns; of equal ones the first turn (``seg_idx``)
     wins; without an overlap the speaker is ``unknown``.
+
+    No pairs are made.  A row and what may overlap it meet in a part of time that is
+    twice as long as a slice, and rows longer than a slice in slices of double lengths.
+    A turn is sent to the few parts in which it starts or ends; of those that hold all of
+    a part the first is enough.  Within a part the best turn is looked up.
     """
-    right = turns.select("file_id", "seg_idx", "speaker", F.col(start).alias("_s"), F.col(end).alias("_e"))
-    pairs = slices.overlaps(transcript.select("file_id", "row_idx", start, end), right, ["file_id"], start, end, "_s", "_e").withColumn("_over", F.least(end, "_e") - F.greatest(start, "_s"))
-    best = pairs.groupBy("file_id", "row_idx").agg(F.max_by("speaker", F.struct("_over", -F.col("seg_idx"))).alias("speaker"))
-    return transcript.join(best, ["file_id", "row_idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(unknown)))
+    right = turns.select("file_id", "seg_idx", "speaker", F.col(start).alias("_s"), F.col(end).alias("_e")).where("_e > _s")
+    rows = transcript.select("file_id", "row_idx", F.col(start).alias("_s"), F.col(end).alias("_e")).where("_e > _s")
+    length = slices.width(right, ["file_id"], "_s")
+    if length is None:
+        rows, right = (x.withColumns({"_level": F.lit(0), "_part": F.lit(0).cast("long")}) for x in (rows, right))
+    else:
+        rows, right = _in_parts(rows, right, length)
+    key = ["file_id", "_level", "_part"]
+
+    def solve(left: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        other = other.sort_values("seg_idx")
+        at, over = kernels.largest_overlap(*(x[c].to_numpy() for x in (left, other) for c in ("_s", "_e")))
+        met = over > 0
+        found = other.iloc[at[met]]
+        return pd.DataFrame({"file_id": left["file_id"].to_numpy()[met], "row_idx": left["row_idx"].to_numpy()[met], "speaker": found["speaker"].to_numpy(), "_seg": found["seg_idx"].to_numpy(), "_over": over[met]})
+
+    kinds = [f"{c} {t.schema[n].dataType.simpleString()}" for c, n, t in (("file_id", "file_id", rows), ("row_idx", "row_idx", rows), ("speaker", "speaker", right), ("_seg", "seg_idx", right), ("_over", "_s", right))]
+    pairs = rows.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, ", ".join(kinds))
+    best = pairs.groupBy("file_id", "row_idx").agg(F.max_by("speaker", F.struct("_over", -F.col("_seg"))).alias("speaker"))
+    return transcript.join(shuffled(best), ["file_id", "row_idx"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(unknown)))
+
+
+def _in_parts(rows: DataFrame, turns: DataFrame, length: float) -> tuple[DataFrame, DataFrame]:
+    """Rows and turns (_s, _e) with the level and part in which they meet; part c of level l is the time from c to c + 2 in slices of ``length`` * 2^l."""
+    size = F.lit(length) * F.pow(F.lit(2.0), "_level")
+    rows = rows.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("_e") - F.col("_s")) / F.lit(length)))).cast("int"))
+    rows = rows.withColumn("_part", F.floor(F.col("_s") / size).cast("long"))
+    levels = [x[0] for x in rows.select("_level").distinct().collect()]  # some ten, as lengths double
+    longest = turns.agg(F.max(F.col("_e") - F.col("_s"))).first()[0] or 0
+    turns = turns.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels) or [0]])))
+    first, last = (F.floor(F.col(c) / size).cast("long") for c in ("_s", "_e"))
+    ends = turns.withColumn("_part", F.explode(F.array_distinct(F.array(first - 1, first, last - 1, last))))
+    # parts that a turn holds all of, in cells of parts that double
+    most = max(0, math.ceil(math.log2(max(1.0, longest / length))))
+    cells = slices.dyadic_cells(F.ceil(F.col("_s") / size).cast("long"), F.floor(F.col("_e") / size).cast("long") - 1, most)
+    held = turns.withColumn("_c", F.explode(cells)).groupBy("file_id", "_level", "_c").agg(F.min(F.struct("seg_idx", "speaker", "_s", "_e")).alias("_t"))
+    above = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda n: F.struct(n.cast("int").alias("level"), F.floor(F.col("_part") / F.pow(F.lit(2.0), n)).cast("long").alias("cell")))
+    parts = rows.select("file_id", "_level", "_part").distinct().withColumn("_c", F.explode(above))
+    whole = parts.join(held, ["file_id", "_level", "_c"]).select("file_id", "_level", "_part", "_t.*")
+    return rows, ends.unionByName(whole.select(*ends.columns))

@@ -294,3 +294,59 @@ def cluster_recording(training: np.ndarray, embeddings: np.ndarray, active: np.n
         for s, c in assign_chunk(chunk_scores(embeddings[chunk], active[chunk], centroids), speakers).items():
             labels[chunk, s] = c
     return labels
+
+
+def least_dominating(x: np.ndarray, y: np.ndarray, value: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """For each query the least ``value`` (whole numbers from 0) of the points with x <= qx and y >= qy, and the number of points if there is none.
+
+    The points up to qx are blocks of lengths 1, 2, 4, ..., one for each bit of their
+    number; a block is sorted by y with the least value from each place on.
+    """
+    n, order = len(x), np.argsort(x, kind="stable")
+    y, value, upto = y[order], value[order], np.searchsorted(x[order], qx, "right")
+    distinct = np.unique(y)
+    y, qy, width = np.searchsorted(distinct, y), np.searchsorted(distinct, qy), len(distinct) + 1
+    out = np.full(len(qx), n)
+    for k in range(n.bit_length()):
+        asked, whole = np.flatnonzero(upto >> k & 1), n >> k << k
+        if len(asked):
+            keys = (np.arange(whole) >> k) * width + y[:whole]
+            by = np.argsort(keys, kind="stable")
+            least = np.minimum.accumulate(value[by].reshape(-1, 1 << k)[:, ::-1], axis=1)[:, ::-1].ravel()
+            block = (upto[asked] >> k) - 1
+            place = np.searchsorted(keys[by], block * width + qy[asked])
+            there = place < (block + 1) << k
+            out[asked[there]] = np.minimum(out[asked[there]], least[place[there]])
+    return out
+
+
+def largest_overlap(qs: np.ndarray, qe: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval (qs, qe) the index of the interval (s, e) that shares most with it, the first of equal ones, and how much; 0 and less is none.
+
+    The best is one that holds the query, or the one that reaches furthest into it from
+    either side, or the longest inside.
+    """
+    n = len(s)
+    if not n or not len(qs):
+        return np.zeros(len(qs), "int64"), np.zeros(len(qs), "int64")
+
+    def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices by ``key``, the first of equal ones first, and the rank of each."""
+        by = np.argsort(key, kind="stable")
+        rank = np.empty(n, "int64")
+        rank[by] = np.arange(n)
+        return np.r_[by, 0], rank
+
+    def reach(at: np.ndarray, q: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Of those with at <= q the one with the least ``key``."""
+        by, rank = ranks(key)
+        order = np.argsort(at, kind="stable")
+        return by[np.r_[n, np.minimum.accumulate(rank[order])][np.searchsorted(at[order], q, "right")]]
+
+    holds = np.r_[np.arange(n), 0][least_dominating(s, e, np.arange(n), qs, qe)]
+    by, rank = ranks(s - e)
+    inside = by[least_dominating(-s, -e, rank, -qs, -qe)]
+    tried = np.stack([holds, inside, reach(s, qs, -e), reach(-e, -qe, s)])
+    over = np.minimum(e[tried], qe) - np.maximum(s[tried], qs)
+    most = over.max(axis=0)
+    return np.where(over == most, tried, n).min(axis=0), most
