@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.config import MIN_SPEAKER_ACTIVITY
+from turnlake.session import shuffled
 from turnlake.sources import audio
 
 
@@ -124,7 +125,7 @@ def embed(runs: DataFrame, masks: DataFrame, backend: Callable[[], ModelBackend]
                 yield pd.DataFrame({"file_id": [file_id] * len(rows), "chunk_idx": chunk, "speaker_idx": [r["speaker_idx"] for r in rows], "embedding": [x.astype("float32") for x in found]})
 
     kind = runs.schema["file_id"].dataType.simpleString()
-    met = asked.join(runs.select(*on, "chunk_idx", "chunks", "samples"), on)
+    met = asked.join(shuffled(runs.select(*on, "chunk_idx", "chunks", "samples")), on)
     done = met.select("file_id", "chunk_idx", "chunks", "samples", "masks").mapInPandas(solve, f"file_id {kind}, chunk_idx int, speaker_idx int, embedding array<float>")
     key = ["file_id", "chunk_idx", "speaker_idx"]
-    return masks.select(*key).join(done, key, "left")
+    return masks.select(*key).join(shuffled(done), key, "left")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from turnlake.config import FRAMES_PER_WINDOW, LOCAL_SPEAKERS, MAX_OVERLAP, SAMPLE_RATE, WINDOW_SECONDS, PipelineConfig
 from turnlake.operators import binarize, frames, kernels, layout, masks, powerset, smoothing, turns
 from turnlake.plans import backend as seam
-from turnlake.session import materialized
+from turnlake.session import materialized, shuffled
 from turnlake.sources import wav_ranges
 from turnlake.sources.annotations import exact_rttm_lines
 from turnlake.streaming import queue
@@ -54,7 +54,7 @@ def cluster_recordings(artifacts: Artifacts, plda: kernels.Plda, config: Pipelin
     seg, on = artifacts.segmentations, masks.KEY
     active = seg.groupBy(*on).agg((F.sum("active") > 0).alias("_active"))
     chosen = masks.training_set(seg, artifacts.embeddings).select(*on, F.lit(True).alias("_training"))
-    rows = active.join(artifacts.embeddings, on, "left").join(chosen, on, "left")
+    rows = active.join(shuffled(artifacts.embeddings), on, "left").join(shuffled(chosen), on, "left")
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["chunk_idx", "speaker_idx"])
@@ -109,7 +109,7 @@ class Pipeline:
         seg = materialized(seg, "segmentations")
         clean = masks.clean_masks(seg)
         use = masks.speaker_weights(seg, self.window).select(*masks.KEY, "use_clean")
-        chosen = clean.join(use, masks.KEY, "left").withColumn("_m", F.when(F.col("use_clean"), F.col("clean")).otherwise(F.col("active")))
+        chosen = clean.join(shuffled(use), masks.KEY, "left").withColumn("_m", F.when(F.col("use_clean"), F.col("clean")).otherwise(F.col("active")))
         mask = chosen.groupBy(*masks.KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "_m"))), lambda x: x["_m"]).alias("mask"))
         return Artifacts(seg, materialized(seam.embed(runs, mask, self.backend, self.window, step, wav_ranges.RUN), "embeddings"))
 
