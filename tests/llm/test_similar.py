@@ -87,3 +87,12 @@ def test_a_group_of_unlike_texts_sends_few_pairs():
     rows = pd.DataFrame({"sig": 1, "lo": 0, "hi": 0, "block": 0, "fp": fps, "root": fps, "n": [len(x) for x in sets], "s0": [x[0] for x in low], "s1": [x[1] for x in low], "par": [similar.parity(x) for x in sets]})
     for every in (False, True):
         assert sum(map(len, similar._pairs(every)(iter([rows])))) == 0
+
+
+def test_simhash_pairs_are_candidates(spark, monkeypatch):
+    """Without MinHash signatures that agree, near fingerprints alone link a text and its copy with a word more."""
+    text = " ".join(f"word{i}" for i in range(400))
+    data = [(1, text, None), (2, text + " end", None), (3, " ".join(f"other{i}" for i in range(400)), None)]
+    monkeypatch.setattr(similar, "_shared", lambda batches: iter(()))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -49,7 +49,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned SimHash of the shingles; 0 without words."""
-    found = shingle_hashes(text, shingle)
+    return simhash(shingle_hashes(text, shingle))
+
+
+def simhash(found: np.ndarray) -> int:
+    """Unsigned SimHash of hashes; 0 without any."""
     bits = np.zeros(64, "int64")
     for lo in range(0, len(found), 1 << 16):
         part = found[lo : lo + (1 << 16)]
@@ -120,6 +124,13 @@ def signatures(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*each)).alias("sig"), "fp")
 
 
+def near_links(fps: DataFrame) -> DataFrame:
+    """Links u < v that connect the distinct fingerprints in ``fp`` as steps of at most ``MAX_BITS`` bits do."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = signatures(fps).repartition(4 * parts, "sig").sortWithinPartitions("sig")
+    return signed.mapInPandas(_links, "u long, v long").distinct()
+
+
 def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The links of a task as stars: every node with the least one it reaches within the batch."""
     for batch in batches:
@@ -190,9 +201,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     rows = scratch.save(df.select(F.col(key).alias("id"), prints(F.col(text)).alias("fp")), "prints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = signatures(nodes.select("fp")).repartition(4 * parts, "sig").sortWithinPartitions("sig")
-    links = scratch.save(signed.mapInPandas(_links, "u long, v long").distinct(), "links")
+    links = scratch.save(near_links(nodes.select("fp")), "links")
     roots = components(links, scratch)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")

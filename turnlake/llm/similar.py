@@ -1,9 +1,10 @@
 """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 and more.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima; two texts that share
+Candidates come from SimHash, as in ``near_dedup``: fingerprints of the same shingles that
+are equal or within 4 bits by one-wildcard signatures.  Further ones come from MinHash: ``BANDS`` bands of ``ROWS`` minima; two texts that share
 a band's signature are candidates.  At a similarity of exactly 0.8 a pair shares none
 with a chance of (1 - 0.8 ^ 5) ^ 32, about 3e-6, and at 0.9 of 1e-12.  (A 64-bit
-SimHash can't: such pairs differ in up to 14 bits, which takes eight segments of eight
+SimHash alone can't: such pairs differ in up to 14 bits, which takes eight segments of eight
 bits, too short to tell texts apart.)  Candidates that a sketch of 128 one-bit minima
 or the sizes of the sets rule out are left, all others are compared by their whole
 sets before they are linked.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.near_dedup import components, shingle_hashes
+from turnlake.llm.near_dedup import components, near_links, shingle_hashes, simhash
 from turnlake.llm.scratch import Scratch
 
 SHINGLE = 5
@@ -97,16 +98,17 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype("u1")).tobytes()
 
 
-PRINTS = "fp long, n long, s0 long, s1 long, par binary, sigs array<long>"
+PRINTS = "fp long, sim long, n long, s0 long, s1 long, par binary, sigs array<long>"
 
 
 def prints(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
-        found = shingle_set(t)
+        hashes = shingle_hashes(t, SHINGLE)
+        found = np.unique(hashes)
         low = minima(found)
-        out.append((set_print(found), len(found), *sketch(low).tolist(), parity(found), signatures(low)))
-    return pd.DataFrame(out, columns=["fp", "n", "s0", "s1", "par", "sigs"])
+        out.append((set_print(found), int(np.uint64(simhash(hashes)).astype("int64")), len(found), *sketch(low).tolist(), parity(found), signatures(low)))
+    return pd.DataFrame(out, columns=["fp", "sim", "n", "s0", "s1", "par", "sigs"])
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,24 +262,36 @@ def _sets_of(spark, words: dict[int, int]):
     return sets
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs u < v of sets to compare: those of one SimHash with the least of it, and the least of near ones."""
+    first = nodes.groupBy("sim").agg(F.min("fp").alias("first"))
+    same = nodes.select("sim", "fp").join(first, "sim").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    ends = [first.select(F.col("sim").alias(c), F.col("first").alias(f"_{c}")) for c in "uv"]
+    near = near_links(first.select(F.col("sim").alias("fp"))).join(ends[0], "u").join(ends[1], "v")
+    return same.unionByName(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+
+
 def _components(table: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Columns fp and root of all fingerprints of ``table``; ``docs`` has their texts in t."""
     spark = table.sparkSession
-    nodes = scratch.save(table.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "par", "sigs")]), "nodes")
+    nodes = scratch.save(table.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sim", "n", "s0", "s1", "par", "sigs")]), "nodes")
+    near = scratch.save(_simhash_pairs(nodes), "simhash")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = nodes.select(F.explode("sigs").alias("sig"), "fp").repartition(parts, "sig").sortWithinPartitions("sig")
     shared = scratch.save(signed.mapInPandas(_shared, "sig long, fp long, nth long"), "shared")
-    # what any round may compare are members of signatures
-    words = shared.select(F.pmod("fp", F.lit(FILTER_BITS)).alias("place")).groupBy(F.expr("place div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("b")).toArrow().to_pydict()
+    # what any round may compare are members of signatures and pairs of SimHash
+    asked = shared.select("fp").unionByName(near.select(F.explode(F.array("u", "v")).alias("fp")))
+    words = asked.select(F.pmod("fp", F.lit(FILTER_BITS)).alias("place")).groupBy(F.expr("place div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("b")).toArrow().to_pydict()
     sets = docs.select("t").mapInPandas(_sets_of(spark, dict(zip(words["w"], words["b"]))), "fp long, set array<long>")
     sets = scratch.save(sets.groupBy("fp").agg(F.first("set").alias("set")), "sets")
     sketches = nodes.select("fp", "n", "s0", "s1", "par")
 
-    def linked(rows: DataFrame, every: bool, name: str) -> DataFrame:
-        """The pairs of similar sets among those that ``_pairs`` finds."""
+    def linked(rows: DataFrame, every: bool, name: str, more: DataFrame | None = None) -> DataFrame:
+        """The pairs of similar sets among those that ``_pairs`` finds and ``more``."""
         rows = rows.join(sketches, "fp").select("sig", "lo", "hi", "block", "fp", "root", "n", "s0", "s1", "par")
         rows = rows.repartition(parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "fp")
-        pairs = scratch.save(rows.mapInPandas(_pairs(every), "u long, v long").distinct(), f"pairs-{name}")
+        pairs = rows.mapInPandas(_pairs(every), "u long, v long")
+        pairs = scratch.save((pairs if more is None else pairs.unionByName(more)).distinct(), f"pairs-{name}")
         a, b = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
         both = F.size(F.array_intersect("set_u", "set_v"))
         similar = pairs.join(a, "u").join(b, "v").where(UNDER * both >= OVER * (F.size("set_u") + F.size("set_v") - both)).select("u", "v")
@@ -285,7 +299,7 @@ def _components(table: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
 
     block = F.expr(f"nth div {BLOCK}")
     own = shared.select("sig", "fp", F.col("fp").alias("root"), block.alias("block")).withColumns({"lo": F.col("block"), "hi": F.col("block")})
-    roots = scratch.save(components(linked(own, False, "own"), scratch, "own-"), "roots-own")
+    roots = scratch.save(components(linked(own, False, "own", near), scratch, "own-"), "roots-own")
     for every, name in ((False, "blocks"), (True, "every")):
         named = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "nth", F.coalesce("root", "fp").alias("root"))
         open_ = named.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(block).alias("last"))
@@ -300,7 +314,7 @@ def _components(table: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
         links = similar.unionByName(roots.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")))
         roots = scratch.save(components(links, scratch, f"{name}-"), f"roots-{name}")
         scratch.drop_but("prints", "nodes", "shared", "sets", f"roots-{name}")
-    scratch.drop("shared", "sets", "open-blocks", "open-every")
+    scratch.drop("simhash", "shared", "sets", "open-blocks", "open-every")
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
