@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.vectors import round_ties_even
 from turnlake.operators.layout import output_extent, start_frame, to_output_frames
-from turnlake.session import shuffled
+from turnlake.session import materialized, shuffled
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -51,6 +51,27 @@ def cluster_activations(seg: DataFrame, clusters: DataFrame, step: float, counts
     return dense.join(shuffled(sums), ["file_id", "out_frame", "cluster"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def spoken(windows: DataFrame, clusters: DataFrame, step: float, speakers: int) -> DataFrame:
+    """Frames with a speaker only: n_speakers as in ``speaker_count``, scores as in ``cluster_activations``, last_frame of the recording.
+
+    ``windows`` are rows (file_id, chunk_idx, on: bits of the active speakers of a frame),
+    ``clusters`` rows (file_id, chunk_idx, chunks of the recording, width: its clusters, labels of the speakers).
+    """
+    rows = windows.select("file_id", "chunk_idx", "on").join(shuffled(clusters), ["file_id", "chunk_idx"])
+    rows = rows.select("file_id", "chunk_idx", "chunks", "width", "labels", F.posexplode("on").alias("frame_idx", "_bits"))
+    extent = output_extent(F.col("chunks"), step)
+    rows = rows.withColumn("out_frame", start_frame(F.col("chunk_idx"), step) + F.col("frame_idx")).where(F.col("out_frame") < extent)
+    here = F.array_distinct(F.filter("labels", lambda c, s: (c >= 0) & (F.getbit("_bits", s) == 1)))
+    found = rows.groupBy("file_id", "out_frame").agg(
+        F.avg(F.bit_count("_bits")).alias("_mean"), F.flatten(F.collect_list(here)).alias("_on"), F.max("width").alias("width"), (F.max(extent) - 1).alias("last_frame")
+    )
+    found = materialized(found.withColumn("n_speakers", round_ties_even(F.col("_mean"))).where("n_speakers > 0").drop("_mean"), "spoken")
+    most = found.groupBy("file_id").agg(F.max("n_speakers").alias("_m"))
+    found = found.join(shuffled(most), "file_id")
+    scores = F.transform(F.sequence(F.lit(0), F.greatest("width", "_m") - 1), lambda c: F.size(F.filter("_on", lambda x: x == c)).cast("double"))
+    return found.select("file_id", "out_frame", "n_speakers", scores.alias("scores"), "last_frame")
+
+
 def top_k(activations: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds active: 1 for the ``n_speakers`` highest scores of a frame, the lowest cluster on ties."""
     rank = F.row_number().over(W.partitionBy("file_id", "out_frame").orderBy(F.desc("score"), "cluster"))

@@ -234,6 +234,32 @@ def vbx(features: np.ndarray, phi: np.ndarray, start: np.ndarray, config: VbxCon
     return gamma.astype("float32"), prior.astype("float32")
 
 
+def vbx_many(features: np.ndarray, phi: np.ndarray, start: np.ndarray, config: VbxConfig | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``vbx`` of recordings with as many rows and speakers each: (recordings, rows, ...); each stops where it would alone."""
+    c = config or VbxConfig()
+    x, phi = np.asarray(features, "float32").astype("float64"), np.asarray(phi, "float32").astype("float64")
+    gamma = np.asarray(start, "float32").astype("float64")
+    prior = np.full((len(gamma), gamma.shape[2]), 1 / gamma.shape[2])
+    rho, ratio, before = x * np.sqrt(phi), c.fa / c.fb, np.full(len(x), -np.inf)
+    constant = -0.5 * ((x * x).sum(axis=2) + x.shape[2] * np.log(2 * np.pi))
+    at = np.arange(len(x))  # those that go on
+    for turn in range(c.max_iters):
+        g, r = gamma[at], rho[at]
+        inverse = 1 / (1 + ratio * g.sum(axis=1)[:, :, None] * phi)
+        alpha = ratio * inverse * (g.transpose(0, 2, 1) @ r)
+        joint = c.fa * (r @ alpha.transpose(0, 2, 1) - 0.5 * ((inverse + alpha**2) @ phi)[:, None] + constant[at][:, :, None]) + np.log(prior[at] + 1e-8)[:, None]
+        evidence = np_logsumexp(joint.reshape(-1, joint.shape[2])).reshape(joint.shape[:2])
+        gamma[at] = g = np.exp(joint - evidence[:, :, None])
+        prior[at] = g.sum(axis=1) / g.sum(axis=(1, 2))[:, None]
+        bound = evidence.sum(axis=1) + c.fb * 0.5 * (np.log(inverse) - inverse - alpha**2 + 1).sum(axis=(1, 2))
+        on = np.full(len(at), True) if turn == 0 else ~(bound - before[at] < c.epsilon)
+        before[at] = bound
+        at = at[on]
+        if not len(at):
+            break
+    return gamma.astype("float32"), prior.astype("float32")
+
+
 def kept_speakers(prior: np.ndarray, threshold: float = 1e-7) -> np.ndarray:
     """Speakers with a prior above ``threshold``; without any the likeliest, the last of equals."""
     kept = np.flatnonzero(prior > np.float32(threshold))
@@ -282,12 +308,17 @@ def chunk_scores(embeddings: np.ndarray, active: np.ndarray, centroids: np.ndarr
 
 def cluster_recording(training: np.ndarray, embeddings: np.ndarray, active: np.ndarray, plda: Plda, threshold: float, config: VbxConfig, keep: float) -> np.ndarray:
     """Cluster of every (chunk, local speaker): one recording's embeddings (chunks, speakers, dim) and activity flags."""
-    labels = np.full(active.shape, INACTIVE, "int64")
     if len(training) < 2:
+        return _labels(training, embeddings, active, None, None, keep)
+    start = initial_responsibilities(cluster_rows(training, threshold), config.init_smoothing)
+    return _labels(training, embeddings, active, *vbx(plda.features(training), plda.phi[:PLDA_DIM], start, config), keep)
+
+
+def _labels(training: np.ndarray, embeddings: np.ndarray, active: np.ndarray, gamma: np.ndarray | None, prior: np.ndarray | None, keep: float) -> np.ndarray:
+    labels = np.full(active.shape, INACTIVE, "int64")
+    if gamma is None:
         labels[active] = 0
         return labels
-    start = initial_responsibilities(cluster_rows(training, threshold), config.init_smoothing)
-    gamma, prior = vbx(plda.features(training), plda.phi[:PLDA_DIM], start, config)
     centroids = weighted_centroids(training.astype("float32"), gamma, kept_speakers(prior, keep))
     for chunk in range(len(active)):
         speakers = np.flatnonzero(active[chunk]).tolist()
@@ -296,6 +327,21 @@ def cluster_recording(training: np.ndarray, embeddings: np.ndarray, active: np.n
     return labels
 
 
+def cluster_many(recordings: list[tuple[np.ndarray, np.ndarray, np.ndarray]], plda: Plda, threshold: float, config: VbxConfig, keep: float) -> list[np.ndarray]:
+    """``cluster_recording`` of (training, embeddings, active); mixtures of one shape run together."""
+    by_shape: dict[tuple, list] = {}
+    mixtures: list[tuple] = [(None, None)] * len(recordings)
+    for i, (training, _, _) in enumerate(recordings):
+        if len(training) >= 2:
+            start = initial_responsibilities(cluster_rows(training, threshold), config.init_smoothing)
+            by_shape.setdefault(start.shape, []).append((i, plda.features(training), start))
+    for found in by_shape.values():
+        places, features, starts = zip(*found)
+        for i, *mixture in zip(places, *vbx_many(np.stack(features), plda.phi[:PLDA_DIM], np.stack(starts), config)):
+            mixtures[i] = tuple(mixture)
+    return [_labels(*recording, *mixture, keep) for recording, mixture in zip(recordings, mixtures)]
+
+
 def least_dominating(x: np.ndarray, y: np.ndarray, value: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
     """For each query the least ``value`` (whole numbers from 0) of the points with x <= qx and y >= qy, and the number of points if there is none.
 

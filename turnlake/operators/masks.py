@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +34,20 @@ def speaker_weights(seg: DataFrame, num_samples: int, min_num_samples: int = 400
     return sums.where(F.col("activity") >= min_activity).select(*KEY, use.alias("use_clean"), F.when(use, F.col("clean_activity")).otherwise(F.col("activity")).alias("weight"))
 
 
+def chosen_masks(active: np.ndarray, num_samples: int, min_num_samples: int = 400, min_activity: float = MIN_SPEAKER_ACTIVITY) -> tuple[np.ndarray, np.ndarray]:
+    """``clean_masks`` and ``speaker_weights`` of windows (windows, speakers, frames) of 0 and 1: the chosen masks, and the frames in which each speaker is alone."""
+    speakers = active.sum(axis=1, keepdims=True)
+    clean = np.where(speakers < 2, active, 0.0)
+    needed = math.ceil(active.shape[2] * min_num_samples / num_samples) if num_samples > 0 else math.inf
+    use = (clean.sum(axis=2) > needed) & (active.sum(axis=2) >= min_activity)
+    return np.where(use[:, :, None], clean, active), np.where(speakers == 1, active, 0.0).sum(axis=2)
+
+
+def trains(single: np.ndarray, frames: int, share: float = 0.2) -> np.ndarray:
+    """The rule of ``training_set`` on the frames in which a speaker is alone."""
+    return single >= share * frames
+
+
 def training_set(seg: DataFrame, embeddings: DataFrame, share: float = 0.2) -> DataFrame:
     """Embeddings that are finite and whose speaker is alone in ``share`` of the chunk's frames."""
     alone = F.abs(F.sum("active").over(W.partitionBy("file_id", "chunk_idx", "frame_idx")) - 1) < 1e-6

@@ -69,22 +69,31 @@ def with_units(frames: DataFrame, slice_frames: int) -> DataFrame:
 def smoothed_top_k(activations: DataFrame, counts: DataFrame, epsilon: float = 0.1, slice_frames: int = SLICE_FRAMES) -> DataFrame:
     """(file_id, out_frame, cluster, score) with active 0 or 1; clusters of a frame must be dense from 0."""
     frames = activations.groupBy("file_id", "out_frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "score"))), lambda x: x["score"]).alias("scores"))
-    frames = materialized(settle(frames.join(shuffled(counts), ["file_id", "out_frame"]), epsilon), "frames")
+    done = smoothed(frames.join(shuffled(counts), ["file_id", "out_frame"]), epsilon, slice_frames, ["scores"])
+    return done.select("file_id", "out_frame", F.posexplode(F.arrays_zip("scores", "active")).alias("cluster", "_x")).select("file_id", "out_frame", "cluster", F.col("_x.scores").alias("score"), F.col("_x.active").alias("active"))
+
+
+def smoothed(frames: DataFrame, epsilon: float = 0.1, slice_frames: int = SLICE_FRAMES, keep: list[str] | None = None) -> DataFrame:
+    """(file_id, out_frame, the columns ``keep``, active: 0 or 1 per cluster) of frames with n_speakers and scores.
+
+    Frames that are left out have no speaker.
+    """
+    keep = keep or []
+    frames = materialized(settle(frames, epsilon), "frames")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, before = None, set()
+        at, last, before = None, None, set()
         for batch in batches:
             chosen = []
-            for file_id, unit, scores, k, top, settled in zip(batch["file_id"], batch["unit"], batch["scores"], batch["n_speakers"], batch["top"], batch["settled"]):
-                if (file_id, unit) != at:
+            for file_id, frame, unit, scores, k, top, settled in zip(*[batch[c] for c in ("file_id", "out_frame", "unit", "scores", "n_speakers", "top", "settled")]):
+                if (file_id, unit) != at or frame != last + 1:
                     at, before = (file_id, unit), set()
-                before = set(top.tolist() if settled else pick(scores.tolist(), int(k), before, epsilon))
+                before, last = set(top.tolist() if settled else pick(scores.tolist(), int(k), before, epsilon)), frame
                 chosen.append([int(i in before) for i in range(len(scores))])
-            yield batch[["file_id", "out_frame", "scores"]].assign(active=chosen)
+            yield batch[["file_id", "out_frame", *keep]].assign(active=chosen)
 
-    kind = activations.schema["file_id"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("file_id", "out_frame", *keep))
     longest = frames.agg(F.max("out_frame")).first()[0] or 0
     units = with_units(frames, slice_frames) if longest >= slice_frames else frames.withColumn("unit", F.lit(-1))
     units = units.repartition("file_id", "unit").sortWithinPartitions("file_id", "unit", "out_frame")
-    done = units.mapInPandas(scan, f"file_id {kind}, out_frame int, scores array<double>, active array<int>")
-    return done.select("file_id", "out_frame", F.posexplode(F.arrays_zip("scores", "active")).alias("cluster", "_x")).select("file_id", "out_frame", "cluster", F.col("_x.scores").alias("score"), F.col("_x.active").alias("active"))
+    return units.mapInPandas(scan, f"{kinds}, active array<int>")

@@ -32,6 +32,15 @@ def from_frames(rows: DataFrame, frame_step: float = FRAME_STEP, frame_duration:
     return edges.where("_on = 1").select("file_id", "speaker", times[0].alias("start"), times[1].alias("end"))
 
 
+def from_active(rows: DataFrame, frame_step: float = FRAME_STEP, frame_duration: float = FRAME_DURATION) -> DataFrame:
+    """The turns of ``from_frames`` from the frames that are on alone: (file_id, speaker, frame, last_frame), the last one being that of the recording."""
+    order = W.partitionBy("file_id", "speaker").orderBy("frame")
+    runs = rows.withColumn("_run", F.col("frame") - F.row_number().over(order)).groupBy("file_id", "speaker", "_run")
+    runs = runs.agg(F.min("frame").alias("frame"), F.least(F.max("frame") + 1, F.max("last_frame")).alias("_next"))
+    times = [frame_time(F.col(c), frame_step, frame_duration) for c in ("frame", "_next")]
+    return runs.select("file_id", "speaker", times[0].alias("start"), times[1].alias("end"))
+
+
 def merge(turns: DataFrame, max_gap: float = 0.0) -> DataFrame:
     """Merge each turn into the one before it in the file's order by start if both have one speaker and the gap is below ``max_gap``."""
     length = slices.width(turns, ["file_id"], "start")

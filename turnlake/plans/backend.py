@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.config import MIN_SPEAKER_ACTIVITY
+from turnlake.operators import masks as rules
+from turnlake.operators import powerset
 from turnlake.session import shuffled
 from turnlake.sources import audio
 
@@ -129,3 +131,67 @@ def embed(runs: DataFrame, masks: DataFrame, backend: Callable[[], ModelBackend]
     done = met.select("file_id", "chunk_idx", "chunks", "samples", "masks").mapInPandas(solve, f"file_id {kind}, chunk_idx int, speaker_idx int, embedding array<float>")
     key = ["file_id", "chunk_idx", "speaker_idx"]
     return masks.select(*key).join(shuffled(done), key, "left")
+
+
+#: Samples of the runs in a batch that a task hands on.
+BATCH_SAMPLES = 4 << 20
+WINDOW_COLUMNS = "chunk_idx int, on array<int>, active array<boolean>, training array<boolean>, asked array<boolean>, embeddings array<float>"
+
+
+def segment_runs(runs: DataFrame, backend: Callable[[], ModelBackend], window: int, step: int, speakers: int, most: int) -> DataFrame:
+    """Runs of windows with their samples and ``on``, the active speakers of each frame of each window as bits.
+
+    Many short recordings are few batches, and rows aren't frames until speakers are known.
+    """
+    bits = np.array([sum(a << k for k, a in enumerate(row)) for row in powerset.mapping(speakers, most)], "int32")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = backend()
+        for batch in batches:
+            for part in _parts(batch):
+                on = []
+                for n, samples in zip(part["chunks"], part["samples"]):
+                    logits = np.asarray(model.segment(windows_of(samples, n, window, step)), "float32")
+                    # the last of equal classes, as in powerset.argmax_last
+                    on.append(bits[logits.shape[2] - 1 - logits[:, :, ::-1].argmax(axis=2)].ravel())
+                yield part.assign(on=on)
+
+    kind = runs.schema["file_id"].dataType.simpleString()
+    return runs.select("file_id", "chunk_idx", "chunks", "samples").mapInPandas(run, f"file_id {kind}, chunk_idx int, chunks int, samples array<float>, on array<int>")
+
+
+def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows in parts of some ``BATCH_SAMPLES`` samples."""
+    part = (np.cumsum([len(x) for x in batch["samples"]]) - 1) // BATCH_SAMPLES
+    for at in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
+        if len(at):
+            yield batch.iloc[at]
+
+
+def embed_runs(segmented: DataFrame, backend: Callable[[], ModelBackend], window: int, step: int, speakers: int, min_activity: float = MIN_SPEAKER_ACTIVITY) -> DataFrame:
+    """A row (file_id and ``WINDOW_COLUMNS``) per window of ``segment_runs``: who is active, whose embedding is asked for and trains, embeddings one behind the other.
+
+    The rules are those of ``masks``; rows of speakers without an embedding are NaN, and
+    windows without any have none.
+    """
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = backend()
+        for batch in batches:
+            for part in _parts(batch):
+                rows = []
+                for file_id, first, n, samples, on in zip(part["file_id"], part["chunk_idx"], part["chunks"], part["samples"], part["on"]):
+                    on = on.reshape(n, -1)
+                    active = (on[:, None, :] >> np.arange(speakers)[:, None] & 1).astype("float64")
+                    mask, single = rules.chosen_masks(active, window, min_activity=min_activity)
+                    asked = mask.sum(axis=2) >= min_activity
+                    found = model.embed(model.features(samples, n, window, step)[np.nonzero(asked)[0]], mask[asked]) if asked.any() else np.zeros((0, 0))
+                    vectors = np.full((n, speakers, found.shape[1]), np.nan, "float32")
+                    vectors[asked] = found
+                    training = asked & np.isfinite(vectors).all(axis=2) & rules.trains(single, on.shape[1])
+                    some = asked.any(axis=1)
+                    rows += [(file_id, first + k, on[k], active[k].any(axis=1), training[k], asked[k], vectors[k].ravel() if some[k] else vectors[k, 0, :0]) for k in range(n)]
+                yield pd.DataFrame(rows, columns=["file_id", *[c.split()[0] for c in WINDOW_COLUMNS.split(", ")]])
+
+    kind = segmented.schema["file_id"].dataType.simpleString()
+    return segmented.mapInPandas(solve, f"file_id {kind}, {WINDOW_COLUMNS}")

@@ -28,6 +28,8 @@ RANGE_BYTES = 32 << 20
 RUN = 16
 #: Bytes of samples in a batch that a task hands on.
 BATCH_BYTES = 16 << 20
+#: Partitions a core, in which neighbouring ranges share one, up to ``RANGE_BYTES``, if there are more.
+PARTITIONS = 4
 
 
 class AudioError(ValueError):
@@ -103,6 +105,22 @@ def plan(files: list[tuple[str, int]], range_bytes: int) -> list[Range]:
     return out + ([Range(tuple(held))] if held else [])
 
 
+def bundled(ranges: list[Range], partitions: int) -> list[Range]:
+    """Neighbouring ranges in some ``partitions`` or more: a task takes longer to begin than to read a few short files."""
+    size = sum(hi - lo for r in ranges for _, _, lo, hi in r.parts)
+    room = min(size / partitions, RANGE_BYTES)
+    out: list[list] = []
+    held = 0
+    for r in ranges:
+        length = sum(hi - lo for _, _, lo, hi in r.parts)
+        if not out or held + length > room:
+            out.append([])
+            held = 0
+        out[-1] += r.parts
+        held += length
+    return [Range(tuple(x)) for x in out]
+
+
 @dataclass
 class _Layout:
     window: int
@@ -153,6 +171,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         number = lambda name, default: int(options.get(name, default))
         self.path, self.range_bytes, self.rate = options["path"], number("rangeBytes", RANGE_BYTES), number("rate", 0) or None
+        self.most = number("partitions", 0)
         window = number("window", 160_000)
         self.layout = _Layout(window, number("step", window), number("run", RUN), options.get("pieces", "false").lower() == "true")
         if self.layout.pieces and self.layout.step != window:
@@ -163,7 +182,8 @@ class _Reader(DataSourceReader):
         fs, path = _open(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.is_file and x.path.endswith(".wav") and (self.only is None or file_id(x.path) in self.only))
-        return plan(files, self.range_bytes)
+        ranges = plan(files, self.range_bytes)
+        return bundled(ranges, self.most) if self.most else ranges
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
@@ -203,7 +223,7 @@ class _FilteringReader(_Reader):
 
 
 class WavRuns(DataSource):
-    """Options: path; window and step in samples (step: window); run, windows a row; rangeBytes; rate, the only one read;
+    """Options: path; window and step in samples (step: window); run, windows a row; rangeBytes; partitions, beyond which short ranges share one; rate, the only one read;
     pieces (true: non-overlapping windows that cover all samples of all files, the last one short); filters (true: filters on
     file_id choose files before any is opened; needs spark.sql.python.filterPushdown.enabled)."""
 
@@ -222,7 +242,7 @@ def read_runs(spark: SparkSession, path: str, window: int, step: int | None = No
     """Runs of windows of the PCM files below ``path``: rows of ``RUN_SCHEMA``."""
     spark.dataSource.register(WavRuns)
     filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    reader = spark.read.format("wav_runs").option("window", window).option("step", step or window).option("filters", filters)
+    reader = spark.read.format("wav_runs").option("window", window).option("step", step or window).option("filters", filters).option("partitions", PARTITIONS * spark.sparkContext.defaultParallelism)
     for name, value in options.items():
         reader = reader.option(name, str(value).lower() if isinstance(value, bool) else value)
     return reader.load(path)
